@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -45,15 +45,19 @@ def chunk_starts(n: Column, size: int, overlap: int) -> Column:
     return F.when(n > 0, F.when(n <= size, F.array(F.lit(0))).otherwise(many)).otherwise(F.array().cast("array<int>"))
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, though ``f`` names it often and inside lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def dedupe_words(c: Column) -> Column:
     """Words in order, each once whatever its case, in its first spelling, joined by a space.
 
-    Positions of first occurrences come from one map of lower-cased words, so long texts cost no quadratic scan.
+    Words are sorted to find first occurrences, so long texts cost no quadratic scan.
     """
     words = F.filter(F.split(c, f"[{SPACE}]+"), lambda w: w != "")
-    pairs = F.transform(words, lambda w, i: F.struct(F.lower(w).alias("k"), i.alias("i"), w.alias("w")))
-    ordered = F.array_sort(pairs)
-    firsts = F.filter(ordered, lambda p, i: (i == 0) | (p["k"] != F.get(ordered, i - 1)["k"]))
+    pairs = F.array_sort(F.transform(words, lambda w, i: F.struct(F.lower(w).alias("k"), i.alias("i"), w.alias("w"))))
+    firsts = bind(pairs, lambda o: F.filter(o, lambda p, i: (i == 0) | (p["k"] != F.get(o, i - 1)["k"])))
     by_place = F.array_sort(F.transform(firsts, lambda p: F.struct(p["i"].alias("i"), p["w"].alias("w"))))
     return F.array_join(F.transform(by_place, lambda p: p["w"]), " ")
 

@@ -1,41 +1,11 @@
-"""The registered queries of the core, and their SQL."""
+"""The registered queries of the core, and their SQL.
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from tracewell.io import table
-from tracewell.operators.nested import HarTables
-
-
-def _har(spark: SparkSession, sf_dir: str) -> HarTables:
-    return HarTables(table(spark, sf_dir, "har_captures"))
-
-
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(capture_id, entry_no, header_no) of the named headers, with rows for entries and files without any."""
-    return _har(spark, sf_dir).header_rows()
+Keys of projections that a problem's queries could be confused with begin with ``ref_``.
+"""
 
+from __future__ import annotations
 
-def p2_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _har(spark, sf_dir).captures()
-
-
-def p2_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _har(spark, sf_dir).entries()
-
-
-def p2_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _har(spark, sf_dir).contents()
-
-
-def p2_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _har(spark, sf_dir).headers()
-
+from tracewell.plans import links, nested, pages, texts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_captures, p2_entries, p2_contents, p2_headers)
-}
-ORACLE: dict[str, str] = {}
+QUERIES = {**links.query.queries, **texts.query.queries, **pages.query.queries, **nested.query.queries}
+ORACLE = {**links.query.oracle, **texts.query.oracle, **pages.query.oracle, **nested.query.oracle}

@@ -123,7 +123,8 @@ def keywords(df: DataFrame, text: str = "value") -> DataFrame:
 
 def clusters(df: DataFrame, text: str = "value") -> DataFrame:
     """(category, keyword, ord) of texts with ``## category`` headers and ``- keyword`` bullets under them."""
-    rows = df.select(F.monotonically_increasing_id().alias("_text"), F.posexplode(F.split(F.col(text), r"\r?\n")).alias("ord", "line"))
+    texts = df.select(F.monotonically_increasing_id().alias("_text"), F.col(text).alias("_t"))
+    rows = texts.select("_text", F.posexplode(F.split("_t", r"\r?\n")).alias("ord", "line"))
     head = F.regexp_extract("line", rf"^[{SPACE}]*##[{SPACE}]+(.+?)[{SPACE}]*$", 1)
     bullet = F.regexp_extract("line", rf"^[{SPACE}]*-[{SPACE}]+(.*[^{SPACE}])[{SPACE}]*$", 1)
     named = rows.select("_text", "ord", F.when(head != "", head).alias("head"), bullet.alias("keyword"))
@@ -136,7 +137,8 @@ def clusters(df: DataFrame, text: str = "value") -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", quote_all: bool = False) -> None:
     """CSV with a header, also for no rows; nulls are empty fields; ``quote_all`` quotes every field, quotes doubled."""
-    df.write.csv(path, header=True, mode=mode, escape='"', emptyValue='""' if quote_all else "", nullValue="", quoteAll=quote_all)
+    df.write.csv(path, header=True, mode=mode, escape='"', emptyValue='""' if quote_all else "", nullValue="", quoteAll=quote_all,
+                 ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_sorted_lines(df: DataFrame, column: str, path: str) -> None:
