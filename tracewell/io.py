@@ -29,3 +29,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="tracewell-checkpoint-")
     context.setCheckpointDir(named)
     return named
+
+
+def once(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, so that dear or changing steps under it run one time."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

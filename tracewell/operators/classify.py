@@ -1,6 +1,7 @@
 """Classification by an external model: prompts, replay of recorded answers, a rule stub, chunked texts, resume and routing.
 
-A model is any function from (key, prompt) rows to (key, raw, finish_reason, api_error) rows.  No network client is shipped.
+A model is any function from (key, prompt) rows to (key, raw, finish_reason, api_error) rows.  No network client is shipped.  Its
+answers are written once to the checkpoint folder, so a model is never asked twice for what later steps read twice.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import chunk_starts, strip, truncate
+from tracewell.io import once
 from tracewell.operators import labels
 from tracewell.operators.dedupe import not_done
 
@@ -74,7 +76,7 @@ def chunks(df: DataFrame, key: str, text: str, size: int = CHUNK, overlap: int =
 
 def classify_texts(df: DataFrame, key: str, text: str, model: Model, most: int = 25_000) -> DataFrame:
     """(key, result, categories, parse_status, raw, finish_reason, api_error): one call per text; an error of the call is its status."""
-    answers = model(prompts(df, key, text, most=most))
+    answers = once(model(prompts(df, key, text, most=most)))
     norm = labels.normalise_answers(answers, key, "raw")
     out = answers.join(norm, key)
     return out.withColumn("parse_status", F.when(F.col("api_error").isNotNull(), "api_error").otherwise(F.col("parse_status")))
@@ -109,7 +111,7 @@ def classify_logs(df: DataFrame, key: str, text: str, model_for: Callable[[str],
     none = F.lit(None).cast("string").alias("first_attempt_error")
     long = todo.filter(F.char_length(text) > size).select(key, text, none).unionByName(todo.join(retry, key).select(key, text, "first_attempt_error"))
     parts = chunks(long, key, text, size, overlap).withColumn("chunk_key", F.concat_ws("#", F.col(key).cast("string"), "chunk_index"))
-    said = labels.normalise_answers(model_for("chunk_key")(prompts(parts, "chunk_key", "chunk")), "chunk_key", "raw")
+    said = labels.normalise_answers(once(model_for("chunk_key")(prompts(parts, "chunk_key", "chunk"))), "chunk_key", "raw")
     rows = parts.select(key, "chunk_index", "chunk_key").join(said, "chunk_key")
     union = union_of_chunks(rows, key, "chunk_index", "categories").join(rows.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("num_chunks")), key)
     many = union.join(long.select(key, "first_attempt_error"), key).select(key, "result", "categories", F.lit("chunked").alias("parse_status"), F.lit(True).alias("chunked"), "num_chunks", "first_attempt_error")
