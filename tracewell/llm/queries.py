@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.io import ensure_checkpoint_dir, table
-from tracewell.llm import encoding, lookalikes, packing, splitting
+from tracewell.llm import encoding, garbled, lookalikes, packing, splitting
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,16 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, name)
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entry_id) of responses whose body has garbled text."""
+    return garbled.garbled_bodies(_read(spark, sf_dir, "har_responses"), "entry_id", "text", "encoding", "mimetype")
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entry_id, body) of these responses, with the original characters where they can be had."""
+    return garbled.garbled_bodies(_read(spark, sf_dir, "har_responses"), "entry_id", "text", "encoding", "mimetype", "body")
+
+
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entry_id, piece_no, start_pos, end_pos, n_pieces, piece) of bodies over the limit."""
     return splitting.split_items(_read(spark, sf_dir, "har_responses"), "entry_id", "text", encoding="encoding", mimetype="mimetype")
@@ -51,6 +61,6 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p5_found, p5_pieces, p6_ids, p7_containers, p8_found, p8_forms)
+    f.__name__: f for f in (p1_found, p1_repaired, p5_found, p5_pieces, p6_ids, p7_containers, p8_found, p8_forms)
 }
 ORACLE: dict[str, str] = {}
