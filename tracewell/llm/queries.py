@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.io import ensure_checkpoint_dir, table
-from tracewell.llm import encoding, garbled, lookalikes, packing, splitting
+from tracewell.llm import encoding, garbled, lookalikes, packing, residue, splitting
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,23 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.garbled_bodies(_read(spark, sf_dir, "har_responses"), "entry_id", "text", "encoding", "mimetype", "body")
 
 
+def _residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_bodies(_read(spark, sf_dir, "har_responses"), "entry_id", "text", "encoding", "mimetype")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, row_id) of response bodies and mapping statuses that are leftovers, not content."""
+    bodies = _residue(spark, sf_dir).select(F.lit("har_responses").alias("tbl"), F.col("entry_id").alias("row_id"))
+    rows = _read(spark, sf_dir, "url_mapping").filter(residue.is_residue_status(F.col("status")))
+    return bodies.unionByName(rows.select(F.lit("url_mapping").alias("tbl"), F.col("seq").alias("row_id")))
+
+
+def p4_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entry_id) of the responses that stay."""
+    rows = _read(spark, sf_dir, "har_responses").select("entry_id")
+    return residue.without_residue(rows, "entry_id", _residue(spark, sf_dir))
+
+
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entry_id, piece_no, start_pos, end_pos, n_pieces, piece) of bodies over the limit."""
     return splitting.split_items(_read(spark, sf_dir, "har_responses"), "entry_id", "text", encoding="encoding", mimetype="mimetype")
@@ -61,6 +78,6 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_repaired, p5_found, p5_pieces, p6_ids, p7_containers, p8_found, p8_forms)
+    f.__name__: f for f in (p1_found, p1_repaired, p4_found, p4_kept, p5_found, p5_pieces, p6_ids, p7_containers, p8_found, p8_forms)
 }
 ORACLE: dict[str, str] = {}
