@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.io import ensure_checkpoint_dir, table
-from tracewell.llm import encoding, garbled, lookalikes, packing, residue, splitting
+from tracewell.llm import encoding, garbled, lookalikes, packing, personal, residue, splitting
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,21 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.garbled_bodies(_read(spark, sf_dir, "har_responses"), "entry_id", "text", "encoding", "mimetype", "body")
 
 
+def _personal(spark: SparkSession, sf_dir: str, redacted: str | None = None) -> DataFrame:
+    small = (_read(spark, sf_dir, name) for name in ("name_lexicon", "pii_kinds"))
+    return personal.personal_items(_read(spark, sf_dir, "har_responses"), "entry_id", "text", "encoding", "mimetype", *small, redacted)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entry_id, kind, start_pos) of personal items in bodies."""
+    return _personal(spark, sf_dir)
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entry_id, body): every response's body with its items replaced."""
+    return _personal(spark, sf_dir, "body")
+
+
 def _residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_bodies(_read(spark, sf_dir, "har_responses"), "entry_id", "text", "encoding", "mimetype")
 
@@ -78,6 +93,6 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_repaired, p4_found, p4_kept, p5_found, p5_pieces, p6_ids, p7_containers, p8_found, p8_forms)
+    f.__name__: f for f in (p1_found, p1_repaired, p3_found, p3_redacted, p4_found, p4_kept, p5_found, p5_pieces, p6_ids, p7_containers, p8_found, p8_forms)
 }
 ORACLE: dict[str, str] = {}
