@@ -255,7 +255,7 @@ class Finder:
                 last = c.end
                 yield c
 
-    def persons(self, t: str, taken: list[tuple[int, int]], hits: dict[str, list]) -> Iterator[Candidate]:
+    def persons(self, t: str, taken: list[tuple[int, int]], emails: list[tuple[int, int]], hits: dict[str, list]) -> Iterator[Candidate]:
         starts = [a for a, _ in taken]
 
         def free(a: int, b: int) -> bool:
@@ -287,6 +287,9 @@ class Finder:
                     add(*self._grow(t, a, b, back=False), "cue")
                 elif m[0].lower() in _SURE_PHRASES or m[0].endswith((": ", "=")) or m[0].startswith(("Dear", "Hi", "Guest", "Frau", "Recipient", "Tilaaja", "Saaja", "Keyholder", "Merci", "Tere", "Klient")):
                     add(a, self._grow_low(t, a), "cue_low")
+        for _, end in emails:
+            if t.startswith(" de ", end) and (n := _NAME_AT.match(t, end + 4)) and n.end() > n.start():
+                add(*(self._grow(t, *n.span(), back=False) if t[n.start()].isupper() else (n.start(), self._grow_low(t, n.start()))), "cue")
         for a, _, _ in hits["key"]:
             if not (m := _KEYS.match(t, a)):
                 continue
@@ -387,7 +390,7 @@ class Finder:
         inside = [(c.start, c.end) for c in kept]
         out = [c for c in out if not any(a <= c.start < b for a, b in inside)] + kept
         taken = sorted((c.start, c.end) for c in out)
-        out += self.persons(t, taken, hits)
+        out += self.persons(t, taken, [(c.start, c.end) for c in out if c.kind == "email"], hits)
         out.sort(key=lambda c: c.start)
         for c in out:
             self._features(t, c)
@@ -517,7 +520,7 @@ class Maker:
         x = r.random()
         s = f"{g} {f}" if x < 0.66 else f"{g[0]}. {f}" if x < 0.74 else f"{f}, {g}" if x < 0.84 else f"{g} {r.choice('ABDKMT')}. {f}" if x < 0.9 else f"{g}-{self.given_name()} {f}" if x < 0.94 else g if x < 0.97 else f
         y = r.random()
-        return s.upper() if y < 0.08 else s.lower() if y < 0.18 and "," not in s else s
+        return s.upper() if y < 0.09 else s.lower() if y < 0.28 and "," not in s else s
 
     def digits(self, shape: str) -> str:
         return re.sub("9", lambda _: str(self.r.randint(0, 9)), shape)
