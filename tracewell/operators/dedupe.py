@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.io import once
+
 
 def _fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have."""
@@ -75,5 +77,15 @@ def ordered_distinct(df: DataFrame, value: str, order: str) -> DataFrame:
 
 
 def dense_numbers(df: DataFrame, group: str, order: Sequence[str], name: str = "item_no") -> DataFrame:
-    """``df`` with numbers from 1 inside each group, in ``order``."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("int"))
+    """``df`` with numbers from 1 inside each group, in ``order``, which must tell a group's rows apart.
+
+    Rows are cut into ranges of (group, order), so a group that holds a third of all rows lies in many ranges.  Numbers are ranks
+    inside a range plus the counts of the group's earlier ranges.  The ranges are written once, as both readings must see the same.
+    """
+    part, first, rank = _fresh(df, "_part"), _fresh(df, "_first"), _fresh(df, "_rank")
+    cut = once(df.repartitionByRange(group, *order).withColumn(part, F.spark_partition_id()))
+    sizes = cut.groupBy(group, part).agg(F.count(F.lit(1)).alias(rank))
+    starts = sizes.select(F.col(group).alias("_g"), F.col(part).alias("_p"), (F.sum(rank).over(Window.partitionBy(group).orderBy(part)) - F.col(rank)).alias(first))
+    ranked = cut.withColumn(rank, F.row_number().over(Window.partitionBy(group, part).orderBy(*order)))
+    out = ranked.join(starts, F.col(group).eqNullSafe(F.col("_g")) & (F.col(part) == F.col("_p")))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), (F.col(rank) + F.col(first)).cast("int").alias(name))

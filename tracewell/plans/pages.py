@@ -109,9 +109,9 @@ def w3(spark, d):
     return _props(spark, d)
 
 
-@query("ref_p31_numbered", f"SELECT page, string_agg(item_no || ' [' || origin || '] ' || payload, chr(10) ORDER BY item_no) AS log_text FROM ({NUMBERED}) GROUP BY 1")
+@query("ref_p31_numbered", f"SELECT page, item_no, item_no || ' [' || origin || '] ' || payload AS line FROM ({NUMBERED})")
 def p31(spark, d):
-    return files.numbered_text(_props(spark, d), "page", "item_no", "origin", "payload")
+    return files.numbered_lines(_props(spark, d), "page", "item_no", "origin", "payload")
 
 
 @query("c4_json_harvest")

@@ -107,10 +107,13 @@ def numbered_payloads(df: DataFrame, key: str, text: str) -> DataFrame:
     return out.filter("payload <> ''")
 
 
-def numbered_text(df: DataFrame, key: str, item_no: str, origin: str, payload: str) -> DataFrame:
-    """(key, log_text): the items of each key in order as lines ``N [origin] payload``; keys without items give no row."""
-    rows = df.select(key, F.struct(F.col(item_no).alias("n"), F.concat(F.col(item_no).cast("string"), F.lit(" ["), F.col(origin), F.lit("] "), F.col(payload)).alias("t")).alias("r"))
-    return rows.groupBy(key).agg(F.array_sort(F.collect_list("r")).alias("rs")).select(key, F.array_join(F.transform("rs", lambda r: r["t"]), "\n").alias("log_text"))
+def numbered_lines(df: DataFrame, key: str, item_no: str, origin: str, payload: str) -> DataFrame:
+    """(key, item_no, line): the items as lines ``N [origin] payload`` of a key's log.
+
+    A log stays a set of rows with their order: a key's rows needn't meet in one task.  ``write_per_key`` gives each key its folder.
+    """
+    line = F.concat(F.col(item_no).cast("string"), F.lit(" ["), F.col(origin), F.lit("] "), F.col(payload))
+    return df.select(key, item_no, line.alias("line"))
 
 
 def keywords(df: DataFrame, text: str = "value") -> DataFrame:
