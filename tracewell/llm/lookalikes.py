@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.io import once
+
 #: Letters, each followed by its prototype.  Capital Greek, small Greek, capital Cyrillic, small Cyrillic, others.
 LETTERS = (
     "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ϺM Ϝ F ͿJ "
@@ -144,13 +146,16 @@ def _keys(df: DataFrame, key: str, text: str) -> DataFrame:
 def lookalike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key_a, key_b), a before b: rows whose texts differ but have one skeleton.  Null and empty texts are in no pair.
 
-    Only digests are shuffled.  A first grouping, combined before its shuffle, finds the skeletons that have several texts; the
-    join then sees only their rows, and joins on the skeleton, which splits a hot one under adaptive execution.  Every pair comes
-    out, so a skeleton with many different texts gives as many rows as it has pairs.
+    Only digests are shuffled.  A first grouping, combined before its shuffle, finds the skeletons that have several texts.  Pairs
+    are made between these distinct texts, and only then spread over the rows that hold them: copies of one text never meet each
+    other, and no step has more rows than the result.
     """
     rows = _keys(df, key, text)
     several = rows.groupBy("s").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo < hi").select("s")
-    cases = rows.join(several, "s", "left_semi")
-    a = cases.select(F.col(key).alias(f"{key}_a"), F.col("t").alias("ta"), "s")
-    b = cases.select(F.col(key).alias(f"{key}_b"), F.col("t").alias("tb"), "s")
-    return a.join(b, "s").filter((F.col(f"{key}_a") < F.col(f"{key}_b")) & (F.col("ta") != F.col("tb"))).select(f"{key}_a", f"{key}_b")
+    cases = once(rows.join(several, "s", "left_semi"))
+    texts = cases.select("s", "t").distinct()
+    pairs = texts.join(texts.withColumnRenamed("t", "u"), "s").filter("t < u").select("t", "u")
+    a = cases.select(F.col(key).alias("_a"), "t")
+    b = cases.select(F.col(key).alias("_b"), F.col("t").alias("u"))
+    ids = pairs.join(a, "t").join(b, "u").filter("_a <> _b")  # rows that share a key, or have none, are no pair
+    return ids.select(F.least("_a", "_b").alias(f"{key}_a"), F.greatest("_a", "_b").alias(f"{key}_b"))
