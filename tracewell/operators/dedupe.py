@@ -31,7 +31,7 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     sortable = [f.name for f in df.schema if f.name not in order and f.name not in keys and f.dataType.typeName() not in ("map", "variant")]
     ordering = F.struct(*(F.col(f"`{c}`") for c in [*order, *sortable]))
     best = df.groupBy(*keys).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in rest)), ordering).alias(row))
-    return best.select(*keys, *(F.col(f"{row}.`{c}`").alias(c) for c in rest)).select(*df.columns)
+    return best.select(*keys, *(F.col(f"{row}.`{c}`").alias(c) for c in rest)).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def content_duplicates(df: DataFrame, key: str, content: str) -> DataFrame:
