@@ -30,7 +30,7 @@ from tracewell.functions.body import decode_body
 WRONG = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "iso8859-2", "iso8859-15", "cp437", "cp850", "cp852", "cp866", "koi8-r", "mac_roman")
 #: Blocks of characters that are looked for as garbled: letters, signs, kana, full-width forms, pictures.
 BLOCKS = (
-    (0xA0, 0x17F), (0x192, 0x192), (0x218, 0x21B), (0x2C6, 0x2DD), (0x300, 0x30C), (0x386, 0x3CE), (0x400, 0x45F), (0x490, 0x491), (0x5D0, 0x5EA), (0x620, 0x64A), (0x905, 0x94D),
+    (0x80, 0x17F), (0x192, 0x192), (0x218, 0x21B), (0x2C6, 0x2DD), (0x300, 0x30C), (0x386, 0x3CE), (0x400, 0x45F), (0x490, 0x491), (0x5D0, 0x5EA), (0x620, 0x64A), (0x905, 0x94D),
     (0xE01, 0xE4E), (0x1EA0, 0x1EF9), (0x2010, 0x2027), (0x202F, 0x203A), (0x2044, 0x2044), (0x20A9, 0x20BF), (0x2103, 0x2122), (0x2190, 0x2193), (0x2200, 0x2265), (0x2500, 0x25CF),
     (0x2600, 0x2606), (0x2705, 0x2716), (0x3000, 0x3011), (0x3041, 0x3093), (0x30A1, 0x30FC), (0xFEFF, 0xFEFF), (0xFF01, 0xFF5E), (0xFFFD, 0xFFFD), (0x1F300, 0x1F6FF), (0x1F900, 0x1F9FF))
 #: Lead bytes of the first, frequent level of two double-byte sets.
