@@ -15,8 +15,12 @@ def found_urls(df: DataFrame, message: str) -> DataFrame:
 
 
 def valid_urls(df: DataFrame, message: str) -> DataFrame:
-    """``found_urls`` cleaned and validated, as ``url``."""
-    out = found_urls(df, message).withColumn("url", urls.clean_url(F.col("raw_url"))).drop("raw_url")
+    """Rows of ``df`` exploded to their clean, valid URLs: columns of ``df`` and ``pos`` (from 0 among all found), ``url``.
+
+    Cleaning stands inside the explode, so that filters and later steps read its result instead of working it out again.
+    """
+    cleaned = F.transform(urls.find_urls(F.col(message)), urls.clean_url)
+    out = df.select("*", F.posexplode(cleaned).alias("pos", "url"))
     return out.filter(F.col("url").isNotNull() & urls.is_valid_url(F.col("url")))
 
 

@@ -15,10 +15,17 @@ LANGUAGES = tuple("ch hu en rs_latin fr id de oc japan is korean lt chinese_cht
 
 
 def polygon_area(poly: Column) -> Column:
-    """Shoelace area of an array of (x, y); 0 for fewer than three points, null for null."""
+    """Shoelace area of an array of (x, y); 0 for fewer than three points, null for null.
+
+    Boxes of four points are plain arithmetic, which is compiled; others go through array functions.
+    """
     n = F.size(poly)
+    x, y = (lambda i: F.get(poly, F.lit(i))["x"]), (lambda i: F.get(poly, F.lit(i))["y"])
+    # of four points: half the cross product of the diagonals
+    four = (x(2) - x(0)) * (y(3) - y(1)) - (x(3) - x(1)) * (y(2) - y(0))
     cross = F.transform(poly, lambda p, i: p["x"] * F.get(poly, (i + 1) % n)["y"] - F.get(poly, (i + 1) % n)["x"] * p["y"])
-    return F.when(n >= 3, F.abs(F.aggregate(cross, F.lit(0.0), lambda a, x: a + x)) / 2).when(poly.isNotNull(), F.lit(0.0))
+    other = F.aggregate(cross, F.lit(0.0), lambda a, v: a + v)
+    return F.when(n == 4, F.abs(four) / 2).when(n >= 3, F.abs(other) / 2).when(poly.isNotNull(), F.lit(0.0))
 
 
 def tiles(df: DataFrame, key: str, w: str, h: str, side: int = SIDE, overlap: int = OVERLAP) -> DataFrame:
