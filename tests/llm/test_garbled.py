@@ -68,6 +68,18 @@ def test_memory_of_words_changes_nothing(tool, monkeypatch):
     assert [fresh.judge(w) for w in words] == want
 
 
+@pytest.mark.parametrize("text, true", [("Mañana vence la reparación, código", "cp1252"), ("Срок истёк, подарок ждёт", "cp1251"), ("Zdobyłeś punktów, dziękujemy", "cp1250"), ("Срок истёк, подарок ждёт", "koi8-r"), ("您的订单已送到便利店。", "gb18030"), ("カード情報の更新が必要です。", "shift_jis"), ("Größe", "utf-8")])
+def test_bytes_lost_nothing(tool, text, true):
+    import base64
+
+    raw = text.encode(true)
+    for wrong in ("utf-8", "latin-1"):
+        body = raw.decode(wrong, "replace")
+        if body != text:
+            assert tool.is_garbled(body)
+            assert tool.mend(body, base64.b64encode(raw).decode(), "Base64") == text
+
+
 def test_operator(spark):
     rows = [(1, "cafÃ©", None, "text/html", 1), (2, None, None, None, 2), (3, "", None, None, 3), (4, "Ã©", None, "image/png", 4), (5, "w6k=", "BASE64", "text/plain; charset=iso-8859-1", 5), (5, "w6k=", "base64", None, 6), (None, "Ã©", None, None, 7)]
     df = spark.createDataFrame(rows, "entry_id bigint, text string, encoding string, mimetype string, body int")

@@ -14,6 +14,7 @@ A worker keeps verdicts on words up to a bound, so frequent words are judged onc
 
 from __future__ import annotations
 
+import base64
 import html
 import re
 from collections.abc import Iterable, Iterator
@@ -28,6 +29,8 @@ from tracewell.functions.body import decode_body
 
 #: Single-byte encodings in which UTF-8 may have been read.
 WRONG = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "iso8859-2", "iso8859-15", "cp437", "cp850", "cp852", "cp866", "koi8-r", "mac_roman")
+#: Encodings in which the bytes of a body that was read wrongly are tried.
+LIKELY = ("utf-8", "cp1252", "cp1251", "cp1250", "koi8-r", "cp866", "gb18030", "shift_jis", "euc_jp", "big5")
 #: Blocks of characters that are looked for as garbled: letters, signs, kana, full-width forms, pictures.
 BLOCKS = (
     (0x80, 0x17F), (0x192, 0x192), (0x218, 0x21B), (0x2C6, 0x2DD), (0x300, 0x30C), (0x386, 0x3CE), (0x400, 0x45F), (0x490, 0x491), (0x5D0, 0x5EA), (0x620, 0x64A), (0x905, 0x94D),
@@ -59,6 +62,10 @@ def _sloppy(raw: bytes, name: str) -> str:
 _RUSSIAN = "А-Яа-яЁё"
 #: What follows a Cyrillic capital in correct text too: small yo, closing signs, dashes, spaces.
 _NATURAL = "ёЁ«»“”„‘’‚…–—•\xa0"
+#: How a Russian word goes: e reversed, hard and soft signs, short i and the hard i stand in few places; three vowels don't meet.
+_RUSSIAN_WORD = re.compile(r"(?!й(?!о)|ы|ь|ъ)(?:э(?=[а-яё])|(?<=[аеёиоуюя])[эй]|(?<=[бвгджзклмнпрстфхцчшщ])[ыь]|(?<=[бвгджзклмнпрстфх])ъ(?=[еёюя])|й(?=о)|[аеёиоуюябвгджзклмнпрстфхцчшщ]|(?<=[ыэ])й)+(?<![аеёиоуыэюя]{4})")
+#: Letters that are listed as such in correct text.
+_LETTER_LIST = set("äöüõåßæøÄÖÜÕÅÆØ")
 _CYRILLIC_VOWELS = set("аеёиоуыэюяАЕЁИОУЫЭЮЯ")
 
 
@@ -197,6 +204,8 @@ class Repairer:
                 text = raw.decode(name)
             except UnicodeDecodeError:
                 continue
+            if not _RUSSIAN_WORD.fullmatch(text.lower()) or not (text[1:].islower() or (text.isupper() and (name == "cp1251" or len(text) > 5))):
+                continue
             letters = [c for c in text if "Ѐ" <= c <= "ӿ"]
             if len(letters) < len(text) or not _CYRILLIC_VOWELS & set(text) or re.search("[а-яё][А-ЯЁ]", text):
                 continue
@@ -204,6 +213,9 @@ class Repairer:
                 return text
         return None
 
+    def _common(self, c: str) -> bool:
+        return c in self.han or "ぁ" <= c <= "ヺ" or c in "ー、。，！：；？「」（）￥" or "가" <= c <= "힣"
+
     def _double_byte(self, raw: bytes) -> str | None:
         for name in ("gb18030", "shift_jis", "euc_jp", "big5", "euc_kr"):
             for cut in (raw, raw[:-1], raw[1:]):
@@ -213,7 +225,7 @@ class Repairer:
                     continue
                 if name == "gb18030" and any("ぁ" <= c <= "ヺ" for c in text):
                     continue  # kana stand in all these sets, but for Japanese text
-                good = sum(c in self.han or "ぁ" <= c <= "ヺ" or c in "ー、。，！：「」（）" or "가" <= c <= "힣" for c in text)
+                good = sum(map(self._common, text))
                 if len(text) >= 2 and good >= 0.75 * len(text):
                     return text
         return None
@@ -226,9 +238,9 @@ class Repairer:
             raw = _bytes_of(run)
             if raw is None:
                 continue
-            if not (near.isascii() and near.isalpha()) and (text := self._russian(raw)):
+            if not (near.isascii() and near.isalpha()) and not set(run) <= _LETTER_LIST and (text := self._russian(raw)):
                 return word.replace(run, text)
-            if len(run) >= 4 and (text := self._double_byte(raw)):
+            if len(run) >= (8 if run.isalpha() else 4) and (text := self._double_byte(raw)):
                 return word.replace(run, text)
         for m in _CJK.finditer(word):
             for name in ("gbk", "shift_jis", "big5", "euc_kr"):
@@ -302,6 +314,33 @@ class Repairer:
         return WORD.sub(one, body)
 
 
+    def reread(self, raw: bytes) -> str | None:
+        """Bytes read with the first likely encoding that fits them all and leaves no garbled word; None if none does."""
+        for name in LIKELY:
+            try:
+                text = raw.decode(name)
+            except UnicodeDecodeError:
+                continue
+            wide = [c for c in text if c > "\x7f"]
+            if name in LIKELY[6:] and sum(self._common(c) for c in wide) < 0.75 * len(wide):
+                continue
+            if name == "gb18030" and any("ぁ" <= c <= "ヺ" for c in wide):
+                continue  # kana stand in all these sets, but for Japanese text
+            if not self.is_garbled(text):
+                return text
+        return None
+
+    def mend(self, body: str, text: str | None, encoding: str | None) -> str:
+        """A garbled response's body repaired: from its bytes if it was base64, as they lost nothing, else span by span."""
+        if text is not None and encoding is not None and encoding.strip().lower() == "base64":
+            try:
+                if (whole := self.reread(base64.b64decode(text))) is not None:
+                    return whole
+            except ValueError:
+                pass
+        return self.repair(body)
+
+
 @lru_cache(maxsize=1)
 def repairer() -> Repairer:
     return Repairer()
@@ -316,7 +355,8 @@ def is_media(mimetype: Column) -> Column:
 def garbled_bodies(df: DataFrame, key: str, text: str, encoding: str, mimetype: str, repaired: str | None = None) -> DataFrame:
     """(key), or (key, repaired), of the responses whose body has garbled text.
 
-    Images and fonts are left out.  Null and empty bodies are never garbled; what can't be repaired stays in the repaired body.
+    Images and fonts are left out.  Null and empty bodies are never garbled.  Base64 bodies are read again from their bytes where
+    another encoding fits them whole; else matched spans are replaced, and what can't be repaired stays in the repaired body.
     Repeated rows are judged row by row; other columns of ``df`` aren't read.
     """
 
@@ -329,7 +369,7 @@ def garbled_bodies(df: DataFrame, key: str, text: str, encoding: str, mimetype:
                 if body and tool.is_garbled(body):
                     keys.append(k)
                     if repaired:
-                        bodies.append(tool.repair(body))
+                        bodies.append(tool.mend(body, response[0], response[1]))
             yield pd.DataFrame({key: keys, repaired: bodies} if repaired else {key: keys})
 
     kind = df.schema[key].dataType.simpleString()
