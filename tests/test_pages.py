@@ -59,3 +59,20 @@ def test_harvest(spark):
         ("p", 1): ("har:json", '{"a":1}'), ("p", 2): ("har:json", "[1,2]"), ("p", 3): ("har:html", '{"z":0}'), ("p", 4): ("html:server", "[8]"), ("p", 5): ("html:dom", "[9]"), ("q", 1): ("har:json", '{"a":1}'),
     }
     assert json.loads(out["p", 2][1]) == [1, 2]
+
+
+def test_literals_like_one_pattern():
+    import random
+    import re
+    import time
+
+    naive = re.compile(r"(?:\w+\.[\w.$]+|(?:var|let|const)\s+[\w$]+)\s*=\s*(\{.*?\}|\[.*?\])\s*;", re.I | re.S | re.A)
+    r = random.Random(4)
+    bits = ["var x = ", "a.b.c=", "let y =", "{", "}", "[1]", "]", ";", " ", "\n", '{"k": 1}', "1", ",", "x"]
+    for _ in range(3000):
+        text = "".join(r.choices(bits, k=r.randint(1, 14)))
+        want = [c for c in map(webjson.canonical, (m[1] for m in naive.finditer(text))) if c is not None]
+        assert webjson.inline_json_of(text) == want, text
+    began = time.time()
+    webjson.inline_json_of("a.b={c:1}\n" * 50_000 + "x" * 300_000)
+    assert time.time() - began < 10

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,7 +18,8 @@ _JSONP = r"(?s)^\s*[a-zA-Z_$][\w$]*\s*\(\s*(\{.*\}|\[.*\])\s*\)\s*;?\s*$"
 _SCRIPT = re.compile(r"<script\b([^>]*)>(.*?)</script>", re.I | re.S)
 _DATA_SCRIPT = re.compile(r"""type\s*=\s*["']\s*application/(?:ld\+json|json|manifest\+json)\s*["']|\bid\s*=\s*["']__NEXT_DATA__["']""", re.I)
 _CDATA = re.compile(r"^\s*//\s*<!\[CDATA\[\s*|\s*//\s*\]\]>\s*$", re.M)
-_ASSIGNED = re.compile(r"(?:\w+\.[\w.$]+|(?:var|let|const)\s+[\w$]+)\s*=\s*(\{.*?\}|\[.*?\])\s*;", re.I | re.S | re.A)
+_ASSIGNED = re.compile(r"(?:(?<!\w)\w++\.[\w.$]++|(?:var|let|const)\s++[\w$]++)\s*+=\s*+(?=[{\[])", re.I | re.A)
+_CLOSED = {"{": re.compile(r"\}(?=\s*;)"), "[": re.compile(r"\](?=\s*;)")}
 
 
 def header_map(headers: Column) -> Column:
@@ -86,8 +88,26 @@ def strip_cdata(code: str) -> str:
 
 
 def inline_json_of(html: str | None) -> list[str]:
-    """Canonical JSON of the literals assigned in a page; a literal ends at its first bracket before a semicolon."""
-    return [c for c in map(canonical, (m[1] for m in _ASSIGNED.finditer(html or ""))) if c is not None]
+    """Canonical JSON of the literals assigned in a page; a literal ends at its first closing bracket before a semicolon.
+
+    Closing brackets are looked up in a list of their places, so that a page of many assignments is read once.
+    """
+    text = html or ""
+    out: list[str] = []
+    ends: dict[str, list[int]] = {}
+    at = 0
+    for m in _ASSIGNED.finditer(text):
+        if m.start() < at:
+            continue
+        kind = text[m.end()]
+        if kind not in ends:
+            ends[kind] = [x.end() for x in _CLOSED[kind].finditer(text)]
+        i = bisect_right(ends[kind], m.end() + 1)
+        if i < len(ends[kind]):
+            at = ends[kind][i]
+            if (value := canonical(text[m.end() : at])) is not None:
+                out.append(value)
+    return out
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

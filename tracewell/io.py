@@ -35,3 +35,11 @@ def once(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that dear or changing steps under it run one time."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any letter case: ``name`` with underscores before it as needed."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

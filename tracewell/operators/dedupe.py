@@ -7,15 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.io import once
-
-
-def _fresh(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` doesn't have."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
+from tracewell.io import fresh, once
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -27,7 +19,7 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.distinct()
-    row = _fresh(df, "_row")
+    row = fresh(df, "_row")
     sortable = [f.name for f in df.schema if f.name not in order and f.name not in keys and f.dataType.typeName() not in ("map", "variant")]
     ordering = F.struct(*(F.col(f"`{c}`") for c in [*order, *sortable]))
     best = df.groupBy(*keys).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in rest)), ordering).alias(row))
@@ -43,19 +35,23 @@ def content_duplicates(df: DataFrame, key: str, content: str) -> DataFrame:
 
 
 def crawl_status(df: DataFrame, key: str, order: str) -> DataFrame:
-    """``df`` with ``crawl_status``: mapped for the first row of each key in ``order``, skipped for later ones."""
-    first = df.groupBy(key).agg(F.min(order).alias("_first"))
-    out = df.join(first.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")))
-    return out.withColumn("crawl_status", F.when(F.col(order) == F.col("_first"), "mapped").otherwise("skipped")).drop("_key", "_first")
+    """``df`` with ``crawl_status``: mapped for the first row of each key in ``order``, skipped for later ones.
+
+    Null is a key like any other.  Rows that tie for the first are all mapped.  A column ``crawl_status`` of ``df`` is replaced.
+    """
+    same, first = fresh(df, "_key"), fresh(df, "_first")
+    firsts = df.groupBy(F.col(key).alias(same)).agg(F.min(order).alias(first))
+    out = df.join(firsts, F.col(key).eqNullSafe(F.col(same)))
+    return out.withColumn("crawl_status", F.when(F.col(order) == F.col(first), "mapped").otherwise("skipped")).drop(same, first)
 
 
 def not_done(df: DataFrame, key: str, *done: DataFrame) -> DataFrame:
     """Rows of ``df`` whose key is in none of ``done`` (first column of each); rows with a null key stay."""
-    keys = None
+    name, keys = fresh(df, "_done"), None
     for d in done:
-        one = d.select(F.col(d.columns[0]).alias("_done"))
+        one = d.select(F.col(d.columns[0]).alias(name))
         keys = one if keys is None else keys.unionByName(one)
-    return df if keys is None else df.join(keys.distinct(), F.col(key) == F.col("_done"), "left_anti")
+    return df if keys is None else df.join(keys.distinct(), F.col(key) == F.col(name), "left_anti")
 
 
 def union_by_position(first: DataFrame, *others: DataFrame, strict: bool = False) -> DataFrame:
@@ -82,7 +78,7 @@ def dense_numbers(df: DataFrame, group: str, order: Sequence[str], name: str = "
     Rows are cut into ranges of (group, order), so a group that holds a third of all rows lies in many ranges.  Numbers are ranks
     inside a range plus the counts of the group's earlier ranges.  The ranges are written once, as both readings must see the same.
     """
-    part, first, rank = _fresh(df, "_part"), _fresh(df, "_first"), _fresh(df, "_rank")
+    part, first, rank = fresh(df, "_part"), fresh(df, "_first"), fresh(df, "_rank")
     cut = once(df.repartitionByRange(group, *order).withColumn(part, F.spark_partition_id()))
     sizes = cut.groupBy(group, part).agg(F.count(F.lit(1)).alias(rank))
     starts = sizes.select(F.col(group).alias("_g"), F.col(part).alias("_p"), (F.sum(rank).over(Window.partitionBy(group).orderBy(part)) - F.col(rank)).alias(first))

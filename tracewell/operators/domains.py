@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import urls
 from tracewell.functions.text import strip
+from tracewell.io import fresh
 from tracewell.sources.files import resolve_columns
 
 
@@ -58,9 +59,9 @@ def rank_table(df: DataFrame, rank: str, domain: str, order: str) -> DataFrame:
 def with_rank(df: DataFrame, url: str, ranks: DataFrame) -> DataFrame:
     """``df`` with ``normalized_domain`` and ``tranco_rank``; every row stays, unmatched and null domains with null rank.
 
-    The rank list may have a million domains: no broadcast is forced, Spark takes one when the list is under its threshold.
+    Columns of ``df`` with these names give way.  The rank list may have a million domains: no broadcast is forced, Spark takes one when the list is under its threshold.
     """
-    own = df.withColumn("normalized_domain", urls.netloc(F.col(url)))
+    own = df.drop("tranco_rank").withColumn("normalized_domain", urls.netloc(F.col(url)))
     return own.join(ranks.withColumnRenamed("domain", "normalized_domain"), "normalized_domain", "left")
 
 
@@ -80,8 +81,9 @@ def keep_surviving(mapping: DataFrame, files: DataFrame, row: str, hash_col: str
     h = strip(F.col(hash_col))
     tries = F.array_distinct(F.array(F.struct(F.lit("stem").alias("kind"), h.alias("value")), F.struct(F.lit("name").alias("kind"), h.alias("value")), F.struct(F.lit("stem").alias("kind"), stem(h).alias("value"))))
     cand = mapping.filter(h != "").select(F.col(row).alias("_row"), F.explode(tries).alias("k")).select("_row", "k.*")
-    hits = cand.join(keys, ["kind", "value"], "left_semi").select("_row").distinct()
-    return mapping.join(hits, F.col(row) == F.col("_row"), "left_semi")
+    name = fresh(mapping, "_row")
+    hits = cand.join(keys, ["kind", "value"], "left_semi").select(F.col("_row").alias(name)).distinct()
+    return mapping.join(hits, F.col(row) == F.col(name), "left_semi")
 
 
 def is_mapped(status: str = "status", strict: bool = False):
@@ -94,3 +96,8 @@ def surviving_domain_summary(mapping: DataFrame, files: DataFrame, row: str, n:
     """Top-N of the domains of mapped rows that still have a file; URLs that are null drop out."""
     kept = keep_surviving(resolve_columns(mapping, keep=[row]).filter(is_mapped()), files, row)
     return top_n_with_others(domain_table(kept, "orig_url", mode), "domain", n)
+
+
+def chart_table(summary: DataFrame, key: str) -> DataFrame:
+    """(key, count, percentage, label): a summary with labels such as ``72.69%``; an empty one stays an empty table."""
+    return summary.select(key, "count", "percentage", F.format_string("%.2f%%", "percentage").alias("label"))

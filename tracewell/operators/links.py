@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import urls
 from tracewell.operators.dedupe import first_by
 
 
+def _others(df: DataFrame, *names: str) -> list[Column]:
+    return [F.col(f"`{c}`") for c in df.columns if c.lower() not in names]
+
+
 def found_urls(df: DataFrame, message: str) -> DataFrame:
-    """Rows of ``df`` exploded to their URL texts: columns of ``df`` and ``pos`` (from 0), ``raw_url``."""
-    return df.select("*", F.posexplode(urls.find_urls(F.col(message))).alias("pos", "raw_url"))
+    """Rows of ``df`` exploded to their URL texts: columns of ``df`` and ``pos`` (from 0), ``raw_url``, which replace columns so named."""
+    return df.select(*_others(df, "pos", "raw_url"), F.posexplode(urls.find_urls(F.col(message))).alias("pos", "raw_url"))
 
 
 def valid_urls(df: DataFrame, message: str) -> DataFrame:
-    """Rows of ``df`` exploded to their clean, valid URLs: columns of ``df`` and ``pos`` (from 0 among all found), ``url``.
+    """Rows of ``df`` exploded to their clean, valid URLs: columns of ``df`` and ``pos`` (from 0 among all found), ``url``,
+    which replace columns so named, the message's too.
 
     Cleaning stands inside the explode, so that filters and later steps read its result instead of working it out again.
     """
     cleaned = F.transform(urls.find_urls(F.col(message)), urls.clean_url)
-    out = df.select("*", F.posexplode(cleaned).alias("pos", "url"))
+    out = df.select(*_others(df, "pos", "url"), F.posexplode(cleaned).alias("pos", "url"))
     return out.filter(F.col("url").isNotNull() & urls.is_valid_url(F.col("url")))
 
 

@@ -243,6 +243,11 @@ def a2b(spark, d):
     return domains.top_n_with_others(_mapping(spark, d).select(urls.netloc(F.col("final_url")).alias("netloc")), "netloc")
 
 
+@query("k9_chart_labels", f"SELECT *, printf('%.2f%%', percentage) AS label FROM ({sql_top_n(DOMAINS, 'domain')})")
+def k9(spark, d):
+    return domains.chart_table(domains.top_n_with_others(domains.domain_table(_mapping(spark, d), "orig_url"), "domain"), "domain")
+
+
 @query("c2_message_domains", sql_top_n(f"SELECT {sql_domain('u')} AS domain FROM (SELECT {sql_norm('url')} AS u FROM ({FIRST_ROWS}))", "domain"))
 def c2(spark, d):
     """From messages to the summary in one plan."""

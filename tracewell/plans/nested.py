@@ -10,18 +10,31 @@ from tracewell.plans.registry import Registry
 
 query = Registry()
 
+#: Headers by JSON functions, entry by entry and header by header.
+FOUND_SQL = """
+WITH v AS (SELECT capture_id, CAST(har AS JSON) AS j FROM har_captures WHERE json_valid(har) AND trim(har) <> ''),
+e AS (SELECT capture_id, j, CASE WHEN json_type(j, '$.log.entries') = 'ARRAY' THEN json_array_length(j, '$.log.entries') ELSE 0 END AS n FROM v),
+x AS (SELECT capture_id, CAST(i + 1 AS INTEGER) AS entry_no, json_extract(j, '$.log.entries[' || i || '].response.headers') AS h FROM (SELECT capture_id, j, unnest(range(CAST(n AS BIGINT))) AS i FROM e)),
+l AS (SELECT capture_id, entry_no, CAST(k + 1 AS INTEGER) AS header_no, json_extract_string(h, '$[' || k || '].name') AS name FROM (SELECT *, unnest(range(CAST(json_array_length(h) AS BIGINT))) AS k FROM x WHERE json_type(h) = 'ARRAY')),
+m AS (SELECT capture_id, entry_no, CAST(unnest(range(len(ks))) + 1 AS INTEGER) AS header_no, unnest(ks) AS name FROM (SELECT *, json_keys(h) AS ks FROM x WHERE json_type(h) = 'OBJECT')),
+named AS (SELECT capture_id, entry_no, header_no FROM l WHERE name <> '' UNION ALL SELECT capture_id, entry_no, header_no FROM m WHERE name <> '')
+SELECT * FROM named
+UNION ALL SELECT capture_id, entry_no, 0 FROM x WHERE NOT EXISTS (SELECT 1 FROM named y WHERE y.capture_id = x.capture_id AND y.entry_no = x.entry_no)
+UNION ALL SELECT capture_id, 0, 0 FROM e WHERE n = 0
+"""
+
 
 def _har(spark: SparkSession, sf_dir: str) -> HarTables:
     return HarTables(table(spark, sf_dir, "har_captures"))
 
 
-@query("p2_found")
+@query("p2_found", FOUND_SQL)
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(capture_id, entry_no, header_no) of the named headers, with rows for entries and files without any."""
     return _har(spark, sf_dir).header_rows()
 
 
-@query("p2_captures")
+@query("p2_captures", "SELECT capture_id, '1' AS dewey, lower(json_type(CAST(har AS JSON))) AS top_kind FROM har_captures WHERE json_valid(har) AND trim(har) <> ''")
 def p2_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _har(spark, sf_dir).captures()
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import SPACE, strip
+from tracewell.io import fresh
 
 
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -164,11 +165,14 @@ def write_per_key(df: DataFrame, key: str, path: str) -> None:
 
 
 def with_destination(df: DataFrame, path: str = "path", order: str = "path") -> DataFrame:
-    """``df`` with ``dest_name`` (name without folders), ``n_same`` files of that name, and ``wins`` for the last in order."""
-    name = F.element_at(F.split(path, "/"), -1)
-    out = df.withColumn("dest_name", name)
-    per = out.groupBy("dest_name").agg(F.count(F.lit(1)).alias("n_same"), F.max(order).alias("_last"))
-    return out.join(per, "dest_name").withColumn("wins", F.col(order) == F.col("_last")).drop("_last")
+    """``df`` with ``dest_name`` (name without folders), ``n_same`` files of that name, and ``wins`` for the last in order.
+
+    Columns of ``df`` with these names give way.
+    """
+    last = fresh(df, "_last")
+    out = df.drop("n_same", "wins").withColumn("dest_name", F.element_at(F.split(path, "/"), -1))
+    per = out.groupBy("dest_name").agg(F.count(F.lit(1)).alias("n_same"), F.max(order).alias(last))
+    return out.join(per, "dest_name").withColumn("wins", F.col(order) == F.col(last)).drop(last)
 
 
 def copy_files(df: DataFrame, source: str, folder: Column, target_root: str) -> None:
