@@ -78,3 +78,12 @@ def test_operator(spark):
     out = sorted((r.entry_id, r.red) for r in personal.personal_items(df, *args, lexicon, kinds, "red").collect())
     assert out == [(1, "mail <E>"), (1, "mail <E>"), (2, ""), (3, ""), (4, "a@b.test"), (5, "<E>")]
     assert personal.personal_items(df.limit(0), *args, lexicon.limit(0), kinds).count() == 0
+
+
+def test_long_runs_cost_little(tool):
+    import time
+
+    began = time.time()
+    for head in ('"to": "', "Dear ", "user=", "Signed for by ", "Petra "):
+        tool.items(head + "Ab" * 100_000 + " x@" + "a." * 20_000 + "1" * 50_000)
+    assert time.time() - began < 20

@@ -30,6 +30,8 @@ from tracewell.llm.garbled import is_media
 KINDS = ("email", "phone", "id_number", "address", "person")
 #: Sentences made for training, passes over them, and the seed.
 TRAIN_SENTENCES, PASSES, SEED = 4_000, 4, 7
+#: Characters in which a name must end; longer runs are no names.
+REACH = 120
 #: Messages of belief propagation at most; partners of a node by one skip key before they hang on its first node alone.
 ROUNDS, CLIQUE = 8, 6
 
@@ -281,14 +283,14 @@ class Finder:
                 add(a, self._grow_low(t, a), "lower")
         for a, _, _ in hits["cue"]:
             m = _CUE.match(t, a)
-            if m and (n := _NAME_AT.match(t, m.end())):
+            if m and (n := _NAME_AT.match(t, m.end(), m.end() + REACH)):
                 a, b = n.start(), n.end()
                 if t[a].isupper():
                     add(*self._grow(t, a, b, back=False), "cue")
                 elif m[0].lower() in _SURE_PHRASES or m[0].endswith((": ", "=")) or m[0].startswith(("Dear", "Hi", "Guest", "Frau", "Recipient", "Tilaaja", "Saaja", "Keyholder", "Merci", "Tere", "Klient")):
                     add(a, self._grow_low(t, a), "cue_low")
         for _, end in emails:
-            if t.startswith(" de ", end) and (n := _NAME_AT.match(t, end + 4)) and n.end() > n.start():
+            if t.startswith(" de ", end) and (n := _NAME_AT.match(t, end + 4, end + 4 + REACH)) and n.end() > n.start():
                 add(*(self._grow(t, *n.span(), back=False) if t[n.start()].isupper() else (n.start(), self._grow_low(t, n.start()))), "cue")
         for a, _, _ in hits["key"]:
             if not (m := _KEYS.match(t, a)):
@@ -357,7 +359,7 @@ class Finder:
                 a = t.index(" ", a) + 1
         if t.startswith(("M. ", "Mme "), a) and t.endswith(("chez ", "Chez "), 0, a):
             a = t.index(" ", a) + 1
-        m = _NAME_AT.match(t, a)
+        m = _NAME_AT.match(t, a, max(b, a) + REACH)
         if m and m.end() > b:
             first = t[a] >= "Ѐ"
             b = next((w.start() for w in re.finditer(r"(?<= )\w", m[0]) if (w[0] >= "Ѐ") != first and a + w.start() > b), None)
