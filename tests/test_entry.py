@@ -28,3 +28,28 @@ def test_every_core_query_runs(spark, data_dir):
             want = con.execute(f"select {cols} from ({core.ORACLE[name]})").fetchall()
             fix = lambda rs: sorted(repr([round(x, 8) if isinstance(x, float) else x for x in r]) for r in rs)
             assert fix(rows) == fix(want), name
+
+
+def test_nothing_else_imports_the_text_operators():
+    import pathlib
+
+    root = pathlib.Path(entry.__file__).parent
+    users = [p for p in (root / "tracewell").rglob("*.py") if "llm" not in p.relative_to(root).parts and "tracewell.llm" in p.read_text()]
+    assert not users
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_and_columns_reach_the_scan(spark, data_dir):
+    exact = plan(core.QUERIES["j4_semi_exact"](spark, data_dir))
+    assert "EqualTo(status,mapped)" in exact and "final_url" not in exact
+    assert "ReadSchema: struct<msg_id:bigint,to_number:string>" in plan(core.QUERIES["u1_union_all"](spark, data_dir))
+    headers = plan(core.QUERIES["p2_headers"](spark, data_dir))
+    assert "captured_at" not in headers and "Exchange" not in headers
+
+
+def test_one_shuffle_for_links(spark, data_dir):
+    assert plan(core.QUERIES["c1_extract_urls"](spark, data_dir)).count("Exchange ") == 1
+    assert plan(core.QUERIES["c5_normalize_answer"](spark, data_dir)).count("Exchange ") == 0

@@ -87,9 +87,12 @@ def keep_surviving(mapping: DataFrame, files: DataFrame, row: str, hash_col: str
 
 
 def is_mapped(status: str = "status", strict: bool = False):
-    """Whether a mapping row's status is mapped; unless strict in any letter case and with white space around."""
+    """Whether a mapping row's status is mapped; unless strict in any letter case and with white space around.
+
+    Null for null, which a filter drops: the strict form is a plain comparison, so that it reaches the scan.
+    """
     c = F.col(status)
-    return F.coalesce((c if strict else F.lower(strip(c))) == "mapped", F.lit(False))
+    return (c if strict else F.lower(strip(c))) == "mapped"
 
 
 def surviving_domain_summary(mapping: DataFrame, files: DataFrame, row: str, n: int = 10, mode: str = "default") -> DataFrame:
