@@ -89,15 +89,15 @@ _DOT = r"(?:\.| ?[\[({] ?dot ?[\])}] ?| dot )"
 _DOMAIN = re.compile(rf"[ ]?([^\W_][\w-]*(?:{_DOT}[^\W_][\w-]*)*{_DOT}([^\W\d_][^\W_]*(?:-[^\W_]+)*))", re.I)
 _FILES = {"png", "jpg", "jpeg", "gif", "webp", "svg", "css", "js", "html", "woff", "woff2", "ico", "json", "php"}
 _PHONE_SHAPES = (
-    ("intl0", r"\+\d{1,3}[ .-]?\(0\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}"),
-    ("us+", r"\+1[ .-]\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}"),
+    ("trunk0", r"\+\d{1,3}[ .-]?\(0\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}"),
+    ("us1", r"\+1[ .-]\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}"),
     ("two4", r"\+\d{3}[ .-]\d{4}[ .-]\d{4}"),
     ("three3", r"\+\d{2,3}(?:[ .-]\d{3}){3}"),
     ("e164", r"\+\d{9,14}"),
     ("intl", r"\+\d{1,3}(?:[ .-]\d{2,5}){2,4}"),
     ("usp", r"\(\d{3}\) ?\d{3}[-. ]\d{4}"),
-    ("us", r"\d{3}([-. ])\d{3}\1\d{4}"),
-    ("pairs", r"0\d([ .-])\d\d\2\d\d\2\d\d\2\d\d"),
+    ("us", r"\d{3}(?P<sign>[-. ])\d{3}(?P=sign)\d{4}"),
+    ("pairs", r"0\d(?P<gap>[ .-])\d\d(?P=gap)\d\d(?P=gap)\d\d(?P=gap)\d\d"),
     ("uk", r"0\d{4} \d{6}|0\d{4} \d{3} \d{3}"),
     ("area", r"0\d{2} \d{4} \d{4}|0\d{2} \d{5} \d{3}|0\d{3} \d{6,7}"),
     ("au", r"0\d{3}[- ]\d{3}[- ]\d{3}"),
@@ -111,7 +111,12 @@ _ID_SHAPES = (
     ("eleven", r"\d{11}|\d{6}-\d{5}"),
     ("nine", r"\d{9}"),
 )
-_NUMBER = re.compile(r"(?<![\w.,/-])(?:" + "|".join(f"(?P<{'p' if k == 0 else 'i'}{n}>{re.sub(r'\\(\d)', lambda m: f'(?P=s{n})', re.sub(r'\(\[', f'(?P<s{n}>[', s, count=1)) if 'us' == name or 'pairs' == name else s})" for k, shapes in ((0, _PHONE_SHAPES), (1, _ID_SHAPES)) for n, (name, s) in enumerate(shapes)) + r")(?![\w]|[-/]\d)(?:,? ?(?:x|ext\.?|#) ?\d{1,5}\b)?")
+#: A phone number with its extension, or an identity number; the outer group's name tells which, and its shape.
+_NUMBER = re.compile(
+    r"(?<![\w.,/-])(?:"
+    + "|".join(f"(?P<{kind}_{name}>{shape})" for kind, shapes in (("phone", _PHONE_SHAPES), ("id_number", _ID_SHAPES)) for name, shape in shapes)
+    + r")(?![\w]|[-/]\d)(?:,? ?(?:x|ext\.?|#) ?\d{1,5}\b)?"
+)
 _NUMBER_START = re.compile(r"(?<![\w.,/-])(?:[+(]?\d(?=[\d ().-])|[A-Z]{1,2}\d{7})")
 _NO = r"\d{1,4}(?: ?(?:bis|ter|[a-zA-Z]\b))?"
 _STREETS = (
@@ -234,14 +239,11 @@ class Finder:
             if i < at or not (m := _NUMBER.match(t, i) or (t[i] in "+(" and _NUMBER.match(t, i + 1))):
                 continue
             at = m.end()
-            name = m.lastgroup
-            group = next(g for g in m.groupdict() if g[0] in "pi" and m[g] is not None) if name is None or name[0] == "s" else name
-            kind, shapes = ("phone", _PHONE_SHAPES) if group[0] == "p" else ("id_number", _ID_SHAPES)
-            digits = re.sub(r"\D", "", m[group])
-            start = m.start(group)
+            kind, _, shape = m.lastgroup.rpartition("_")
+            start = m.start(m.lastgroup)
+            digits = re.sub(r"\D", "", m[m.lastgroup])
             while not t[start].isalnum():
                 start += 1
-            shape = shapes[int(group[1:])][0]
             yield Candidate(kind, start, m.end(), shape, (f"#{digits[-7:]}",))
 
     @staticmethod
