@@ -150,9 +150,9 @@ def lookalike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     are made between these distinct texts, and only then spread over the rows that hold them: copies of one text never meet each
     other, and no step has more rows than the result.
     """
-    rows = _keys(df, key, text)
+    rows = once(_keys(df, key, text))  # texts are read one time
     several = rows.groupBy("s").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo < hi").select("s")
-    cases = once(rows.join(several, "s", "left_semi"))
+    cases = rows.join(several, "s", "left_semi")
     texts = cases.select("s", "t").distinct()
     pairs = texts.join(texts.withColumnRenamed("t", "u"), "s").filter("t < u").select("t", "u")
     a = cases.select(F.col(key).alias("_a"), "t")
