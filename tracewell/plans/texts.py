@@ -145,7 +145,7 @@ def s13(spark, d):
 def s15(spark, d):
     """Keyword lists made of part types and brands."""
     rows = table(spark, d, "part").select("p_brand", F.concat_ws(",", "p_type", "p_brand", "p_type").alias("value")).distinct()
-    return rows.select("p_brand", F.posexplode(F.split("value", ",")).alias("ord", "keyword")).groupBy("p_brand", "keyword").agg(F.min("ord").alias("ord"))
+    return files.keywords(rows, "value", ["p_brand"])
 
 
 CLUSTER_TEXT = "SELECT r_regionkey, '## ' || r_name || chr(10) || string_agg('- ' || n_name, chr(10) ORDER BY n_nationkey) AS value FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name"

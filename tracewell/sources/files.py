@@ -117,12 +117,15 @@ def numbered_lines(df: DataFrame, key: str, item_no: str, origin: str, payload:
     return df.select(key, item_no, line.alias("line"))
 
 
-def keywords(df: DataFrame, text: str = "value") -> DataFrame:
-    """(keyword, ord): keywords of texts, one a line, or parted by commas too if a comma occurs; each once, at its first place."""
+def keywords(df: DataFrame, text: str = "value", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, keyword, ord): keywords of texts, one a line, or parted by commas too if a comma occurs; each once, at its first place.
+
+    Without ``keys`` the texts are one list; with them a list per key.  Null and blank texts have none.
+    """
     sep = F.when(F.col(text).contains(","), F.lit(r"[,\n]+")).otherwise(F.lit(r"\n+"))
-    parts = df.select(F.posexplode(F.split(F.col(text), sep)).alias("ord", "keyword"))
-    parts = parts.select(strip(F.col("keyword")).alias("keyword"), "ord").filter("keyword <> ''")
-    return parts.groupBy("keyword").agg(F.min("ord").alias("ord"))
+    parts = df.select(*keys, F.posexplode(F.split(F.col(text), sep)).alias("ord", "keyword"))
+    parts = parts.select(*keys, strip(F.col("keyword")).alias("keyword"), "ord").filter("keyword <> ''")
+    return parts.groupBy(*keys, "keyword").agg(F.min("ord").alias("ord"))
 
 
 def clusters(df: DataFrame, text: str = "value") -> DataFrame:
