@@ -112,7 +112,12 @@ _ODD = (
     re.compile(f"[a-z]{{2}}[‰ˆ˜¸·‡∞≤≥÷¤¦¨¬¯¹¿√∂∑˙⌡├┬╝]+$"),
     re.compile(f"^[ˆ‰˜¸⌡÷≤≥±¤¦¹¿§]+(?=[a-z]{{3}})(?!¿)"),
     re.compile(f"[{_LOWER}][{_UPPER}]+(?:[{_LOWER}]|$)"),
+    re.compile(f"^[A-Z][À-ÖØ-Þ][{_LOWER}]{{2}}"),
     re.compile("[∞][CF]$"),
+    # dotless i beside a vowel, or with front vowels in a word without other Turkish letters
+    re.compile("[aeiouäöüAEIOU]ı|ı[aeiouäöü]|^(?!.*[şğçİŞĞÇ])(?=.*ı).*[eiöüä]"),
+    # an apostrophe that became an accented i
+    re.compile("^(?:[ldsjcmntLDSJCMNT]|[Qq]u)í[aeiouhéêè][a-zé]{4}"),
     re.compile("°⁄"),
     # Greek, Cyrillic or box letters next to small Latin ones
     re.compile("[a-z][\u0386-\u03ce\u0400-\u04ff]|[\u0386-\u03ce\u0400-\u04ff][a-z]{2}"),

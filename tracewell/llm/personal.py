@@ -29,7 +29,7 @@ from tracewell.llm.garbled import is_media
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 #: Sentences made for training, passes over them, and the seed.
-TRAIN_SENTENCES, PASSES, SEED = 4_000, 4, 7
+TRAIN_SENTENCES, PASSES, SEED = 6_000, 4, 7
 #: Characters in which a name must end; longer runs are no names.
 REACH = 120
 #: Messages of belief propagation at most; partners of a node by one skip key before they hang on its first node alone.
@@ -326,6 +326,17 @@ class Finder:
             ws = [w for w in re.split(r"[\s,]+|(?<=\w)-(?=\w)", t[a:b].lower()) if w]
             yield Candidate("person", a, b, self._case(t[a:b]), tuple({w.strip(".") for w in ws if len(w) > 3}), [], source)
 
+    def _name_words(self, name: str) -> list[str]:
+        """Words of a small-letter name; what the lexicon has as one (with hyphens, with particles) is one."""
+        out = []
+        for part in re.split(r"[,.]+ ?", name):
+            words = part.split()
+            while words:
+                n = next((n for n in range(len(words), 0, -1) if " ".join(words[:n]) in self.part), 0)
+                out += [" ".join(words[:n])] if n else words[0].split("-")
+                words = words[max(n, 1) :]
+        return [w for w in out if w]
+
     @staticmethod
     def _case(s: str) -> str:
         letters = [c for c in s if c.isalpha()]
@@ -402,8 +413,8 @@ class Finder:
 
     def _features(self, t: str, c: Candidate) -> None:
         left, right = t[max(0, c.start - 42) : c.start], t[c.end : c.end + 24]
-        lw = re.findall(r"[^\W\d_]+|\d+|[^\w\s]", left.lower())[-3:]
-        rw = re.findall(r"[^\W\d_]+|\d+|[^\w\s]", right.lower())[:2]
+        lw = ["0" if w.isdigit() else w for w in re.findall(r"[^\W\d_]+|\d+|[^\w\s]", left.lower())[-3:]]  # any number is one word
+        rw = ["0" if w.isdigit() else w for w in re.findall(r"[^\W\d_]+|\d+|[^\w\s]", right.lower())[:2]]
         k = c.kind
         f = c.features = [f"{k}|{x}" for x in c.features]
         f += [f"{k}", f"{k}|shape={c.shape}"]
@@ -415,7 +426,7 @@ class Finder:
             f.append(f"{k}|shape={c.shape}|l={words[-1] if words else '^'}")
             f.append(f"{k}|l3={' '.join(words[-3:])}")
         if k == "person":
-            ws = [w for w in re.split(r"[\s,.]+|(?<=\w)-(?=\w)", t[c.start : c.end].lower()) if w]
+            ws = self._name_words(t[c.start : c.end].lower())
             parts = ["".join(sorted(x[0] for x in self.part.get(w, ()))) or ("i" if len(w) == 1 else "p" if w in ("van", "der", "von", "de", "del") else "u") for w in ws]
             f += [f"person|n={min(len(ws), 4)}", f"person|parts={'-'.join(parts[:4])}", f"person|src={c.source}", f"person|parts={'-'.join(parts[:4])}|src={c.source}", f"person|known={any('g' in p or 'f' in p for p in parts)}|n={min(len(ws), 3)}|{c.shape}"]
             f.append(f"person|src={c.source}|r={rw[0] if rw else '$'}")
@@ -487,7 +498,7 @@ Recipient {P}, {A}, Villamora, phone {T}|Tilaaja {P}, osoite {A}, 12345 Brenholm
 SMS to {T} failed, email {E} used instead.|Contact on file: {E} / {T}|Courier will call {T} before arrival.|Soitamme numeroon {T} huomenna.|Sinu kood saadeti numbrile {T}.|Verified identity {I}|Verified identity {J}|Application lists {I}.|Application lists {J}.|We linked the subscription with {I}.
 Best regards,⏎{P}|Kind regards,⏎{P}|Deliver to {A}, Villamora|Home address changed to {A}, Wierzbin; code 685-52-T.|Adresse : {A}, Quarryford|Письмо отправлено на {E}, адрес {A}.|mailto:{E}|Unsubscribe https://tlnk.example/u?m={E}|Receipt was sent to {E} on 12/1.|Die Rechnung haben wir an {E} geschickt.
 {"customer":{"fullName":"{P}","email":"{E}","phone":"{T}"}}|"shipping": {"street": "{A}", "zip": "75312", "to": "{P}"}|"kyc":{"documentNumber":"{J}","verified":false}|"contacts":["{E}","{T}"]|Names: {P}, {P} and {P}.|{P} called about {F}.|Recipient {P}⏎{A}
-The Winter Rose bouquet costs 7 EUR.|Mark all as read by April 6.|Mark the box in April.|The rose garden opens in May.|Grace period ends on April 3.|Field 7 is required.|A frank answer to the mark on the field.|Open the Field Guide.|In April the price falls.|Rose water, 3 EUR|Check the Mark column.
+The Winter Rose bouquet costs 7 EUR.|Mark all as read by April 6.|Mark the box in April.|Read by April 12.|valid until May 3, 2024|since April 2024|due on March 9 or April 10|The rose garden opens in May.|Grace period ends on April 3.|Field 7 is required.|A frank answer to the mark on the field.|Open the Field Guide.|In April the price falls.|Rose water, 3 EUR|Check the Mark column.
 Tracking number 005450298615 is active.|Order 08695807122 was split.|Order 05599658250 was split.|Build 2024011.9456 at 1713799713402.|Lot 41582/3641 from 12:93 to 14:97|Session 86149074-0609-3491-a200 closed.|Part no. 204-57-02 fits.|Part no. 204-57-2040 fits.|Part no. 312-555-0142 fits.|Serial 204-57-2041 works.
 Barcode 4006381333931 scanned 2 times.|Server 10.21.4.21 answered in 21 ms.|"traceId": "870428502"|"traceId": "87042850211"|Box 59.4372, 24.7536|Version 2.10.3-114 and 0491-570-97211|Invoice 977270077 is open.|Ref 977270077|Code VP695348 opens the box.|Parcel RK6953481 left.|Barcode 977270078 was scanned.|SKU 870428502
 Icon logo@2x.png and banner@3x.webp were cached.|Package tools@28.2.1 needs core@1.28.0.|Follow @parcelnews for updates, tickets at night.|points are added at night.|Our team sorted 12 items at 12.30|Room 12 at the airport stand is open again.|Take bus 14 Central Way today.|Tracking 0123456789 and 0123456788.
@@ -522,7 +533,7 @@ class Maker:
     def person(self) -> str:
         r, g, f = self.r, self.given_name(), self.family_name()
         x = r.random()
-        s = f"{g} {f}" if x < 0.66 else f"{g[0]}. {f}" if x < 0.74 else f"{f}, {g}" if x < 0.84 else f"{g} {r.choice('ABDKMT')}. {f}" if x < 0.9 else f"{g}-{self.given_name()} {f}" if x < 0.94 else g if x < 0.97 else f
+        s = f"{g} {f}" if x < 0.66 else f"{g[0]}. {f}" if x < 0.74 else f"{f}, {g}" if x < 0.82 else f"{g} {r.choice('ABDKMT')}. {f}" if x < 0.87 else f"{g}-{self.given_name()} {f}" if x < 0.94 else g if x < 0.97 else f
         y = r.random()
         return s.upper() if y < 0.09 else s.lower() if y < 0.28 and "," not in s else s
 
