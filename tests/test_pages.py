@@ -76,3 +76,47 @@ def test_literals_like_one_pattern():
     began = time.time()
     webjson.inline_json_of("a.b={c:1}\n" * 50_000 + "x" * 300_000)
     assert time.time() - began < 10
+
+
+def test_scripts_and_literals_of_decoded_bodies(spark, tmp_path):
+    """Every response's decoded body is searched, like each body by itself."""
+    from tracewell.plans.pages import query
+
+    page = """<ScRipT type="application/json">{"k": "ä"}</ScRipT><script>var x = {"b": 2}; w.y = [3];</script>"""
+    code = lambda name: base64.b64encode(page.encode(name)).decode()
+    rows = [
+        (1, page, None, "text/html"), (2, code("utf-8"), "base64", "text/html"), (3, code("latin-1"), " BASE64", "text/html; charset=iso-8859-1"), (4, code("utf-8"), None, "text/html"),
+        (5, None, None, None), (6, "", "base64", None), (7, "no = script", None, None), (8, "abc", "base64", "text/html"),
+    ]
+    spark.createDataFrame([(k, t, e, m, "h", 0) for k, t, e, m in rows], "entry_id bigint, text string, encoding string, mimetype string, hash string, entry_no int").write.parquet(f"{tmp_path}/har_responses.parquet")
+    for name, of in (("ref_p22_script_json", webjson.script_json_of), ("ref_p23_inline_json", webjson.inline_json_of)):
+        want = [(k, i, p) for k, t, e, m in rows for i, p in enumerate(of(body.decode_body(t, e, m)))]
+        got = sorted(tuple(r) for r in query.queries[name](spark, str(tmp_path)).select("entry_id", "pos", "payload").collect())
+        assert got == want and {k for k, _, _ in got} == {1, 2, 3}, name
+
+
+def test_queries_on_decoded_bodies(spark, tmp_path):
+    """The decoded forms of queries whose SQL reads raw texts, against each body by itself."""
+    from tracewell.operators import classify
+    from tracewell.plans.pages import query
+    from tracewell.plans.texts import query as texts
+
+    code = lambda t: base64.b64encode(t.encode()).decode()
+    rows = [
+        (1, 'cb({"a":1});', None, None, "h1"), (2, code('cb({"a":2});'), "base64", None, "h1"), (3, code('{"to": "ann@b.test"}'), "BASE64", None, "h2"), (4, code("<!doctype html>+4412345678"), "base64", None, None), (5, None, None, "text/html", "h1"),
+        (6, code("call +4412345678"), "base64", None, "done"), (7, code("  "), "base64", None, "h1"), (8, code("w " * 25_000 + "ann@b.test 123-45-6789"), "base64", "text/plain", "h1"), (9, code("no data"), None, None, "h1"),
+    ]
+    spark.createDataFrame([(*r, 0) for r in rows], "entry_id bigint, text string, encoding string, mimetype string, hash string, entry_no int").write.parquet(f"{tmp_path}/har_responses.parquet")
+    spark.createDataFrame([("done",), (None,)], "hash string").write.parquet(f"{tmp_path}/har_captures.parquet")
+    run = lambda q, name: sorted(tuple(r) for r in q.queries[name](spark, str(tmp_path)).collect())
+    bodies = {k: body.decode_body(t, e, m) for k, t, e, m, _ in rows}
+    assert [k for k, _ in run(query, "ref_p19_jsonp_decoded")] == [1, 2] and [k for k, _ in run(query, "ref_p19_jsonp")] == [1]
+    sniffed = {k: (j, h) for k, j, h in run(query, "ref_p20_sniff_decoded")}
+    assert sniffed == {k: (b[:1] in "{[" and b != "", b.startswith("<!doctype")) for k, b in bodies.items() if k != 5}
+    import re
+
+    want = []
+    for k, _, _, _, page in rows:
+        if page != "done" and bodies[k].strip():
+            want.append((k, len(bodies[k]) > 50_000, "Y" if any(re.search(r, bodies[k]) for _, r in classify.RULES) else "N,{}"))
+    assert run(texts, "c7_classify_logs_decoded") == want and {k for k, _, r in want if r == "Y"} == {3, 4, 8}

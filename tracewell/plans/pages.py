@@ -41,8 +41,8 @@ def p17(spark, d):
     return _responses(spark, d).select("entry_id", webjson.charset(F.col("mimetype")).alias("charset"))
 
 
-def _bodies(spark, d) -> DataFrame:
-    return _responses(spark, d).select("entry_id", "hash", "entry_no", "mimetype", body(F.col("text"), F.col("encoding"), F.col("mimetype")).alias("body"))
+def _bodies(spark, d, where: str = "true") -> DataFrame:
+    return _responses(spark, d).filter(where).select("entry_id", "hash", "entry_no", "mimetype", body(F.col("text"), F.col("encoding"), F.col("mimetype")).alias("body"))
 
 
 @query("ref_p18_body")
@@ -62,6 +62,13 @@ def p19(spark, d):
     return rows.select("entry_id", F.md5("p").alias("digest"))
 
 
+@query("ref_p19_jsonp_decoded")
+def p19b(spark, d):
+    """What JSONP calls pass, of decoded bodies."""
+    rows = _bodies(spark, d).select("entry_id", webjson.unwrap_jsonp(F.col("body")).alias("p")).filter("p <> ''")
+    return rows.select("entry_id", F.md5("p").alias("digest"))
+
+
 def _left(n: int) -> str:
     return f"regexp_replace(left(text, {n}), '^[{SPACE}]+', '')"
 
@@ -74,6 +81,14 @@ def p20(spark, d):
     return _responses(spark, d).filter("text is not null").select("entry_id", webjson.looks_like_json(ct, b).alias("json"), webjson.looks_like_html(ct, b).alias("html"))
 
 
+@query("ref_p20_sniff_decoded")
+def p20b(spark, d):
+    """JSON-like and HTML-like responses by type and decoded body."""
+    ct, b = F.col("mimetype"), F.col("body")
+    rows = _bodies(spark, d, "text is not null")
+    return rows.select("entry_id", webjson.looks_like_json(ct, b).alias("json"), webjson.looks_like_html(ct, b).alias("html"))
+
+
 @query("ref_p21_json_canon", "SELECT event_id, replace(props, ' ', '') AS canon FROM events")
 def p21(spark, d):
     return table(spark, d, "events").select("event_id", webjson.canonical_json(F.col("props")).alias("canon"))
@@ -86,13 +101,13 @@ def p21b(spark, d):
 
 @query("ref_p22_script_json")
 def p22(spark, d):
-    rows = _responses(spark, d).filter(F.col("text").contains("<script") | F.col("text").contains("<SCRIPT"))
-    return rows.select("entry_id", F.posexplode(webjson.script_json(F.col("text"))).alias("pos", "payload"))
+    rows = _bodies(spark, d).filter(F.col("body").rlike("(?i)<script"))
+    return rows.select("entry_id", F.posexplode(webjson.script_json(F.col("body"))).alias("pos", "payload"))
 
 
 @query("ref_p23_inline_json")
 def p23(spark, d):
-    return _responses(spark, d).filter(F.col("text").contains("=")).select("entry_id", F.posexplode(webjson.inline_json(F.col("text"))).alias("pos", "payload"))
+    return _bodies(spark, d).filter(F.col("body").contains("=")).select("entry_id", F.posexplode(webjson.inline_json(F.col("body"))).alias("pos", "payload"))
 
 
 FIRST_PROPS = """SELECT user_id, p, min(event_id) AS e FROM (SELECT user_id, event_id, replace(props, ' ', '') AS p FROM events) GROUP BY 1, 2"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as tx
+from tracewell.functions.body import body
 from tracewell.io import table
 from tracewell.operators import classify, dedupe, labels
 from tracewell.plans.links import sql_strip
@@ -264,8 +265,18 @@ def c6(spark, d):
  SELECT entry_id, chunked, CASE WHEN count(label) = 0 THEN 'N,{{}}' ELSE 'Y' END AS result FROM r GROUP BY 1, 2""")
 def c7(spark, d):
     """Response texts of pages without a later capture, by the rule model; long ones chunk by chunk."""
-    rows = table(spark, d, "har_responses")
+    return _logs(table(spark, d, "har_responses"), spark, d)
+
+
+def _logs(rows: DataFrame, spark: SparkSession, d: str) -> DataFrame:
     done = table(spark, d, "har_captures").select("hash")
     todo = dedupe.not_done(rows, "hash", done)
     out = classify.classify_logs(todo, "entry_id", "text", classify.rules)
     return out.select("entry_id", "chunked", F.when(F.col("result").startswith("Y"), "Y").otherwise(F.col("result")).alias("result"))
+
+
+@query("c7_classify_logs_decoded")
+def c7b(spark, d):
+    """As c7_classify_logs, of decoded bodies."""
+    rows = table(spark, d, "har_responses")
+    return _logs(rows.select("entry_id", "hash", body(F.col("text"), F.col("encoding"), F.col("mimetype")).alias("text")), spark, d)
