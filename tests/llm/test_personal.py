@@ -87,3 +87,20 @@ def test_long_runs_cost_little(tool):
     for head in ('"to": "', "Dear ", "user=", "Signed for by ", "Petra "):
         tool.items(head + "Ab" * 100_000 + " x@" + "a." * 20_000 + "1" * 50_000)
     assert time.time() - began < 20
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Dear Zorvel Kentar, your parcel is here. Zorvel Kentar will collect it.", "The box waits; Zorvel Kentar may open it. Dear Zorvel Kentar, thank you.", "Klient: Zorvel Kentar, PESEL: 50272402679. We left it with Kentar on Monday.",
+        "Signed for by Zorvel Kentar. The parcel of ZORVEL KENTAR, and the bill of zorvel kentar, are settled.",
+    ],
+)
+def test_names_outside_the_lexicon_are_found_again(tool, text):
+    out = tool.redact(text).lower()
+    assert "zorvel" not in out and "kentar" not in out and "[person]" in out
+
+
+def test_words_of_no_name_stay(tool):
+    text = "Hello and welcome! The Winter Rose bouquet costs 7 EUR. Hi there! Welcome to Club Points, and Club Points again."
+    assert tool.redact(text) == text

@@ -3,7 +3,8 @@
 A skip-chain conditional random field over candidate spans.  Candidates come from patterns, a name automaton and cues, wide enough
 to hold decoys too.  Each is a node with the labels item or none; its own potential is log-linear in shape, lexicon and context
 features.  Neighbours in a sentence share a chain potential; candidates of a document with the same name word, or the same
-digits, share a skip potential, so that a name that is clear at one place is found at the others.  Loopy belief propagation gives
+digits, share a skip potential, so that a name that is clear at one place is found at the others: names of the lexicon wherever they
+stand, other names where a cue, key or word after them shows them once, then at their further places too.  Loopy belief propagation gives
 the marginals.  Weights are learnt by pseudo-likelihood on sentences that are made here from the lexicon and from invented names;
 nothing is learnt from the data's own rows.
 """
@@ -16,7 +17,7 @@ import random
 import re
 from bisect import bisect_right
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -162,6 +163,12 @@ _NOT_NAME = {w.lower() for w in _LEFT} | set(
 _STOP = set("in at on by near behind beside the a an is was has and or to from for of with confirmed moved signed your our votre osoite tel mail born isikukood und et de y en sur la le el".split())
 
 
+def _lower(t: str) -> str:
+    """Small letters, each in its place."""
+    low = t.lower()
+    return low if len(low) == len(t) else "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
+
+
 @dataclass
 class Candidate:
     kind: str
@@ -203,11 +210,8 @@ class Finder:
 
     def hits(self, t: str) -> dict[str, list[tuple[int, int, object]]]:
         """(start, end, value) of names, street words, cues, keys and words after names, by kind: one pass over the text."""
-        low = t.lower()
-        if len(low) != len(t):
-            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
         out: dict[str, list] = defaultdict(list)
-        for end, (size, of) in self.words.iter(low):
+        for end, (size, of) in self.words.iter(_lower(t)):
             for kind, value in of:
                 out[kind].append((end + 1 - size, end + 1, value))
         return out
@@ -322,10 +326,57 @@ class Finder:
                     b = m.end()
             last = b
             out.append((a, b, source))
+        out = sorted(out + self._repeats(t, out, free))
         for a, b, source in out:
             ws = [w for w in re.split(r"[\s,]+|(?<=\w)-(?=\w)", t[a:b].lower()) if w]
             yield Candidate("person", a, b, self._case(t[a:b]), tuple({w.strip(".") for w in ws if len(w) > 3}), [], source)
 
+    def _repeats(self, t: str, found: list[tuple[int, int, str]], free: Callable[[int, int], bool]) -> list[tuple[int, int, str]]:
+        """Further places, with a capital or as the whole name, of names outside the lexicon that cues, keys or words after them show."""
+        words: dict[str, bool] = {}  # whether in small letters too
+        for a, b, source in found:
+            if source not in ("cue", "cue_low", "key", "before"):
+                continue
+            name = t[a:b].lower()
+            new = [w for w in (x.strip(".") for x in re.split(r"[\s,]+|(?<=\w)-(?=\w)", name)) if len(w) > 3 and w not in self.part and w not in _NOT_NAME]
+            if len(name) == b - a and new:
+                words |= {w: w in words and words[w] for w in new}
+                if " " in name:
+                    words[name] = True
+        if not words:
+            return []
+        automaton = ahocorasick.Automaton()
+        for w, small in words.items():
+            automaton.add_word(w, (len(w), small))
+        automaton.make_automaton()
+        starts = [a for a, _, _ in found]
+        spans: dict[int, int] = {}
+        for end, (size, small) in automaton.iter(_lower(t)):
+            a, b = end + 1 - size, end + 1
+            if (a and (t[a - 1].isalnum() or t[a - 1] in "_@")) or (b < len(t) and (t[b].isalnum() or t[b] in "_@")) or not (small or t[a].isupper()):
+                continue
+            i = bisect_right(starts, a)
+            if i and found[i - 1][1] > a:
+                continue
+            if t[a].isupper():
+                a, b = self._grow(t, a, b)
+                b = self._trim(t, a, b)
+            # what grew into a known candidate ends before it
+            i = bisect_right(starts, a)
+            if i and found[i - 1][1] > a:
+                a, b = end + 1 - size, max(b, end + 1)
+                i = bisect_right(starts, a)
+            if i < len(found) and found[i][0] < b:
+                b = max(end + 1, self._trim(t, a, found[i][0]))
+            if b > a and free(a, b) and not (i < len(found) and found[i][0] < b):
+                spans[a] = max(b, spans.get(a, 0))
+        out, last = [], -1
+        for a, b in sorted(spans.items()):
+            if a >= last:
+                last = b
+                out.append((a, b, "repeat"))
+        return out
+
     def _name_words(self, name: str) -> list[str]:
         """Words of a small-letter name; what the lexicon has as one (with hyphens, with particles) is one."""
         out = []
@@ -430,6 +481,8 @@ class Finder:
             parts = ["".join(sorted(x[0] for x in self.part.get(w, ()))) or ("i" if len(w) == 1 else "p" if w in ("van", "der", "von", "de", "del") else "u") for w in ws]
             f += [f"person|n={min(len(ws), 4)}", f"person|parts={'-'.join(parts[:4])}", f"person|src={c.source}", f"person|parts={'-'.join(parts[:4])}|src={c.source}", f"person|known={any('g' in p or 'f' in p for p in parts)}|n={min(len(ws), 3)}|{c.shape}"]
             f.append(f"person|src={c.source}|r={rw[0] if rw else '$'}")
+        if c.source == "repeat":  # with weights of their own
+            c.features = [x.replace("person", "repeat", 1) for x in f]
 
 
 _NAME_BEFORE = re.compile(rf"(?<![\w'’.-])(?:(?:{_CAP}\.|{_WORD})(?:,? (?:van der )?|-))*(?:{_WORD})\Z")
@@ -440,11 +493,13 @@ _NAME_BEFORE = re.compile(rf"(?<![\w'’.-])(?:(?:{_CAP}\.|{_WORD})(?:,? (?:van
 def edges(cs: list[Candidate]) -> list[tuple[int, int, str]]:
     """Chain edges between neighbours, skip edges between candidates that share a word or digits.
 
-    A group larger than CLIQUE hangs on its first node, so edges grow with the nodes, not their pairs.
+    A group larger than CLIQUE hangs on its first node, so edges grow with the nodes, not their pairs.  Repeats have no edges here.
     """
-    out = [(i, i + 1, f"chain|{cs[i].kind}|{cs[i + 1].kind}") for i in range(len(cs) - 1) if cs[i + 1].start - cs[i].end < 60]
+    own = [i for i, c in enumerate(cs) if c.source != "repeat"]
+    out = [(i, j, f"chain|{cs[i].kind}|{cs[j].kind}") for i, j in zip(own, own[1:]) if cs[j].start - cs[i].end < 60]
     groups: dict[tuple[str, str], list[int]] = defaultdict(list)
-    for i, c in enumerate(cs):
+    for i in own:
+        c = cs[i]
         for key in c.keys:
             groups[c.kind, key].append(i)
     for (kind, _), ids in groups.items():
@@ -456,12 +511,28 @@ def edges(cs: list[Candidate]) -> list[tuple[int, int, str]]:
 def marginals(weights: dict[str, float], cs: list[Candidate]) -> list[float]:
     """Probability of each candidate to be an item, by loopy belief propagation.
 
-    Potentials of an edge: its weight where both labels are item; for skips also, less, where both are none.
+    Potentials of an edge: its weight where both labels are item; for skips also, less, where both are none.  A repeat takes one
+    message, from the clearest candidate that shares a word with it, and sends none: it takes no name away elsewhere.
     """
+    total = _totals(weights, cs)
+    clear: dict[str, float] = {}
+    for x, c in zip(total, cs):
+        if c.source != "repeat":
+            clear |= {k: max(x, clear.get(k, x)) for k in c.keys}
+    w, w0 = weights.get("skip|repeat", 0.0), weights.get("skip|repeat|0", 0.0)
+    for i, c in enumerate(cs):
+        if c.source == "repeat" and (near := [clear[k] for k in c.keys if k in clear]):
+            x = max(-30.0, min(30.0, max(near)))
+            total[i] += math.log1p(math.exp(x + w)) - math.log(math.exp(w0) + math.exp(x))
+    return [1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) for x in total]
+
+
+def _totals(weights: dict[str, float], cs: list[Candidate]) -> list[float]:
+    """Log odds of each candidate; of repeats before their message."""
     own = [sum(weights.get(f, 0.0) for f in c.features) for c in cs]
     es = edges(cs)
     if not es:
-        return [1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) for x in own]
+        return own
     near: dict[int, list[int]] = defaultdict(list)
     for e, (a, b, _) in enumerate(es):
         near[a].append(2 * e)  # 2e: message b -> a, 2e + 1: a -> b
@@ -483,7 +554,7 @@ def marginals(weights: dict[str, float], cs: list[Candidate]) -> list[float]:
                 msg[slot] = new
         if change < 1e-3:
             break
-    return [1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) for x in total]
+    return total
 
 
 # --- training ----------------------------------------------------------------------------------------------------------------
@@ -506,6 +577,15 @@ Weekly Offers for Your Bill|Meter Portal|Club Points and Pick-up Details|Hello a
 Reminder: the Ticket Shop opens.|Since 12.05.2024 the Loan Calculator is ready.|Out of Mark range|Visit Grace Field station|April, May and June|MARK AS PAID|A ROSE FOR YOU|"name": "Club points"|"name": "voucher"|"to": "2024-05-01"|"title":"Weekly offers"|from Old Depot to North Hall
 """.strip().replace("\n", "|").split("|")
 
+# Sentences whose words say nothing of a name, {X}, and what may stand there that is none.
+_VAGUE = """
+{X} will collect it.|We left it with {X} on Monday.|The parcel of {X} waits.|The bill of {X} is settled.|The box waits; {X} may open it.|Later {X} came again.|"note": "left with {X} on Monday"|"text": "{X} was here"|Thanks to {X} all is well.|This is for {X} only.|We wrote to {X}, and then {X} answered.|{X}
+Nothing is open for {X} today.|Then {X} is next.|Page of {X}|{X} has 3 parcels.|See {X} for more.|{X} and the depot|{X}: 3 items|Did {X} get it?|If {X} is away, call again.|About {X}
+""".strip().replace("\n", "|").split("|")
+_NO_NAMES = "Weekly Offers|Club Points|Village Shop|Meter Portal|Ticket Shop|Loan Calculator|Parcel Locker|Wifi|Newsletter|Premium Member|Bonus Week|Delivery Notice|Account Centre|Savings Plan|Night Depot|Travel Card".split("|")
+_CUED = "Dear {X}, your parcel is here.|Hello {X}, welcome.|Signed for by {X} at the desk.|Recipient {X}|Guest {X} is here.|Klient: {X}|Kind regards,\n{X}|\"fullName\": \"{X}\"|Odbiorca: {X}|Sehr geehrte Frau {X}, danke.|Keyholder {X} moved.|user={X}".split("|")
+_CUED_NOT = "Hello {X}!|Hello {X}, new today|Hi {X}|Guest {X} is open.|Customer {X}|Client {X}|Name: {X}|Kunde {X}|Welcome to {X}|\"name\": \"{X}\"".split("|")
+
 
 class Maker:
     """Training sentences with their items."""
@@ -594,23 +674,22 @@ class Maker:
             out += r.choice(["\n", " ", "</p><p>", '", "', "\r\n", "</li>\n<li>"])
         return out, gold
 
-
-def train(lexicon: list[tuple[str, str]], sentences: int = TRAIN_SENTENCES, passes: int = PASSES, seed: int = SEED) -> dict[str, float]:
-    """Weights by pseudo-likelihood: each node given its neighbours' true labels, with adaptive gradient steps."""
-    finder, maker = Finder(lexicon), Maker(lexicon, seed)
-    examples = []
-    for _ in range(sentences):
-        text, gold = maker.sentence()
-        cs = finder.candidates(text)
-        y = [(c.kind, c.start) in gold for c in cs]
-        beside: list[list[str]] = [[] for _ in cs]
-        for a, b, name in edges(cs):
-            for i, j in ((a, b), (b, a)):
-                if y[j]:
-                    beside[i].append(name)
-                elif name.startswith("skip"):
-                    beside[i].append("-" + name + "|0")
-        examples += [(c.features, e, label) for c, e, label in zip(cs, beside, y)]
+    def again(self) -> tuple[str, set[tuple[str, int]]]:
+        """A text that has a name outside the lexicon, or words that are none, behind a cue and once more without, and (kind, start) of its items."""
+        r = self.r
+        name = r.random() < 0.6
+        whole = f"{self._invented() if r.random() < 0.7 else self.given_name()} {self._invented()}" if name else r.choice(_NO_NAMES)
+        parts = [r.choice(_CUED if name else _CUED_NOT).replace("{X}", whole)]
+        for part in r.choices(_VAGUE, k=r.randint(1, 4)):
+            y = r.random()
+            parts.append(part.replace("{X}", whole if y < 0.6 else whole.split()[-1] if y < 0.8 else whole.split()[0] if y < 0.9 else whole.upper()))
+        r.shuffle(parts)
+        text = r.choice(["\n", " ", "</p><p>", " Your order is here. "]).join(parts)
+        words = "|".join(map(re.escape, whole.split()))
+        return text, {("person", m.start()) for m in re.finditer(rf"(?i)(?<!\w)(?:{words})(?: (?:{words}))*(?!\w)", text)} if name else set()
+
+
+def _fit(examples: list[tuple[list[str], list[str], bool]], passes: int, seed: int) -> dict[str, float]:
     weights: dict[str, float] = defaultdict(float)
     square: dict[str, float] = defaultdict(lambda: 1e-6)
     order = random.Random(seed)
@@ -630,6 +709,36 @@ def train(lexicon: list[tuple[str, str]], sentences: int = TRAIN_SENTENCES, pass
     return {f: max(0.0, w) if f.startswith("skip") else w for f, w in weights.items() if abs(w) > 1e-3}
 
 
+def train(lexicon: list[tuple[str, str]], sentences: int = TRAIN_SENTENCES, passes: int = PASSES, seed: int = SEED) -> dict[str, float]:
+    """Weights by pseudo-likelihood: each node given its neighbours' true labels, with adaptive gradient steps.
+
+    Repeats learn apart, on texts of their own, so that they change no weight of the others.
+    """
+    finder, maker = Finder(lexicon), Maker(lexicon, seed)
+    examples = []
+    for _ in range(sentences):
+        text, gold = maker.sentence()
+        cs = [c for c in finder.candidates(text) if c.source != "repeat"]
+        y = [(c.kind, c.start) in gold for c in cs]
+        beside: list[list[str]] = [[] for _ in cs]
+        for a, b, name in edges(cs):
+            for i, j in ((a, b), (b, a)):
+                if y[j]:
+                    beside[i].append(name)
+                elif name.startswith("skip"):
+                    beside[i].append("-" + name + "|0")
+        examples += [(c.features, e, label) for c, e, label in zip(cs, beside, y)]
+    maker, repeats = Maker(lexicon, seed + 1), []
+    for _ in range(sentences // 4):
+        text, gold = maker.again()
+        cs = finder.candidates(text)
+        for c in cs:
+            if c.source == "repeat":
+                near = [("person", o.start) in gold for o in cs if o.source != "repeat" and set(o.keys) & set(c.keys)]
+                repeats.append((c.features, ["skip|repeat" if any(near) else "-skip|repeat|0"] if near else [], ("person", c.start) in gold))
+    return _fit(examples, passes, seed) | _fit(repeats, passes, seed)
+
+
 # --- the operator ------------------------------------------------------------------------------------------------------------
 
 _MAY = re.compile(r"@|%40|＠|&#64;|&commat;|u0040|[\[({] ?at ?[\])}]|\d[\d ().-]{6}")
