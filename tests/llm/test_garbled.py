@@ -86,3 +86,20 @@ def test_operator(spark):
     out = garbled.garbled_bodies(df, "entry_id", "text", "encoding", "mimetype", "body").collect()
     assert sorted(map(tuple, out), key=str) == [(1, "café"), (5, "é"), (None, "é")]
     assert garbled.garbled_bodies(df.limit(0), "entry_id", "text", "encoding", "mimetype").count() == 0
+
+
+@pytest.mark.parametrize("text", ["안녕하세요", "გამარჯობა", "Բարեւ", "வணக்கம்", "নমস্কার", "龘靐齉"])
+@pytest.mark.parametrize("wrong", ["cp1252", "latin-1", "cp437", "mac_roman"])
+def test_letters_without_patterns(tool, text, wrong):
+    bad = garbled._sloppy(text.encode(), wrong)
+    assert tool.is_garbled(bad) and tool.repair(bad) == text
+    assert not tool.is_garbled(text)
+
+
+def test_letters_with_horn(tool):
+    assert tool.repair(garbled._sloppy("được nước".encode(), "cp1252")) == "được nước"
+
+
+@pytest.mark.parametrize("text", ["été…» «voilà…»", "лінії мрії НІМІ СІМІ", "шагход хлебцен радуга сокровище", "ĄĘŚĆ ęśąż", "안녕하세요 여러분"])
+def test_correct_text_without_patterns_stays(tool, text):
+    assert not tool.is_garbled(text)

@@ -4,7 +4,8 @@ Garbled sequences are worked out beforehand for all pairs of a true and a wrong
 them.  Only matched spans are replaced; correct text around them stays.
 
 * UTF-8 read with a single-byte encoding leaves two to four characters that stand for one: each such sequence of the repertoire
-  is a pattern of the automaton.  Sequences that correct text can hold as well count only with support around them.
+  is a pattern of the automaton.  Sequences that correct text can hold as well count only with support around them.  Letters
+  outside the repertoire (Hangul, rare Han, Georgian ...) are told by runs: two sequences or more that give letters of one script.
 * A single-byte encoding read with another leaves one character for one, and multi-byte ones leave runs.  These are told from
   correct text by their place in a word, and the reading that was lost must be a plausible one.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 import base64
 import html
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -33,7 +35,7 @@ WRONG = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257",
 LIKELY = ("utf-8", "cp1252", "cp1251", "cp1250", "koi8-r", "cp866", "gb18030", "shift_jis", "euc_jp", "big5")
 #: Blocks of characters that are looked for as garbled: letters, signs, kana, full-width forms, pictures.
 BLOCKS = (
-    (0x80, 0x17F), (0x192, 0x192), (0x218, 0x21B), (0x2C6, 0x2DD), (0x300, 0x30C), (0x386, 0x3CE), (0x400, 0x45F), (0x490, 0x491), (0x5D0, 0x5EA), (0x620, 0x64A), (0x905, 0x94D),
+    (0x80, 0x17F), (0x192, 0x192), (0x1A0, 0x1A1), (0x1AF, 0x1B0), (0x218, 0x21B), (0x2C6, 0x2DD), (0x300, 0x30C), (0x386, 0x3CE), (0x400, 0x45F), (0x490, 0x491), (0x5D0, 0x5EA), (0x620, 0x64A), (0x905, 0x94D),
     (0xE01, 0xE4E), (0x1EA0, 0x1EF9), (0x2010, 0x2027), (0x202F, 0x203A), (0x2044, 0x2044), (0x20A9, 0x20BF), (0x2103, 0x2122), (0x2190, 0x2193), (0x2200, 0x2265), (0x2500, 0x25CF),
     (0x2600, 0x2606), (0x2705, 0x2716), (0x3000, 0x3011), (0x3041, 0x3093), (0x30A1, 0x30FC), (0xFEFF, 0xFEFF), (0xFF01, 0xFF5E), (0xFFFD, 0xFFFD), (0x1F300, 0x1F6FF), (0x1F900, 0x1F9FF))
 #: Lead bytes of the first, frequent level of two double-byte sets.
@@ -59,6 +61,23 @@ def _sloppy(raw: bytes, name: str) -> str:
     return "".join(bytes((b,)).decode(name, "ignore") or chr(b) for b in raw)
 
 
+@lru_cache(maxsize=None)
+def _sequences(name: str) -> tuple[re.Pattern, dict[str, int]]:
+    """Runs of two or more UTF-8 sequences of two or three bytes as an encoding shows them, and its characters' bytes."""
+    back: dict[str, int] = {}
+    for b in range(0x80, 0x100):
+        back.setdefault(_sloppy(bytes((b,)), name), b)
+    some = lambda low, high: "[" + "".join(re.escape(c) for c, b in back.items() if low <= b <= high) + "]"
+    trail = some(0x80, 0xBF)
+    return re.compile(f"(?:{some(0xC2, 0xDF)}{trail}|{some(0xE0, 0xEF)}{trail}{trail}){{2,}}"), back
+
+
+def _script(text: str) -> str | None:
+    """The script that all characters of a text are letters or marks of; None if they aren't of one."""
+    scripts = {unicodedata.name(c, "").split(" ")[0] if unicodedata.category(c)[0] in "LM" else "" for c in text}
+    return scripts.pop() if len(scripts) == 1 else None
+
+
 _RUSSIAN = "А-Яа-яЁё"
 #: What follows a Cyrillic capital in correct text too: small yo, closing signs, dashes, spaces.
 _NATURAL = "ёЁ«»“”„‘’‚…–—•\xa0"
@@ -155,6 +174,7 @@ class Repairer:
     def __init__(self, wrong: tuple[str, ...] = WRONG):
         self.han = common_han()
         chars = [chr(c) for a, b in BLOCKS for c in range(a, b + 1)] + sorted(self.han)
+        self.wrong, self.chars = wrong, frozenset(chars)
         table: dict[str, tuple[str, int]] = {}
         for place, name in enumerate(wrong):
             for ch in chars:
@@ -182,9 +202,29 @@ class Repairer:
                 out.append((start, *best[start]))
         return out
 
+    def _runs(self, word: str, spans: list[tuple[int, int, str, bool]]) -> str | None:
+        """The word with its longest run of UTF-8 sequences of one script replaced that has letters without patterns; None if it has none."""
+        best, reading = "", ""
+        for name in self.wrong:
+            pattern, back = _sequences(name)
+            for m in pattern.finditer(word):
+                run = m[0]
+                # patterns that fit go first; letters of one alphabet in their natural cases are correct text
+                if len(run) <= len(best) or 2 * sum(min(e, m.end()) - max(s, m.start()) for s, e, _, _ in spans if s < m.end() and m.start() < e) > len(run) or (run.isalpha() and _script(run) and not re.search("[а-яё][А-ЯЁ]", run)):
+                    continue
+                try:
+                    text = bytes(back[c] for c in run).decode("utf-8")
+                except UnicodeDecodeError:
+                    continue
+                if not self.chars.issuperset(text) and len(text) > 1 and _script(text) not in (None, "", "LATIN", "GREEK", "CYRILLIC", "COMBINING"):
+                    best, reading = run, text
+        return word.replace(best, reading) if best else None
+
     def _matched(self, word: str) -> str | None:
         """The word with matched spans replaced, if they are garbled; None if not."""
         spans = self.spans(word)
+        if (text := self._runs(word, spans)) is not None:
+            return text
         if not spans:
             return None
         strong = [s for s in spans if not s[3]]
