@@ -10,18 +10,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: White space as Unicode text sees it, for regular expressions of both Java and RE2.
+#: White space as Unicode text sees it, for regular expressions of both Java and RE2, and as its characters.
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def strip(c: Column) -> Column:
     """Without white space at both ends, any Unicode white space."""
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(c, F.lit(SPACES))  # a pattern would try each run of white space inside the text as its end
+
+
+def lstrip(c: Column) -> Column:
+    """Without white space at its beginning."""
+    return F.ltrim(c, F.lit(SPACES))
+
+
+def nonblank(c: Column) -> Column:
+    """Whether a value has a character other than white space; never null."""
+    return F.coalesce(c.rlike(f"[^{SPACE}]"), F.lit(False))
 
 
 def blank(c: Column) -> Column:
     """Whether a value is null, empty or white space only; never null."""
-    return F.coalesce(strip(c) == "", F.lit(True))
+    return ~nonblank(c)
 
 
 def has_alpha(c: Column) -> Column:
@@ -104,31 +115,3 @@ def nfkc(c: Column) -> Column:
     """Compatibility composition.  ASCII values never leave the JVM as text."""
     plain = c.rlike(r"\A[\x00-\x7F]*\z")
     return F.when(plain | c.isNull(), c).otherwise(_nfkc(F.when(~plain, c)))
-
-
-#: A few very frequent words by language, for the default detector: fixed values, a parameter of ``detect_language``.
-STOP_WORDS = {
-    "de": "der die das und ist nicht ein eine für mit auf wir sie ihre bis am zur",
-    "en": "the and is was are to of in for your our with not you from at",
-    "es": "el la los las de que en su para con una un se está por",
-    "et": "ja on ei see teie kuni meie kui võite saada",
-    "fi": "ja on ei se että kun odottaa koodia päivään sinun",
-    "fr": "le la les des est une un vous votre pour et à dans sur été",
-    "pl": "i w na nie jest do się za z twoja dziękujemy",
-    "pt": "o a os as não que em um uma para com já está",
-}
-
-
-def detect_language(c: Column, stop_words: dict[str, str] = STOP_WORDS) -> Column:
-    """Deterministic guess by script, then by frequent words; null where nothing speaks for a language.
-
-    A plain expression that stands in for a detector; any Column function of a text can take its place.
-    """
-    tokens = F.array_distinct(F.split(F.lower(c), r"[^\p{L}]+"))
-    scored = [F.struct(F.size(F.array_intersect(tokens, F.array(*map(F.lit, ws.split())))).alias("n"), F.lit(lang).alias("lang")) for lang, ws in stop_words.items()]
-    best = F.array_max(F.array(*scored))
-    return (
-        F.when(c.rlike(r"[\x{3040}-\x{30FF}]"), "ja").when(c.rlike(r"[\x{AC00}-\x{D7AF}]"), "ko").when(c.rlike(r"[\x{4E00}-\x{9FFF}]"), "zh")
-        .when(c.rlike(r"[\x{0400}-\x{04FF}]"), "ru").when(c.rlike(r"[\x{0E00}-\x{0E7F}]"), "th").when(c.rlike(r"[\x{0600}-\x{06FF}]"), "ar")
-        .when(c.rlike(r"[\x{0370}-\x{03FF}]"), "el").when(best["n"] > 0, best["lang"])
-    )

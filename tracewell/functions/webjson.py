@@ -12,13 +12,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.functions.text import SPACE, strip
+from tracewell.functions.text import lstrip
 
+# What a JSONP call, a data script, its CDATA marks and an assigned literal look like.
 _JSONP = r"(?s)^\s*[a-zA-Z_$][\w$]*\s*\(\s*(\{.*\}|\[.*\])\s*\)\s*;?\s*$"
 _SCRIPT = re.compile(r"<script\b([^>]*)>(.*?)</script>", re.I | re.S)
 _DATA_SCRIPT = re.compile(r"""type\s*=\s*["']\s*application/(?:ld\+json|json|manifest\+json)\s*["']|\bid\s*=\s*["']__NEXT_DATA__["']""", re.I)
 _CDATA = re.compile(r"^\s*//\s*<!\[CDATA\[\s*|\s*//\s*\]\]>\s*$", re.M)
 _ASSIGNED = re.compile(r"(?:(?<!\w)\w++\.[\w.$]++|(?:var|let|const)\s++[\w$]++)\s*+=\s*+(?=[{\[])", re.I | re.A)
+#: Fixed value: characters at a body's beginning that are looked at for an HTML tag.
+SNIFFED = 2_000
 _CLOSED = {"{": re.compile(r"\}(?=\s*;)"), "[": re.compile(r"\](?=\s*;)")}
 
 
@@ -47,12 +50,14 @@ def unwrap_jsonp(body: Column) -> Column:
 
 
 def looks_like_json(ctype: Column, body: Column) -> Column:
-    head = F.left(F.ltrim(F.regexp_replace(F.left(body, F.lit(400)), f"^[{SPACE}]+", "")), F.lit(1))
+    """Whether the type says JSON, or the body's first character that isn't white space opens an object or array."""
+    head = F.left(lstrip(body), F.lit(1))
     return F.coalesce(F.lower(ctype).contains("json"), F.lit(False)) | F.coalesce(head.isin("{", "["), F.lit(False))
 
 
 def looks_like_html(ctype: Column, body: Column) -> Column:
-    head = F.lower(F.left(F.regexp_replace(F.left(body, F.lit(2400)), f"^[{SPACE}]+", ""), F.lit(2000)))
+    """Whether the type says HTML, or the body without its white space shows an HTML tag in its first SNIFFED characters."""
+    head = F.lower(F.left(lstrip(body), F.lit(SNIFFED)))
     return F.coalesce(F.lower(ctype).contains("text/html"), F.lit(False)) | F.coalesce(head.startswith("<!doctype html") | head.contains("<html"), F.lit(False))
 
 
@@ -129,5 +134,10 @@ def inline_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([inline_json_of(x) for x in s], dtype=object)
 
 
-def nonblank(body: Column) -> Column:
-    return F.coalesce(strip(body) != "", F.lit(False))
+def response_items_of(jsonish: bool, htmlish: bool, body: str, jsonp: str) -> list[tuple[str, str]]:
+    """(origin, canonical JSON) of one response body: itself, else what its JSONP call passes, else what its page holds."""
+    if jsonish and (direct := canonical(body)) is not None:
+        return [("har:json", direct)]
+    if jsonp and (wrapped := canonical(jsonp)) is not None:
+        return [("har:jsonp", wrapped)]
+    return [("har:html", x) for x in (*script_json_of(body), *inline_json_of(body))] if htmlish else []

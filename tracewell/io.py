@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,12 +29,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         named = tempfile.mkdtemp(prefix="tracewell-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     context.setCheckpointDir(named)
     return named
 
 
 def once(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that dear or changing steps under it run one time."""
+    """``df`` written to the shared checkpoint folder, so that dear or changing steps under it run one time.
+
+    Spark removes the files when nothing refers to them any more if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 

@@ -11,8 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.text import chunk_starts, strip, truncate
-from tracewell.io import once
+from tracewell.functions.text import chunk_starts, nonblank, strip, truncate
+from tracewell.io import fresh, once
 from tracewell.operators import labels
 from tracewell.operators.dedupe import not_done
 
@@ -75,11 +75,13 @@ def chunks(df: DataFrame, key: str, text: str, size: int = CHUNK, overlap: int =
 
 
 def classify_texts(df: DataFrame, key: str, text: str, model: Model, most: int = 25_000) -> DataFrame:
-    """(key, result, categories, parse_status, raw, finish_reason, api_error): one call per text; an error of the call is its status."""
-    answers = once(model(prompts(df, key, text, most=most)))
-    norm = labels.normalise_answers(answers, key, "raw")
-    out = answers.join(norm, key)
-    return out.withColumn("parse_status", F.when(F.col("api_error").isNotNull(), "api_error").otherwise(F.col("parse_status")))
+    """(key, raw, finish_reason, api_error, result, categories, parse_status): one call per text; an error of the call is its status.
+
+    Answers are put onto the vocabulary row by row, so a repeated key stays as often as the model answers it.
+    """
+    answers = once(model(prompts(df, key, text, most=most))).withColumn("_n", labels.normalised(F.col("raw")))
+    status = F.when(F.col("api_error").isNotNull(), "api_error").otherwise(F.col("_n.parse_status"))
+    return answers.select(key, "raw", "finish_reason", "api_error", labels.result_of(F.col("_n.categories")).alias("result"), F.col("_n.categories").alias("categories"), status.alias("parse_status"))
 
 
 def union_of_chunks(df: DataFrame, key: str, chunk_index: str, categories: str) -> DataFrame:
@@ -100,22 +102,27 @@ def classify_logs(df: DataFrame, key: str, text: str, model_for: Callable[[str],
     """(key, result, categories, parse_status, chunked, num_chunks, first_attempt_error) of the keys that are in none of ``done``.
 
     Texts up to ``size`` take one call; longer ones, and those whose call fails for their length, one per chunk.  Other failed
-    calls are recorded with status ``api_error``.  ``model_for`` gives the model for a key column's name.
+    calls are recorded with status ``api_error``.  ``model_for`` gives the model for a key column's name.  Blank and null texts give
+    no row.  Short texts that share a key stay a row each; chunks of one key are one log.
+
+    Answers carry their keys, so nothing is joined to a text; of a chunk's key (key#number) the log and place are read back.  Texts
+    are read for the short ones, for the long ones, and by key for those that failed for their length.
     """
-    todo = not_done(df.filter(strip(F.col(text)) != ""), key, *done)
-    short = todo.filter(F.char_length(text) <= size)
-    first = classify_texts(short, key, text, model_for(key), most=size)
-    failed = F.coalesce(F.lower("api_error").contains("context") | F.lower("api_error").contains("overflow"), F.lit(False))
-    retry = first.filter(failed).select(key, F.col("api_error").alias("first_attempt_error"))
-    one = first.filter(~failed).select(key, "result", "categories", "parse_status", F.lit(False).alias("chunked"), F.lit(1).alias("num_chunks"), F.lit(None).cast("string").alias("first_attempt_error"))
+    todo = not_done(df.filter(nonblank(F.col(text))), key, *done).select(key, text)
     none = F.lit(None).cast("string").alias("first_attempt_error")
-    long = todo.filter(F.char_length(text) > size).select(key, text, none).unionByName(todo.join(retry, key).select(key, text, "first_attempt_error"))
-    parts = chunks(long, key, text, size, overlap).withColumn("chunk_key", F.concat_ws("#", F.col(key).cast("string"), "chunk_index"))
-    said = labels.normalise_answers(once(model_for("chunk_key")(prompts(parts, "chunk_key", "chunk"))), "chunk_key", "raw")
-    rows = parts.select(key, "chunk_index", "chunk_key").join(said, "chunk_key")
-    union = union_of_chunks(rows, key, "chunk_index", "categories").join(rows.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("num_chunks")), key)
-    many = union.join(long.select(key, "first_attempt_error"), key).select(key, "result", "categories", F.lit("chunked").alias("parse_status"), F.lit(True).alias("chunked"), "num_chunks", "first_attempt_error")
-    return one.unionByName(many)
+    first = classify_texts(todo.filter(F.char_length(text) <= size), key, text, model_for(key), most=size)
+    failed = F.coalesce(F.lower("api_error").contains("context") | F.lower("api_error").contains("overflow"), F.lit(False))
+    one = first.filter(~failed).select(key, "result", "categories", "parse_status", F.lit(False).alias("chunked"), F.lit(1).alias("num_chunks"), none)
+    retry = first.filter(failed).groupBy(key).agg(F.max("api_error").alias("first_attempt_error"))
+    long = todo.filter(F.char_length(text) > size).unionByName(todo.join(retry.select(key), key, "left_semi"))
+    call = fresh(df, "chunk_key")
+    parts = chunks(long, key, text, size, overlap).select(F.concat_ws("#", F.col(key).cast("string"), F.col("chunk_index").cast("string")).alias(call), "chunk")
+    said = once(model_for(call)(prompts(parts, call, "chunk"))).select(
+        F.regexp_extract(call, r"(?s)^(.*)#\d+$", 1).cast(df.schema[key].dataType).alias(key), F.regexp_extract(call, r"(\d+)$", 1).cast("int").alias("i"), labels.normalised(F.col("raw")).alias("n"))
+    # a log's chunks come together with their labels, never with their texts
+    lists = F.transform(F.array_sort(F.collect_list(F.struct("i", F.col("n.categories").alias("c")))), lambda x: x["c"])
+    many = said.groupBy(key).agg(F.array_distinct(F.flatten(lists)).alias("categories"), F.count_distinct("i").cast("int").alias("num_chunks")).join(retry, key, "left")
+    return one.unionByName(many.select(key, labels.result_of(F.col("categories")).alias("result"), "categories", F.lit("chunked").alias("parse_status"), F.lit(True).alias("chunked"), "num_chunks", "first_attempt_error"))
 
 
 def route(results: DataFrame, files: DataFrame, name: str, result: str = "result") -> DataFrame:

@@ -26,11 +26,41 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     return best.select(*keys, *(F.col(f"{row}.`{c}`").alias(c) for c in rest)).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
+#: Parts of a hot key's rows.
+SALTS = 64
+
+
+def spread_join(df: DataFrame, keys: Sequence[str], lookup: DataFrame, by: Sequence[str], salts: int = SALTS) -> DataFrame:
+    """``df`` left-joined with ``lookup`` (unique ``keys``, nulls equal) where one key may hold a third of the rows of ``df``.
+
+    Rows are salted by a hash of ``by``, which should tell a key's rows apart.  The distinct (key, salt) pairs, at most ``salts`` of
+    a key and combined before their shuffle, fetch the lookup's columns; rows then join the pairs by key and salt, so a hot key's
+    rows lie in many tasks and no row of the lookup is copied without need.
+    """
+    salt, mine = fresh(df, "_salt"), [f"_k{i}" for i in range(len(keys))]
+    salted = df.withColumn(salt, F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in by)), F.lit(salts)).cast("int"))
+    named = lookup.select(*(F.col(f"`{k}`").alias(m) for k, m in zip(keys, mine)), *(c for c in lookup.columns if c not in keys))
+    pairs = salted.select(*(F.col(f"`{k}`").alias(f"_p{m}") for k, m in zip(keys, mine)), F.col(salt).alias("_ps")).distinct()
+    known = pairs.join(named, _all(F.col(f"_p{m}").eqNullSafe(F.col(m)) for m in mine), "left").drop(*mine)
+    on = _all([*(F.col(f"`{k}`").eqNullSafe(F.col(f"_p{m}")) for k, m in zip(keys, mine)), F.col(salt) == F.col("_ps")])
+    return salted.join(known, on, "left").drop(salt, "_ps", *(f"_p{m}" for m in mine))
+
+
+def _all(conditions) -> Column:
+    out = None
+    for c in conditions:
+        out = c if out is None else out & c
+    return out
+
+
 def content_duplicates(df: DataFrame, key: str, content: str) -> DataFrame:
-    """(key, digest, survivor, is_duplicate): which earlier key holds the same content.  Null contents are one content."""
+    """(key, digest, survivor, is_duplicate): which earlier key holds the same content.  Null contents are one content.
+
+    Contents are read once for their digests; a content that a third of all rows have (the empty one, say) is spread over tasks.
+    """
     rows = df.select(F.col(key).alias("key"), F.md5(F.coalesce(F.col(content).cast("binary"), F.lit(b""))).alias("digest"), F.col(content).isNull().alias("void"))
     kept = rows.groupBy("digest", "void").agg(F.min("key").alias("survivor"))
-    out = rows.join(kept, ["digest", "void"])
+    out = spread_join(rows, ["digest", "void"], kept, ["key"])
     return out.select(F.col("key").alias(key), "digest", "survivor", (F.col("key") != F.col("survivor")).alias("is_duplicate"))
 
 
@@ -39,10 +69,10 @@ def crawl_status(df: DataFrame, key: str, order: str) -> DataFrame:
 
     Null is a key like any other.  Rows that tie for the first are all mapped.  A column ``crawl_status`` of ``df`` is replaced.
     """
-    same, first = fresh(df, "_key"), fresh(df, "_first")
-    firsts = df.groupBy(F.col(key).alias(same)).agg(F.min(order).alias(first))
-    out = df.join(firsts, F.col(key).eqNullSafe(F.col(same)))
-    return out.withColumn("crawl_status", F.when(F.col(order) == F.col(first), "mapped").otherwise("skipped")).drop(same, first)
+    first = fresh(df, "_first")
+    firsts = df.groupBy(key).agg(F.min(order).alias(first))
+    out = spread_join(df, [key], firsts, [order])
+    return out.withColumn("crawl_status", F.when(F.col(order) == F.col(first), "mapped").otherwise("skipped")).drop(first)
 
 
 def not_done(df: DataFrame, key: str, *done: DataFrame) -> DataFrame:

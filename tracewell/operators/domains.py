@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import urls
 from tracewell.functions.text import strip
 from tracewell.io import fresh
+from tracewell.operators.dedupe import spread_join
 from tracewell.sources.files import resolve_columns
 
 
@@ -60,9 +61,10 @@ def with_rank(df: DataFrame, url: str, ranks: DataFrame) -> DataFrame:
     """``df`` with ``normalized_domain`` and ``tranco_rank``; every row stays, unmatched and null domains with null rank.
 
     Columns of ``df`` with these names give way.  The rank list may have a million domains: no broadcast is forced, Spark takes one when the list is under its threshold.
+    A domain that most rows have is spread over tasks.
     """
     own = df.drop("tranco_rank").withColumn("normalized_domain", urls.netloc(F.col(url)))
-    return own.join(ranks.withColumnRenamed("domain", "normalized_domain"), "normalized_domain", "left")
+    return spread_join(own, ["normalized_domain"], ranks.withColumnRenamed("domain", "normalized_domain"), df.drop("tranco_rank").columns)
 
 
 def ranked_domains(df: DataFrame, url: str, ranks: DataFrame) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.functions import webjson
+from tracewell.io import once
 from tracewell.operators.dedupe import dense_numbers
 
 #: Origins in the order in which a page's items are numbered.
@@ -18,23 +23,19 @@ def response_items(df: DataFrame, page: str, entry: str, ctype: str, body: str)
     A JSON-like body that parses is ``har:json``, else what a JSONP call passes is ``har:jsonp``; an HTML-like body that gave
     neither is searched for scripts and literals, ``har:html``.  Blank bodies give nothing.
     """
-    rows = df.filter(webjson.nonblank(F.col(body))).select(
-        F.col(page).alias("page"), F.col(entry).alias("entry"), F.col(ctype).alias("ct"), F.col(body).alias("b"))
-    jsonish = webjson.looks_like_json(F.col("ct"), F.col("b"))
-    inner = webjson.unwrap_jsonp(F.col("b"))
-    rows = rows.withColumn("direct", webjson.canonical_json(F.when(jsonish, F.col("b"))))
-    rows = rows.withColumn("wrapped", webjson.canonical_json(F.when(F.col("direct").isNull() & (inner != ""), inner)))
-    html = webjson.looks_like_html(F.col("ct"), F.col("b")) & F.col("direct").isNull() & F.col("wrapped").isNull()
-    found = F.when(html, webjson.html_json(F.when(html, F.col("b"))))
-    items = (
-        F.when(F.col("direct").isNotNull(), F.array(F.struct(F.lit("har:json").alias("origin"), F.col("direct").alias("payload"))))
-        .when(F.col("wrapped").isNotNull(), F.array(F.struct(F.lit("har:jsonp").alias("origin"), F.col("wrapped").alias("payload"))))
-        .otherwise(F.transform(F.coalesce(F.col("found"), F.array().cast("array<string>")), lambda x: F.struct(F.lit("har:html").alias("origin"), x.alias("payload"))))
-    )
-    out = rows.withColumn("found", found).select("page", "entry", F.posexplode(items).alias("pos", "i"))
+    ct, b = F.col(ctype), F.col(body)
+    rows = df.select(F.col(page).alias("page"), F.col(entry).alias("entry"), b.alias("b"), webjson.looks_like_json(ct, b).alias("j"), webjson.looks_like_html(ct, b).alias("h"), webjson.unwrap_jsonp(b).alias("p"))
+    out = rows.select("page", "entry", F.posexplode(_items(F.col("j"), F.col("h"), F.col("b"), F.col("p"))).alias("pos", "i"))
     return out.select("page", F.lit(RANK["har"]).alias("src"), "entry", "pos", "i.origin", "i.payload")
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("origin", T.StringType()), T.StructField("payload", T.StringType())])))
+def _items(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Each body crosses to Python once."""
+    for columns in batches:
+        yield pd.Series([[{"origin": o, "payload": x} for o, x in webjson.response_items_of(*row)] for row in zip(*columns)], dtype=object)
+
+
 def page_items(df: DataFrame, page: str, kind: str, html: str) -> DataFrame:
     """(page, src, entry, pos, origin, payload) of stored pages; ``kind`` is server or dom."""
     origin = F.concat(F.lit("html:"), F.col(kind))
@@ -46,9 +47,10 @@ def page_items(df: DataFrame, page: str, kind: str, html: str) -> DataFrame:
 def number_items(items: DataFrame) -> DataFrame:
     """(page, item_no, origin, payload): each payload once per page, at its first place, numbered from 1 over the origins.
 
-    De-duplication is an aggregate on (page, digest) that keeps one row per task and key, before the numbering's shuffle.
+    ``items`` is written once.  Firsts and numbers are worked out on places and digests; payloads move one time, to their numbers.
     """
-    keyed = items.withColumn("digest", F.sha2("payload", 256))
-    place = F.struct("src", F.col("entry").cast("long"), "pos")
-    firsts = keyed.groupBy("page", "digest").agg(F.min_by(F.struct("src", F.col("entry").cast("long").alias("entry"), "pos", "origin", "payload"), place).alias("r")).select("page", "r.*")
-    return dense_numbers(firsts, "page", ["src", "entry", "pos"]).select("page", "item_no", "origin", "payload")
+    at = F.struct("src", F.col("entry").cast("long").alias("entry"), "pos")
+    kept = once(items.withColumn("digest", F.unhex(F.md5("payload"))).withColumn("size", F.char_length("payload")).withColumn("at", at))
+    firsts = kept.groupBy("page", "digest", "size").agg(F.min("at").alias("at")).select("page", "at.src", "at.entry", "at.pos")
+    numbers = dense_numbers(firsts, "page", ["src", "entry", "pos"]).select(F.col("page").alias("_page"), F.struct("src", "entry", "pos").alias("_at"), "item_no")
+    return kept.join(numbers, F.col("page").eqNullSafe(F.col("_page")) & (F.col("at") == F.col("_at"))).select("page", "item_no", "origin", "payload")

@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WIDTH = 6
+#: Digits of an ordinal in a label: text order is document order up to ten thousand million items of one parent.
+WIDTH = 10
 NODE_SCHEMA = "schema_path string, dewey string, kind string, value string, scalars map<string,string>"
 
 
@@ -90,6 +91,15 @@ def _walk(value: object, wanted: _Wanted, path: str, label: str) -> Iterator[tup
             stack.extend((child, to, f"{path}[]", f"{label}.{no:0{WIDTH}d}") for no, child in reversed(list(enumerate(value, 1))))
 
 
+def _wanted(paths: list[str]) -> _Wanted:
+    root = _Wanted()
+    for p in paths:
+        if not p.startswith("$"):
+            raise ValueError(f"a path starts at $: {p}")
+        root.add(_steps(p[1:].replace("[]", ".[]")))
+    return root
+
+
 def dewey_nodes(df: DataFrame, key: str, json_col: str, paths: list[str]) -> DataFrame:
     """Nodes of ``json_col`` at the wanted schema paths: (key, schema_path, dewey, kind, value, scalars).
 
@@ -98,11 +108,7 @@ def dewey_nodes(df: DataFrame, key: str, json_col: str, paths: list[str]) -> Dat
     members as text.  Null, blank and invalid JSON give no row; the extra columns of ``df`` aren't read.  Of repeated member
     names the last holds, at its first place.
     """
-    root = _Wanted()
-    for p in paths:
-        if not p.startswith("$"):
-            raise ValueError(f"a path starts at $: {p}")
-        root.add(_steps(p[1:].replace("[]", ".[]")))
+    root = _wanted(paths)
 
     def nodes(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -182,19 +188,39 @@ class HarTables:
         """(key, entry_no, header_no): a row per header with a non-empty name; header_no 0 for an entry without one, entry_no 0
         for a readable file without entries.
 
-        One pass over the files: the nodes of captures, entries and headers come together, and are told apart by a grouping on
-        the labels' ancestors, whose groups are single entries.
+        One pass over the files and no exchange: a file's nodes come from one task in document order, and a node's parent is its
+        label cut, so each row is told as soon as the next label doesn't lie under it.
         """
-        key = self.key
-        nodes = self._nodes("$", ENTRY, LISTED, MAPPED)
-        named = F.col("schema_path").contains(".headers") & (F.coalesce(F.col("scalars")["name"], F.lit("")) != "")
-        at = F.col("dewey")
-        flat = nodes.select(key, F.coalesce(ordinal(at, 3), F.lit(0)).alias("entry_no"), F.when(named, ordinal(at, 6)).otherwise(F.lit(0)).alias("header_no"))
-        # A row stays unless it is a mere parent of other rows: sum up which levels each entry and each file has.
-        per_entry = flat.groupBy(key, "entry_no").agg(F.collect_set("header_no").alias("nos"))
-        kept = per_entry.withColumn("nos", F.when(F.size("nos") > 1, F.array_remove("nos", 0)).otherwise(F.col("nos")))
-        per_file = kept.groupBy(key).agg(F.collect_list(F.struct("entry_no", "nos")).alias("entries"))
-        return (
-            per_file.withColumn("e", F.explode(F.when(F.size("entries") > 1, F.filter("entries", lambda e: e["entry_no"] > 0)).otherwise(F.col("entries"))))
-            .select(key, F.col("e.entry_no").alias("entry_no"), F.explode("e.nos").alias("header_no"))
-        )
+        key, json_col, names = self.key, self.json_col, (LISTED, MAPPED.replace("headers{}", "headers.{}"))
+        root = _wanted(["$", ENTRY, *names])
+
+        def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out: list[tuple] = []
+                for k, text in zip(batch[key], batch[json_col]):
+                    valid, value = parse_json(text)
+                    if valid:
+                        out.extend((k, *x) for x in _header_rows(_walk(value, root, "$", "1")))
+                    if len(out) >= 50_000:
+                        yield pd.DataFrame(out, columns=[key, "entry_no", "header_no"])
+                        out = []
+                yield pd.DataFrame(out, columns=[key, "entry_no", "header_no"])
+
+        kind = self.df.schema[key].dataType.simpleString()
+        return self.df.select(key, json_col).mapInPandas(rows, f"`{key}` {kind}, entry_no int, header_no int")
+
+
+def _header_rows(nodes: Iterable[tuple]) -> Iterator[tuple[int, int]]:
+    """(entry_no, header_no) of a file's nodes in document order; 0 for a level that has nothing named under it."""
+    entry, told = 0, False
+    for path, label, _, _, scalars in nodes:
+        steps = label.split(".")
+        if path == ENTRY:
+            if entry and not told:
+                yield entry, 0
+            entry, told = int(steps[3]), False
+        elif len(steps) > 6 and scalars and scalars.get("name"):
+            told = True
+            yield entry, int(steps[6])
+    if not told:
+        yield entry, 0

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import urls
+from tracewell.functions.status import final_status, status_class
 from tracewell.functions.text import SPACE, has_alpha, strip
 from tracewell.io import ensure_checkpoint_dir, table
 from tracewell.operators import classify, dedupe, domains
@@ -142,7 +143,7 @@ def f3(spark, d):
     return _mapping(spark, d).filter(urls.has_known_prefix(F.col("orig_url"))).select("seq", "orig_url")
 
 
-@query("o3_shuffled")
+@query("o3_shuffled", "SELECT seq, orig_url FROM url_mapping")
 def o3(spark, d):
     """All mapping rows in a random order that a seed fixes."""
     return _mapping(spark, d).select("seq", "orig_url").orderBy(F.xxhash64("seq", F.lit(42)), "seq")
@@ -210,7 +211,21 @@ def a7(spark, d):
 
 @query("ref_p40_status_class", f"SELECT seq, regexp_extract(lower({sql_strip('status')}), '^[a-z]+', 0) AS class FROM url_mapping")
 def p40(spark, d):
-    return _mapping(spark, d).select("seq", F.regexp_extract(F.lower(strip(F.col("status"))), "^[a-z]+", 0).alias("class"))
+    return _mapping(spark, d).select("seq", status_class(F.col("status")).alias("class"))
+
+
+STATED = f"""SELECT hash AS page, lower({sql_strip('status')}) AS s, seq FROM (SELECT hash, seq, CASE seq % 4 WHEN 1 THEN 'partial-server-html: cut' WHEN 2 THEN 'Partial-dom' WHEN 3 THEN 'partial-har-close' ELSE status END AS status FROM url_mapping) WHERE {sql_strip('status')} <> ''"""
+
+
+@query("ref_p40_final_status", f"""WITH r AS ({STATED}),
+ l AS (SELECT page, max(seq) AS last, max(seq) FILTER (starts_with(s, 'partial-server-html')) AS first, max(seq) FILTER (NOT starts_with(s, 'partial')) AS whole FROM r GROUP BY 1)
+ SELECT l.page AS hash, r.s AS status FROM l JOIN r ON r.page IS NOT DISTINCT FROM l.page AND r.seq = CASE WHEN first IS NOT NULL AND coalesce(whole < first, true)
+  AND (SELECT bool_or(starts_with(x.s, 'partial')) FROM r x WHERE x.seq = l.last) THEN first ELSE last END""")
+def p40b(spark, d):
+    """The status that a page keeps; three of four captures are made partial ones."""
+    n = F.col("seq") % 4
+    status = F.when(n == 1, "partial-server-html: cut").when(n == 2, "Partial-dom").when(n == 3, "partial-har-close").otherwise(F.col("status"))
+    return final_status(_mapping(spark, d).withColumn("status", status), "hash", "status", "seq")
 
 
 @query("ref_p38_pct", """WITH c AS (SELECT status, count(*) AS n FROM url_mapping GROUP BY 1)
@@ -406,6 +421,32 @@ def s11(spark, d):
     return files.read_mapping(spark, path)
 
 
+@query("k3_append_csv", "SELECT CAST(seq AS VARCHAR) AS seq, coalesce(status, '') AS status FROM url_mapping")
+def k3(spark, d):
+    """Results appended to CSV text in two runs; the header is written once."""
+    path = _folder(spark)
+    rows = _mapping(spark, d).select(F.col("seq").cast("string").alias("seq"), "status")
+    for later in (False, True):
+        files.append_csv(rows.filter((F.col("seq") % 2 == 1) == F.lit(later)), path)
+    return files.read_appended(spark, path).select("seq", F.coalesce("status", F.lit("")).alias("status"))
+
+
+@query("k2_sorted_lines", f"SELECT DISTINCT url AS value FROM ({VALID_ROWS})")
+def k2(spark, d):
+    """Distinct links written one a line, in order, and read back."""
+    path = _folder(spark)
+    files.write_sorted_lines(link_ops.valid_urls(_messages(spark, d), "message"), "url", path)
+    return spark.read.text(path)
+
+
+@query("k5_per_key", "SELECT hash, count(*) AS n FROM har_responses WHERE hash IS NOT NULL GROUP BY 1")
+def k5(spark, d):
+    """Responses written by page into buckets, and counted there."""
+    path = _folder(spark)
+    files.write_per_key(table(spark, d, "har_responses").select("hash", "entry_id").filter("hash is not null"), "hash", path, buckets=16)
+    return spark.read.parquet(path).groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("k4_jsonl", "SELECT msg_id, message FROM merged_messages")
 def k4(spark, d):
     path = _folder(spark)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import webjson
 from tracewell.functions.body import body
-from tracewell.functions.text import SPACE
+from tracewell.functions.text import SPACE, nonblank
 from tracewell.io import table
 from tracewell.operators import harvest, ocr
 from tracewell.operators.nested import HarTables
@@ -53,7 +53,7 @@ def p18(spark, d):
 
 @query("f5_nonblank", f"SELECT entry_id FROM har_responses WHERE {sql_strip('text')} <> ''")
 def f5(spark, d):
-    return _responses(spark, d).filter(webjson.nonblank(F.col("text"))).select("entry_id")
+    return _responses(spark, d).filter(nonblank(F.col("text"))).select("entry_id")
 
 
 @query("ref_p19_jsonp", f"SELECT entry_id, md5(p) AS digest FROM (SELECT entry_id, regexp_extract(text, '{webjson._JSONP}', 1) AS p FROM har_responses) WHERE p <> ''")
@@ -69,12 +69,11 @@ def p19b(spark, d):
     return rows.select("entry_id", F.md5("p").alias("digest"))
 
 
-def _left(n: int) -> str:
-    return f"regexp_replace(left(text, {n}), '^[{SPACE}]+', '')"
+LSTRIPPED = f"regexp_replace(text, '^[{SPACE}]+', '')"
 
 
-@query("ref_p20_sniff", f"""SELECT entry_id, coalesce(contains(lower(mimetype), 'json'), false) OR left({_left(400)}, 1) IN ('{{', '[') AS json,
- coalesce(contains(lower(mimetype), 'text/html'), false) OR starts_with(lower({_left(2400)}), '<!doctype html') OR contains(left(lower({_left(2400)}), 2000), '<html') AS html
+@query("ref_p20_sniff", f"""SELECT entry_id, coalesce(contains(lower(mimetype), 'json'), false) OR left({LSTRIPPED}, 1) IN ('{{', '[') AS json,
+ coalesce(contains(lower(mimetype), 'text/html'), false) OR starts_with(lower({LSTRIPPED}), '<!doctype html') OR contains(lower(left({LSTRIPPED}, 2000)), '<html') AS html
  FROM har_responses WHERE text IS NOT NULL""")
 def p20(spark, d):
     ct, b = F.col("mimetype"), F.col("text")
@@ -129,11 +128,43 @@ def p31(spark, d):
     return files.numbered_lines(_props(spark, d), "page", "item_no", "origin", "payload")
 
 
+def _typed(spark, d) -> DataFrame:
+    """(capture_id, entry_no, ctype, text, encoding, mimetype) of captured contents: the type they name, else their header's."""
+    har = HarTables(table(spark, d, "har_captures"))
+    heads = har.headers().filter("name <> ''").groupBy("capture_id", "entry_no").agg(F.array_sort(F.collect_list(F.struct("header_no", "name", "value"))).alias("h"))
+    both = har.contents().join(heads, ["capture_id", "entry_no"], "left")
+    headers = F.coalesce(webjson.header_map(F.col("h")), F.create_map().cast("map<string,string>"))
+    return both.select("capture_id", "entry_no", webjson.content_type(F.col("mimetype"), headers).alias("ctype"), "text", "encoding", "mimetype")
+
+
+def _captured(spark, d) -> DataFrame:
+    """(hash, entry_id, ct, body) of captured contents; they come after the responses, in the order of captures."""
+    pages = table(spark, d, "har_captures").select("capture_id", "hash")
+    rows = _typed(spark, d).join(pages, "capture_id")
+    place = F.lit(1 << 50) + F.col("capture_id") * 100_000 + F.col("entry_no")
+    return rows.select("hash", place.alias("entry_id"), F.col("ctype").alias("ct"), body(F.col("text"), F.col("encoding"), F.col("ctype")).alias("body"))
+
+
+CONTENTS = """WITH v AS (SELECT capture_id, CAST(har AS JSON) AS j FROM har_captures WHERE json_valid(har) AND trim(har) <> ''),
+ e AS (SELECT capture_id, unnest(range(CAST(json_array_length(j, '$.log.entries') AS BIGINT))) AS i, j FROM v WHERE json_type(j, '$.log.entries') = 'ARRAY'),
+ c AS (SELECT capture_id, CAST(i + 1 AS INTEGER) AS entry_no, json_extract(j, '$.log.entries[' || i || '].response.content') AS c, json_extract(j, '$.log.entries[' || i || '].response.headers') AS h FROM e)"""
+
+
+@query("ref_p16_ctype_header", f"""{CONTENTS}, l AS (SELECT capture_id, entry_no, k, json_extract(h, '$[' || k || ']') AS x FROM (SELECT *, unnest(range(CAST(json_array_length(h) AS BIGINT))) AS k FROM c WHERE json_type(h) = 'ARRAY')),
+ n AS (SELECT capture_id, entry_no, k, json_extract_string(x, '$.name') AS name, json_extract_string(x, '$.value') AS value FROM l
+ UNION ALL SELECT capture_id, entry_no, k, name, json_extract_string(h, '$."' || name || '"') FROM (SELECT *, unnest(range(len(json_keys(h)))) AS k, unnest(json_keys(h)) AS name FROM c WHERE json_type(h) = 'OBJECT')),
+ t AS (SELECT capture_id, entry_no, arg_max(coalesce(value, ''), k) AS ct FROM n WHERE lower(name) = 'content-type' GROUP BY 1, 2)
+ SELECT capture_id, entry_no, lower(coalesce(nullif(json_extract_string(c, '$.mimeType'), ''), t.ct, '')) AS ctype FROM c LEFT JOIN t USING (capture_id, entry_no) WHERE json_type(c) = 'OBJECT'""")
+def p16b(spark, d):
+    """The type of captured contents: their own, else their header's."""
+    return _typed(spark, d).select("capture_id", "entry_no", "ctype")
+
+
 @query("c4_json_harvest")
 def c4(spark, d):
-    """JSON items of every page, from responses and stored HTML."""
-    rows = _bodies(spark, d).withColumn("ct", webjson.content_type(F.col("mimetype"), F.create_map().cast("map<string,string>")))
-    items = harvest.response_items(rows, "hash", "entry_id", "ct", "body")
+    """JSON items of every page, from responses, captures and stored HTML."""
+    rows = _bodies(spark, d).withColumn("ct", webjson.content_type(F.col("mimetype"), F.create_map().cast("map<string,string>"))).select("hash", "entry_id", "ct", "body")
+    items = harvest.response_items(rows.unionByName(_captured(spark, d)), "hash", "entry_id", "ct", "body")
     docs = table(spark, d, "documents").filter(F.col("source").isin("server_html", "dom_html") & F.col("page_hash").isNotNull())
     html = harvest.page_items(docs.select("page_hash", F.substring_index("source", "_", 1).alias("kind"), "text"), "page_hash", "kind", "text")
     return harvest.number_items(items.unionByName(html))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import text as tx
 from tracewell.functions.body import body
+from tracewell.functions.language import detect_language
 from tracewell.io import table
 from tracewell.operators import classify, dedupe, labels
 from tracewell.plans.links import sql_strip
@@ -22,8 +23,8 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ref_p14_lang_detect")
 def p14(spark, d):
-    """A guess of each document's language."""
-    return _docs(spark, d).select("doc_id", tx.detect_language(F.col("text")).alias("lang"))
+    """Each document's language by n-gram profiles."""
+    return _docs(spark, d).select("doc_id", detect_language(F.col("text")).alias("lang"))
 
 
 @query("a1_lang_hist", "SELECT lang, count(*) AS messages FROM documents WHERE lang IS NOT NULL AND regexp_matches(text, '\\p{L}') GROUP BY 1")
@@ -35,7 +36,7 @@ def a1(spark, d):
 @query("a1_lang_hist_detected")
 def a1b(spark, d):
     """Messages by the detected language."""
-    rows = table(spark, d, "merged_messages").filter(tx.has_alpha(F.col("message"))).select(tx.detect_language(F.col("message")).alias("lang"))
+    rows = table(spark, d, "merged_messages").filter(tx.has_alpha(F.col("message"))).select(detect_language(F.col("message")).alias("lang"))
     return rows.filter("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("messages"))
 
 
@@ -69,10 +70,15 @@ def p30(spark, d):
     return classify.prompts(_docs(spark, d), "doc_id", "text", most=25_000).select("doc_id", F.md5("prompt").alias("digest"))
 
 
-@query("ref_p36_dedup_words")
+WORDS_SQL = "list_filter(string_split_regex(text, '[" + tx.SPACE + "]+'), lambda w: w <> '')"
+
+
+@query("ref_p36_dedup_words", f"""WITH w AS (SELECT doc_id, unnest(l) AS w, unnest(range(len(l))) AS i FROM (SELECT doc_id, {WORDS_SQL} AS l FROM documents WHERE text IS NOT NULL)),
+ f AS (SELECT doc_id, arg_min(w, i) AS w, min(i) AS i FROM w GROUP BY doc_id, lower(w)), g AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS words FROM f GROUP BY 1)
+ SELECT doc_id, md5(coalesce(words, '')) AS digest FROM documents LEFT JOIN g USING (doc_id) WHERE text IS NOT NULL""")
 def p36(spark, d):
     """Each document's words once, in order."""
-    return _docs(spark, d).filter("text is not null").select("doc_id", tx.dedupe_words(F.col("text")).alias("words"))
+    return _docs(spark, d).filter("text is not null").select("doc_id", F.md5(tx.dedupe_words(F.col("text"))).alias("digest"))
 
 
 @query("ref_p36_part_words", """SELECT p_partkey, array_to_string([x.w FOR x IN list_sort(
@@ -103,10 +109,12 @@ def p25(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(tx.words(labels.similarity_form(F.col("p_type")))), " ").alias("words"))
 
 
-@query("ref_p24_simplify", """SELECT o_orderkey, lower(trim(regexp_replace(regexp_replace(o_orderpriority, ' *\\([^)]*\\) *', ' ', 'g'), ' +', ' ', 'g'))) AS simple FROM orders""")
+@query("ref_p24_simplify", """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '"' || lower(o_orderpriority) || '"' WHEN 1 THEN lower(o_orderpriority) || ' a' ELSE lower(o_orderpriority) || ' b c' END AS simple FROM orders""")
 def p24(spark, d):
-    said = F.concat(F.lit("{“"), F.col("o_orderpriority"), F.lit("” (x)}"))
-    return table(spark, d, "orders").select("o_orderkey", F.regexp_replace(labels.simplify(said), '"', "").alias("simple"))
+    """Order priorities in braces, quotes, wide letters and with asides: quotes go only where they enclose the whole."""
+    p, k = F.col("o_orderpriority"), F.col("o_orderkey") % 3
+    said = F.when(k == 0, F.concat(F.lit("{“"), p, F.lit("” (x)}"))).when(k == 1, F.concat(F.lit("{'"), p, F.lit("  (x) Ａ '}"))).otherwise(F.concat(F.lit(" "), p, F.lit(" {b}\u00a0(y)C ")))
+    return table(spark, d, "orders").select("o_orderkey", labels.simplify(said).alias("simple"))
 
 
 @query("ref_p26_jaccard", """SELECT p_partkey, CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) ELSE 0.0 END AS jaccard
@@ -250,6 +258,9 @@ def a6(spark, d):
 RULES_SQL = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(coalesce(t, ''), '{r}') THEN '{x.replace(chr(39), chr(39) * 2)}' END" for x, r in classify.RULES) + "], lambda x: x IS NOT NULL), ',')"
 
 
+RULE_LABELS = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x, _ in classify.RULES) + "]"
+
+
 @query("c6_classify_ocr", f"""SELECT doc_id, CASE WHEN labels = '' THEN 'N,{{}}' ELSE 'Y,{{' || labels || '}}' END AS result, 'parsed' AS parse_status FROM (
  SELECT doc_id, {RULES_SQL} AS labels FROM (SELECT doc_id, left({sql_strip('text')}, 25000) AS t FROM documents))""")
 def c6(spark, d):
@@ -259,20 +270,19 @@ def c6(spark, d):
 
 @query("c7_classify_logs", f"""WITH done AS (SELECT hash FROM har_captures WHERE hash IS NOT NULL), t AS (SELECT entry_id, text FROM har_responses
  WHERE {sql_strip('text')} <> '' AND (hash IS NULL OR hash NOT IN (SELECT hash FROM done))),
- c AS (SELECT entry_id, length(text) > 50000 AS chunked, i, {sql_strip('substring(text, i * 49950 + 1, 50000)')} AS t FROM (SELECT entry_id, text,
- unnest(range(CASE WHEN length(text) <= 50000 THEN 1 ELSE ((length(text) - 51) // 49950) + 1 END)) AS i FROM t)),
- r AS (SELECT entry_id, chunked, i, unnest(CASE WHEN labels = '' THEN [NULL] ELSE string_split(labels, ',') END) AS label FROM (SELECT *, {RULES_SQL} AS labels FROM c))
- SELECT entry_id, chunked, CASE WHEN count(label) = 0 THEN 'N,{{}}' ELSE 'Y' END AS result FROM r GROUP BY 1, 2""")
+ c AS (SELECT entry_id, n, i, {sql_strip('substring(text, i * 49950 + 1, 50000)')} AS t FROM (SELECT *, unnest(range(n)) AS i FROM (SELECT entry_id, text,
+ CASE WHEN length(text) <= 50000 THEN 1 ELSE ((length(text) - 51) // 49950) + 1 END AS n FROM t))),
+ r AS (SELECT entry_id, n, i, unnest(CASE WHEN labels = '' THEN [NULL] ELSE string_split(labels, ',') END) AS label FROM (SELECT *, {RULES_SQL} AS labels FROM c)),
+ f AS (SELECT entry_id, n, label, min(i) AS i FROM r GROUP BY 1, 2, 3)
+ SELECT entry_id, n > 1 AS chunked, CAST(n AS INTEGER) AS num_chunks, CASE WHEN count(label) = 0 THEN 'N,{{}}' ELSE 'Y,{{' || string_agg(label, ',' ORDER BY i, list_position({RULE_LABELS}, label)) || '}}' END AS result FROM f GROUP BY 1, 2, 3""")
 def c7(spark, d):
     """Response texts of pages without a later capture, by the rule model; long ones chunk by chunk."""
-    return _logs(table(spark, d, "har_responses"), spark, d)
+    return _logs(table(spark, d, "har_responses").select("entry_id", "hash", "text"), spark, d)
 
 
 def _logs(rows: DataFrame, spark: SparkSession, d: str) -> DataFrame:
-    done = table(spark, d, "har_captures").select("hash")
-    todo = dedupe.not_done(rows, "hash", done)
-    out = classify.classify_logs(todo, "entry_id", "text", classify.rules)
-    return out.select("entry_id", "chunked", F.when(F.col("result").startswith("Y"), "Y").otherwise(F.col("result")).alias("result"))
+    todo = dedupe.not_done(rows, "hash", table(spark, d, "har_captures").select("hash"))
+    return classify.classify_logs(todo, "entry_id", "text", classify.rules).select("entry_id", "chunked", "num_chunks", "result")
 
 
 @query("c7_classify_logs_decoded")

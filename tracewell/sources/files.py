@@ -11,9 +11,12 @@ from tracewell.functions.text import SPACE, strip
 from tracewell.io import fresh
 
 
-def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """CSV with a header, quotes doubled, line breaks inside quotes; all text.  Named columns that are missing are empty."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"', quote='"')
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, multi_line: bool = True) -> DataFrame:
+    """CSV with a header, quotes doubled, line breaks inside quotes; all text.  Named columns that are missing are empty.
+
+    With line breaks a file can't be cut, so it is one task; without ``multi_line`` large files are read in parts.
+    """
+    df = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', quote='"')
     if columns is None:
         return df
     return df.select([F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns])
@@ -158,13 +161,52 @@ def append_results(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+HEADER = "part-header.csv"
+
+
+def append_csv(df: DataFrame, path: str) -> None:
+    """Rows added to a folder of CSV text without headers; the header stands once, in a file of its own, written when it is new.
+
+    Fields are written as ``write_csv`` writes them.  ValueError where the header that is there names other columns.
+    """
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path, HEADER)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = ",".join('"' + c.replace('"', '""') + '"' if any(x in c for x in ',"\n\r') else c for c in df.columns)
+    if fs.exists(at):
+        there = spark.read.text(at.toString(), wholetext=True).first()[0].rstrip("\n")
+        if there != names:
+            raise ValueError(f"the file has the columns {there}, not {names}")
+    df.write.csv(path, header=False, mode="append", escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    if not fs.exists(at):
+        out = fs.create(at, True)
+        out.write(bytearray((names + "\n").encode()))
+        out.close()
+
+
+def read_appended(spark: SparkSession, path: str) -> DataFrame:
+    """What ``append_csv`` wrote, all text."""
+    names = spark.read.csv(f"{path}/{HEADER}", header=True, escape='"').columns
+    schema = ", ".join(f"`{n}` string" for n in names)
+    return spark.read.schema(schema).option("pathGlobFilter", "part-[0-9]*").csv(path, multiLine=True, escape='"', quote='"')
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def write_per_key(df: DataFrame, key: str, path: str) -> None:
-    """Rows in a folder per key; keys without rows have none."""
-    df.write.mode("overwrite").partitionBy(key).parquet(path)
+def write_per_key(df: DataFrame, key: str, path: str, buckets: int | None = None) -> None:
+    """Rows of each key together; keys without rows have none.
+
+    A folder per key suits some thousand keys.  With ``buckets`` the folders are that many ranges of the key's hash, sorted by key
+    inside, so that a key's rows are found by its bucket however many keys there are; a key with very many rows fills several files.
+    """
+    if buckets is None:
+        df.write.mode("overwrite").partitionBy(key).parquet(path)
+        return
+    name = fresh(df, "bucket")
+    rows = df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    rows.repartitionByRange(F.col(name), F.col(key), F.xxhash64(*df.columns)).sortWithinPartitions(name, key).write.mode("overwrite").partitionBy(name).parquet(path)
 
 
 def with_destination(df: DataFrame, path: str = "path", order: str = "path") -> DataFrame:
