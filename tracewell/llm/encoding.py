@@ -49,7 +49,9 @@ class MergeReplay:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
         self.split = regex.compile(SPLIT)
+        # words seen lately, and before: the elder go when the younger are many, so frequent words stay
         self.known: dict[str, tuple[int, ...]] = {}
+        self.elder: dict[str, tuple[int, ...]] = {}
 
     def replay(self, words: list[str]) -> list[tuple[int, ...]]:
         """Ids of each word, all words at once."""
@@ -107,7 +109,12 @@ class MergeReplay:
         """Ids of each text; the empty list for empty and for null."""
         split, known = self.split.findall, self.known
         cut = [split(t) if t else [] for t in texts]
-        fresh = [*{w for words in cut for w in words if w not in known}]
+        fresh = []
+        for w in {w for words in cut for w in words if w not in known}:
+            if w in self.elder:
+                known[w] = self.elder[w]
+            else:
+                fresh.append(w)
         own = dict(zip(fresh, self.replay(fresh))) if fresh else {}
         out = []
         for words in cut:
@@ -115,10 +122,9 @@ class MergeReplay:
             for w in words:
                 ids.extend(own[w] if w in own else known[w])
             out.append(ids)
-        if len(known) + len(own) > KEPT:
-            known.clear()
-        if len(own) <= KEPT:
-            known.update((w, x) for w, x in own.items() if len(w) <= KEPT_LENGTH)
+        known.update((w, x) for w, x in own.items() if len(w) <= KEPT_LENGTH)
+        if len(known) > KEPT:
+            self.known, self.elder = {}, known if len(known) <= 4 * KEPT else {}
         return out
 
 

@@ -133,8 +133,8 @@ _ODD = (
     re.compile(f"[{_LOWER}][{_UPPER}]+(?:[{_LOWER}]|$)"),
     re.compile(f"^[A-Z][À-ÖØ-Þ][{_LOWER}]{{2}}"),
     re.compile("[∞][CF]$"),
-    # dotless i beside a vowel, or with front vowels in a word without other Turkish letters
-    re.compile("[aeiouäöüAEIOU]ı|ı[aeiouäöü]|^(?!.*[şğçİŞĞÇ])(?=.*ı).*[eiöüä]"),
+    # dotless i next to a vowel, which Turkic words don't have; a Latin-1 letter for o with tilde beside it
+    re.compile("[aeiouäöüAEIOU]ı|ı[aeiouäöü]"),
     # an apostrophe that became an accented i
     re.compile("^(?:[ldsjcmntLDSJCMNT]|[Qq]u)í[aeiouhéêè][a-zé]{4}"),
     re.compile("°⁄"),
@@ -329,10 +329,7 @@ class Repairer:
         if (known := self.known.get(word)) is not None:
             return known
         text, garbled = word, False
-        for _ in range(4):  # garbled more than once
-            better = self._matched(text)
-            if better is None or better == text:
-                break
+        while (better := self._matched(text)) is not None and len(better) < len(text):  # garbled more than once; each reading is shorter
             text, garbled = better, True
         if not garbled and (better := self._odd(text)) is not None:
             text, garbled = better, True

@@ -21,19 +21,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.io import once
-
-#: Letters, each followed by its prototype.  Capital Greek, small Greek, capital Cyrillic, small Cyrillic, others.
-LETTERS = (
-    "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ϺM Ϝ F ͿJ "
-    "οo νv ρp ιi αa υu γy ϲc ϳj σo "
-    "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ԀD ԌG ԐE ԚQ ԜW ҺH ҮY Ӏ l "
-    "аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ѵv ӏl ґr "
-    "ՍU ՏS Օ O օo հh ոn ցg զq յj "
-    "Ꭺ A ᎪA ᏴB ᏟC ᎠD ᎬE ᏀG ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᏚS ᎢT ᏙV ᎳW ᏃZ "
-    "ɑa ɡg ɩi ı̇i"
-)
-#: Signs that look like an ASCII one.
-SIGNS = {"‐": "-", "‑": "-", "−": "−", "․": ".", "⁄": "/", "∕": "/", "ʹ": "'", "ʼ": "’", "՝": "'", "׃": ":", "։": ":", "ː": ":", "∶": ":", "；": ";", ";": ";", "‚": "‚", "ꓸ": "."}
+from tracewell.operators.dedupe import spread_join
+
+#: A Latin letter, and letters of other alphabets that look like it (Greek, Cyrillic, Armenian, Cherokee, Coptic, Lisu,
+#: Deseret, rare Latin ones).
+LETTERS = {
+    "A": "ΑАᎪⲀꓮ", "B": "ΒВᏴⲂꓐ", "C": "ϹСᏟⲤꓚ𐐕", "D": "Ꭰꓓ", "E": "ΕЕᎬⲈꓰ", "F": "Ϝꓝ", "G": "ԌᏀꓖ", "H": "ΗНҺᎻⲎꓧ", "I": "ΙІӀⲒꓲ", "J": "ͿЈᎫꓙ", "K": "ΚКᏦⲔꓗ", "L": "ᏞꓡⳐ", "M": "ΜϺМᎷⲘꓟ",
+    "N": "ΝⲚꓠ", "O": "ΟОՕⲞꓳ𐐄", "P": "ΡРᏢⲢꓑ", "Q": "Ԛ", "R": "Ꭱꓣ", "S": "ЅՍᏚꓢ", "T": "ΤТᎢⲦꓔ", "U": "ꓴ", "V": "ᏙꓦѴ", "W": "ԜᎳꓪ", "X": "ΧХⲬꓫ", "Y": "ΥУҮⲨꓬ", "Z": "ΖᏃⲌꓜ",
+    "a": "αаɑ", "c": "ϲс𐐽", "d": "ԁ", "e": "е", "g": "ցɡ", "h": "һհ", "i": "ιіɩı", "j": "јϳյ", "l": "ӏ", "n": "ո", "o": "οоօ𐐬", "p": "ρр", "q": "ԛզ", "r": "ґ", "s": "ѕՏ", "u": "υ", "v": "νѵ", "w": "ԝ", "x": "х", "y": "γу",
+}
+#: Letters whose small form is the capital made small: of alphabets whose small letters are such, these look like Latin ones.
+SAME_SHAPE = "COSVWXZ"
+#: A sign, and signs that look like it.
+SIGNS = {"-": "\u2010\u2011\u2212", ".": "\u2024\ua4f8", "/": "\u2044\u2215", "'": "\u02b9\u055d\ua78c", "\u2019": "\u02bc", "\u2018": "\u02bb", ":": "\u05c3\u0589\u02d0\u2236\ua789", ";": "\uff1b\u037e", ",": "\u201a"}
 #: Compatibility forms that a reader takes for the plain character.
 SAME = {"<wide>", "<narrow>", "<noBreak>", "<font>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>"}
 #: Characters without a shape, besides those of category Cf.
@@ -41,8 +41,26 @@ EMPTY = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x2800, 0x3164, 0xFFA0, *range(
 JOINERS = "‌‍"
 
 
-def _letters() -> dict[str, str]:
-    return {x[0]: x[1] for x in LETTERS.split() if len(x) == 2 and not x.isascii()}
+def look_alikes() -> dict[str, str]:
+    """Letter or sign to prototype, of the lists above and the rule for small letters."""
+    out: dict[str, str] = {}
+    for table in (LETTERS, SIGNS):
+        for prototype, others in table.items():
+            for ch in others:
+                if ch in out or ch == prototype or (prototype.isalpha() and ch.isascii()):
+                    raise ValueError(f"{ch!r} of {prototype!r} stands twice or for itself")
+                out[ch] = prototype
+    for ch, prototype in list(out.items()):
+        small = ch.lower()
+        if prototype in SAME_SHAPE and small != ch and small not in out and unicodedata.name(ch).split()[0] in ("CHEROKEE", "COPTIC", "DESERET"):
+            out[small] = prototype.lower()
+    for letter in SAME_SHAPE:  # small capitals of Latin
+        name = f"LATIN LETTER SMALL CAPITAL {letter}"
+        try:
+            out.setdefault(unicodedata.lookup(name), letter.lower())
+        except KeyError:
+            continue
+    return out
 
 
 @lru_cache(maxsize=1)
@@ -64,7 +82,7 @@ def prototypes() -> dict[int, str]:
             plain = _plain(ch)
             if plain != ch:
                 out[code] = plain
-    for ch, to in {**_letters(), **SIGNS}.items():
+    for ch, to in look_alikes().items():
         out[ord(ch)] = to
     # Prototypes of what compatibility forms come to (a math letter of Greek, a wide sign).
     return {c: "".join(out.get(ord(x), x) if out.get(ord(x), x) != chr(c) else x for x in to) for c, to in out.items()}
@@ -143,19 +161,41 @@ def _keys(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, text).filter(F.col(text).isNotNull()).mapInPandas(run, f"`{key}` {kind}, s binary, t binary")
 
 
+def _cases(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, s, t) of the rows whose skeleton has several texts."""
+    rows = once(_keys(df, key, text))  # texts are read one time
+    several = rows.groupBy("s").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo < hi").select("s")
+    return spread_join(rows, ["s"], several.withColumn("_of", F.lit(1)), [key]).filter("_of is not null").drop("_of")
+
+
+def lookalike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, class_id, n_texts, n_links) of the rows that some other text reads like: the class's least key, its different texts, and the rows
+    of other texts in it.  Null and empty texts are in no class.  A class that a third of all rows are in is spread over tasks."""
+    cases = _cases(df, key, text)
+    texts = cases.groupBy("s", "t").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("least"))
+    classes = texts.groupBy("s").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("n_texts"), F.sum("n").alias("_rows"))
+    known = texts.join(classes, "s").select("s", "t", "class_id", "n_texts", (F.col("_rows") - F.col("n")).alias("n_links"))
+    return spread_join(cases, ["s", "t"], known, [key]).select(key, "class_id", "n_texts", "n_links")
+
+
+#: Rows of one text that meet their partners in one task, about.
+PER_TASK = 100_000
+
+
 def lookalike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key_a, key_b), a before b: rows whose texts differ but have one skeleton.  Null and empty texts are in no pair.
 
     Only digests are shuffled.  A first grouping, combined before its shuffle, finds the skeletons that have several texts.  Pairs
     are made between these distinct texts, and only then spread over the rows that hold them: copies of one text never meet each
-    other, and no step has more rows than the result.
+    other, and no step has more rows than the result.  A text that very many rows hold is cut into parts by its rows' keys, so its
+    pairs are made by many tasks.
     """
-    rows = once(_keys(df, key, text))  # texts are read one time
-    several = rows.groupBy("s").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo < hi").select("s")
-    cases = rows.join(several, "s", "left_semi")
-    texts = cases.select("s", "t").distinct()
-    pairs = texts.join(texts.withColumnRenamed("t", "u"), "s").filter("t < u").select("t", "u")
-    a = cases.select(F.col(key).alias("_a"), "t")
-    b = cases.select(F.col(key).alias("_b"), F.col("t").alias("u"))
-    ids = pairs.join(a, "t").join(b, "u").filter("_a <> _b")  # rows that share a key, or have none, are no pair
+    cases = _cases(df, key, text)
+    texts = cases.groupBy("s", "t").agg(F.count(F.lit(1)).alias("n")).select("s", "t", F.ceil(F.col("n") / PER_TASK).cast("int").alias("parts"))
+    rows = spread_join(cases, ["s", "t"], texts, [key]).select(F.col(key).alias("_k"), "t", F.pmod(F.xxhash64(key), F.col("parts")).cast("int").alias("part"))
+    other = texts.select("s", F.col("t").alias("u"), F.col("parts").alias("u_parts"))
+    pairs = texts.join(other, "s").filter("t < u")
+    part = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    met = pairs.select("t", "u", "u_parts", part("parts").alias("part")).join(rows, ["t", "part"]).select(F.col("_k").alias("_a"), F.col("u").alias("t"), part("u_parts").alias("part"))
+    ids = met.join(rows.withColumnRenamed("_k", "_b"), ["t", "part"]).filter("_a <> _b")  # rows that share a key, or have none, are no pair
     return ids.select(F.least("_a", "_b").alias(f"{key}_a"), F.greatest("_a", "_b").alias(f"{key}_b"))

@@ -1,40 +1,75 @@
 """Personal information in free text, found and replaced by typed placeholders (problem 3).
 
-A skip-chain conditional random field over candidate spans.  Candidates come from patterns, a name automaton and cues, wide enough
-to hold decoys too.  Each is a node with the labels item or none; its own potential is log-linear in shape, lexicon and context
-features.  Neighbours in a sentence share a chain potential; candidates of a document with the same name word, or the same
-digits, share a skip potential, so that a name that is clear at one place is found at the others: names of the lexicon wherever they
-stand, other names where a cue, key or word after them shows them once, then at their further places too.  Loopy belief propagation gives
-the marginals.  Weights are learnt by pseudo-likelihood on sentences that are made here from the lexicon and from invented names;
-nothing is learnt from the data's own rows.
+A skip-chain conditional random field over tokens.  A node is a word that may be (part of) a name, with the labels outside, begin and
+inside; or a number, a mail address or a street address, which are tokens of their own with the labels outside and their kind.
+Words with a capital are nodes wherever they stand; so are lexicon words in small letters, small-letter words beside such or behind a
+word that the field has learnt to go before names, and small-letter repeats of what it takes for a name.  All other words are outside.
+
+Potentials are log-linear: shape, letters, lexicon and context of a node; a chain potential between neighbours by the gap between
+them; a skip potential between all places of a document with the same word, or with words of one stem, and between equal numbers.  A
+group of such places is one factor with a hidden state of its own, so its messages are linear in its places and exact at any number
+of them.  Loopy belief propagation runs the chains forward and backward and passes the groups' messages until nothing moves.
+
+The chain's weights are maximum likelihood on texts made by ``personal_text``; those of the skips are chosen by likelihood on texts in
+which names come again.  No row of a table is learnt from.
 """
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 import html
+import inspect
+import json
 import math
-import random
+import os
 import re
+import unicodedata
 from bisect import bisect_right
 from collections import defaultdict
-from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import product
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.body import decode_body
 from tracewell.llm.garbled import is_media
+from tracewell.llm.personal_text import BOTH, Maker, unmark
 
 KINDS = ("email", "phone", "id_number", "address", "person")
-#: Sentences made for training, passes over them, and the seed.
-TRAIN_SENTENCES, PASSES, SEED = 6_000, 4, 7
-#: Characters in which a name must end; longer runs are no names.
-REACH = 120
-#: Messages of belief propagation at most; partners of a node by one skip key before they hang on its first node alone.
-ROUNDS, CLIQUE = 8, 6
+#: Texts made for training, texts with repeats for the skips' weights, and the seed; passes over the texts, chains of a step, its rate,
+#: and the penalty of large weights.
+TRAIN_TEXTS, SKIP_TEXTS, SEED, EPOCHS, BLOCK, RATE, PENALTY = 24_000, 600, 7, 22, 400, 0.3, 0.05
+#: Probability of being outside from which on a token is no item.
+OUTSIDE = 0.6
+#: Change of a message (log odds) under which the field has settled.
+SETTLED = 1e-2
+#: Log odds under which a node can't become an item by any message: such nodes are left out of groups and chains.
+HOPELESS = -5.0
+#: Log odds of an unknown small-letter word behind a word from which on the latter is watched.
+CUE = 0.0
+#: Names are rarer in pages than in the texts made for training, above all as words that no lexicon has: taken from the log odds of a
+#: name's first word, and of one outside the lexicon.
+RARER, UNKNOWN = 0.0, 1.5
+#: What fits a street grammar is an address more often in pages than in the made texts: added to its log odds.
+STREET = 2.0
+#: Times that an ending of a word must be in training to count.
+ENDINGS = 150
+#: Share of names among what comes again in the texts that the skips' weights are chosen on.
+NAMES = 0.08
+#: Tokens from which on a chain in training is cut where two are outside.
+CUT = 6
+#: Neighbours further apart than this many characters share no potential: their labels say nothing of each other.
+APART = 60
+#: Trained weights.
+WEIGHTS = os.path.join(os.path.dirname(__file__), "personal_weights.json.gz")
+#: Entries of a worker's memory of potentials; results don't depend on it.
+KEPT = 400_000
 
 # --- escapes -----------------------------------------------------------------------------------------------------------------
 
@@ -79,88 +114,138 @@ class Text:
         return i + self.shifts[bisect_right(self.starts, i) - 1]
 
 
-# --- candidates --------------------------------------------------------------------------------------------------------------
+# --- tokens ------------------------------------------------------------------------------------------------------------------
+
+
+def _class(kinds: tuple[str, ...]) -> str:
+    """Characters of Unicode categories as the inside of a character class."""
+    codes = [c for c in range(0x41, 0x2FA0) if unicodedata.category(chr(c)) in kinds]
+    out, i = [], 0
+    while i < len(codes):
+        j = i
+        while j + 1 < len(codes) and codes[j + 1] == codes[j] + 1:
+            j += 1
+        out.append(re.escape(chr(codes[i])) + (f"-{re.escape(chr(codes[j]))}" if j > i else ""))
+        i = j + 1
+    return "".join(out)
+
+
+_UP = _class(("Lu", "Lt"))
+_CAP = f"[{_UP}]"
+#: A word, with what hyphens and apostrophes join; one that begins with a capital.
+_REST = r"[^\W\d_]*+(?:['’-][^\W\d_]++)*+"
+_WORD = re.compile(r"[^\W\d_]" + _REST)
+_CAPITAL = re.compile(rf"(?<![\w@/-]){_CAP}{_REST}(?![\d_@/])")
+#: Small words inside names.
+_PARTICLE_WORDS = frozenset("van von der den de del della da di dos das la le du bin ibn al el ten ter vom zu zur af av".split())
+_PARTICLES = re.compile(r"(?:(?:" + "|".join(sorted(_PARTICLE_WORDS)) + r") )+\Z")
+#: Particles that begin a name where they stand before its first word; the Romance ones may be prepositions.
+_LEADING = re.compile(r"(?<!\w)(?:(?:van der|van den|van de|van|von der|von|vom|ten|ter|bin|ibn) )\Z", re.I)
+_DIGITS = re.compile(r"\d+")
+_CHUNK = re.compile(r"[^\W_]+|[\W_]+")
+_SUB = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[^\W\d_]+")
 
-_CAP = "[A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĢİĪĶĹĽŁŃŅŇŌŐŘŚŞŠŤŪŮŰŹŻŽȘȚА-ЯЁ]"
-_LOW = "[a-zß-öø-ÿāăąćčďđēęěğģıīķĺľłńņňōőŕřśşšťūůűźżžșțа-яё]"
-_WORD = rf"{_CAP}(?:[\w]*['’]?{_CAP}?\w*)(?:-{_CAP}[\w'’]*)*"
 _AT = re.compile(r"@|%40|＠|[\[({] ?(?:at|ät) ?[\])}]| at (?=[\w-]+(?: dot |\.)[\w])", re.I)
-_LOCAL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._+'-]*[ ]?\Z")
 _DOT = r"(?:\.| ?[\[({] ?dot ?[\])}] ?| dot )"
-_DOMAIN = re.compile(rf"[ ]?([^\W_][\w-]*(?:{_DOT}[^\W_][\w-]*)*{_DOT}([^\W\d_][^\W_]*(?:-[^\W_]+)*))", re.I)
-_FILES = {"png", "jpg", "jpeg", "gif", "webp", "svg", "css", "js", "html", "woff", "woff2", "ico", "json", "php"}
-_PHONE_SHAPES = (
+_DOMAIN = re.compile(rf"[ ]?([^\W_][\w-]*+(?:{_DOT}[^\W_][\w-]*+)*?{_DOT}([^\W\d_][^\W_]*+(?:-[^\W_]++)*+))(?!{_DOT}[^\W_])", re.I)
+_LOCAL_SIGNS = frozenset("._+'-")
+#: Endings of files, which no mail address has.
+_FILES = frozenset("png jpg jpeg gif webp svg css js html woff woff2 ico json php".split())
+#: How numbers are written in numbering plans and in identity documents; what a number is its context says.
+_SHAPES = (
     ("trunk0", r"\+\d{1,3}[ .-]?\(0\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}"),
     ("us1", r"\+1[ .-]\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}"),
     ("two4", r"\+\d{3}[ .-]\d{4}[ .-]\d{4}"),
     ("three3", r"\+\d{2,3}(?:[ .-]\d{3}){3}"),
-    ("e164", r"\+\d{9,14}"),
-    ("intl", r"\+\d{1,3}(?:[ .-]\d{2,5}){2,4}"),
-    ("usp", r"\(\d{3}\) ?\d{3}[-. ]\d{4}"),
-    ("us", r"\d{3}(?P<sign>[-. ])\d{3}(?P=sign)\d{4}"),
+    ("plus", r"\+\d{9,14}"),
+    ("intl", r"\+\d{1,3}(?:[ .-]\d{2,5}){2,5}"),
+    ("area3", r"(?:8 )?\(\d{2,4}\) ?\d{3}[-. ]\d{2}[-. ]?\d{2}"),
+    ("cpf", r"\d{3}\.\d{3}\.\d{3}-\d{2}"),
+    ("three34", r"\d{3}(?P<sign>[-. ])\d{3}(?P=sign)\d{4}"),
     ("pairs", r"0\d(?P<gap>[ .-])\d\d(?P=gap)\d\d(?P=gap)\d\d(?P=gap)\d\d"),
     ("uk", r"0\d{4} \d{6}|0\d{4} \d{3} \d{3}"),
-    ("area", r"0\d{2} \d{4} \d{4}|0\d{2} \d{5} \d{3}|0\d{3} \d{6,7}"),
+    ("area", r"0\d{2} \d{4} \d{4}|0\d{2} \d{5} \d{3}|0\d{2} \d{3} \d{4}|0\d{2,3} \d{6,8}"),
     ("au", r"0\d{3}[- ]\d{3}[- ]\d{3}"),
-    ("zero", r"00\d{3}[- ]?\d{3}[- ]?\d{3}[- ]?\d{2}|00\d{2,3}(?:[ -]\d{2,4}){2,4}|00\d{9,13}"),
+    ("zeros", r"00\d{3}[- ]?\d{3}[- ]?\d{3}[- ]?\d{2}|00\d{2,3}(?:[ -]\d{2,4}){2,4}|00\d{9,13}"),
     ("trunk", r"0\d{9,10}"),
-)
-_ID_SHAPES = (
+    ("fours", r"\d{4} \d{4} \d{4}"),
+    ("threes", r"\d{3}(?P<tie>[ -])\d{3}(?P=tie)\d{3}"),
     ("ssn", r"\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4}"),
     ("hetu", r"\d{6}[-+A]\d{3}[0-9A-Z]"),
-    ("passport", r"[A-Z]{2}\d{7}|[A-Z]\d{8}"),
-    ("eleven", r"\d{11}|\d{6}-\d{5}"),
-    ("nine", r"\d{9}"),
+    ("slash", r"\d{6}/\d{3,4}"),
+    ("fiscal", r"[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z]"),
+    ("letters", r"[A-Z]{2}\d{7}|[A-Z]\d{8}|[A-Z]{2}\d{6}[A-Z]|[XYZ]\d{7}[A-Z]|\d{8}[A-Z]|\d{2}[A-Z]{2}\d{5}|[A-Z]\d{7}"),
+    ("six5", r"\d{6}-\d{4,5}"),
+    ("digits13", r"\d{13}"),
+    ("digits11", r"\d{11}"),
+    ("digits10", r"\d{10}"),
+    ("digits9", r"\d{9}"),
 )
-#: A phone number with its extension, or an identity number; the outer group's name tells which, and its shape.
 _NUMBER = re.compile(
-    r"(?<![\w.,/-])(?:"
-    + "|".join(f"(?P<{kind}_{name}>{shape})" for kind, shapes in (("phone", _PHONE_SHAPES), ("id_number", _ID_SHAPES)) for name, shape in shapes)
-    + r")(?![\w]|[-/]\d)(?:,? ?(?:x|ext\.?|#) ?\d{1,5}\b)?"
+    r"(?<![\w.,/-])(?:" + "|".join(f"(?P<{name}>{shape})" for name, shape in _SHAPES) + r")(?![\w]|[-/]\d|\.\d)(?:,? ?(?:x|ext\.?|#) ?\d{1,5}\b)?"
 )
-_NUMBER_START = re.compile(r"(?<![\w.,/-])(?:[+(]?\d(?=[\d ().-])|[A-Z]{1,2}\d{7})")
-_NO = r"\d{1,4}(?: ?(?:bis|ter|[a-zA-Z]\b))?"
+_NUMBER_START = re.compile(r"(?<![\w.,/-])(?:[+(]?\d(?=[\dA-Z ().-])|[A-Z]{1,6}\d)")
+
+_NO = r"\d{1,5}(?: ?(?:bis|ter|[a-zA-Z]\b))?"
+_NAME = rf"{_CAP}[\w'’-]*+"
+#: Words for streets by the way an address is written, and its grammar: number, name, word; number, word, name; word,
+#: name, number; name with the word as its ending, number; name, word, number.
 _STREETS = (
-    (("Street", "St", "Road", "Rd", "Avenue", "Ave", "Lane", "Drive", "Close", "Terrace", "Court", "Place", "Square", "Way", "Crescent", "Boulevard", "Blvd", "Row"),
-     rf"{_NO},? (?:{_CAP}[\w'’-]* ){{1,3}}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Close|Terrace|Court|Ct|Place|Pl|Square|Sq|Way|Crescent|Boulevard|Blvd|Row|Gardens)\b\.?"),
-    (("rue ", "avenue ", "boulevard ", "place ", "allée ", "chemin ", "impasse ", "quai "),
-     rf"{_NO},? (?:[Rr]ue|[Aa]venue|[Bb]oulevard|bd|[Pp]lace|[Aa]llée|[Cc]hemin|[Ii]mpasse|[Qq]uai|[Cc]ours) (?:du |de la |de l['’]|des |de |d['’])?{_CAP}[\w'’-]*"),
-    (("Avda", "Avenida", "C/", "Calle", "Plaza", "Paseo", "Rua", "Camino"),
-     rf"(?:[Aa]vda\.?|[Aa]venida|[Cc]/|[Cc]alle|[Pp]laza|[Pp]aseo|[Rr]ua|[Cc]amino) ?(?:(?:del|de la|de los|de las|de|do|da|dos) )?{_CAP}[\w'’-]*(?: {_CAP}[\w'’-]*)*,? (?:n[ºo°.]+ ?)?\d{{1,4}}"),
-    (("straße", "strasse", "str.", "weg", "platz", "gasse", "allee", "damm", "ufer"), rf"{_CAP}[\w-]*(?:straße|strasse|str\.|weg|platz|gasse|allee|damm|ufer) \d{{1,4}} ?[a-z]?\b|(?:{_CAP}[\w-]* ){{1,2}}(?:Straße|Str\.|Weg|Platz) \d{{1,4}}"),
-    (("Straße", "Str.", "Weg ", "Platz "), rf"(?:{_CAP}[\w-]* ){{1,2}}(?:Straße|Str\.|Weg|Platz) \d{{1,4}}"),
-    (("katu", "tie ", "kuja", "polku", "raitti"), rf"{_CAP}[\w-]*(?:katu|tie|kuja|polku|raitti) \d{{1,4}}\b(?: [A-Z] ?\d{{0,3}}\b)?"),
-    ((" tn ", " tänav", " tee ", " pst ", " puiestee", " mnt "), rf"{_CAP}[\w-]*(?: {_CAP}[\w-]*)? (?:tn|tänav|tee|pst|puiestee|mnt|maantee)\.? \d{{1,4}}(?:-\d{{1,4}})?"),
-    (("ul.", "ulica", "al.", "aleja", "pl.", "os."), rf"\b(?:[Uu]l\.|[Uu]lica|[Aa]l\.|[Aa]leja|[Pp]l\.|[Oo]s\.) ?(?:{_CAP}[\w-]* )+\d{{1,4}}(?:[/ ]\d{{1,4}})?"),
-    (("ул.", "улица", "пр.", "пр-т", "проспект", "пер.", "переулок", "наб.", "шоссе"), rf"\b(?:[Уу]л\.|[Уу]лица|[Пп]р\.|[Пп]р-т|[Пп]роспект|[Пп]ер\.|[Пп]ереулок|[Нн]аб\.|[Шш]оссе) ?{_CAP}[\w-]*(?:[ -]{_CAP}[\w-]*)*,? (?:д(?:\.|ом)? ?)?\d{{1,4}}(?:,? ?кв\.? ?\d{{1,4}})?"),
-)
-_STREETS = tuple((keys, re.compile(r"(?<![\w])(?:" + p + ")")) for keys, p in _STREETS)
-
-# Cues around names: fixed values, in the languages of such messages.  They make candidates; the field decides.
-_LEFT = (
-    "Hi Hello Dear Hey Hei Tere Terve Moi Hola Bonjour Salut Merci Ciao Cześć Привет Здравствуйте Уважаемый Уважаемая Guest Recipient Keyholder Customer Client Cliente Klient Kunde Kundin Tilaaja Saaja Vastaanottaja Odbiorca Получатель "
-    "Заказчик Клиент Empfänger Destinataire Destinatario Co-borrower Borrower Tenant Owner Holder Patient Name Nimi Nom Nombre Imię Имя Frau Herr Herrn Mr Mrs Ms Miss Dr Mme Mlle Sr Sra Pan Pani Herra Rouva Härra Proua Господин Госпожа user"
-).split()
-_SURE_PHRASES = ("ask for ", "signed for by ", "signed by ", "both of ", "chez ", "geht an ", "regards,\n", "regards,\r\n", "regards, ", "user=")
-_KEY_WORDS = "fullName full_name displayName firstName lastName surname givenName familyName recipient holder owner contactName customerName to cardholder name".split()
-_KEYS = re.compile('"(?:' + "|".join(_KEY_WORDS) + r')"\s*:\s*"')
-_CUE = re.compile(
-    r"(?<![\w-])(?:(?:" + "|".join(map(re.escape, _LEFT)) + r")(?:[:.]? |, |: ?|=)(?:(?:Mr|Mrs|Ms|Dr|Frau|Herrn?|Mme|Sra?|Pani?)\b\.? )?|(?i:ask for |signed (?:for )?by |both of |chez (?:M\. |Mme )?|geht an (?:Frau |Herrn )?|regards,\s+|user=|de (?=\w+ \w+\.?(?:$|[\s<\"]))))"
+    ("street|st|road|rd|avenue|ave|lane|ln|drive|dr|close|terrace|court|ct|place|pl|square|sq|way|crescent|boulevard|blvd|row|gardens|grove|mews|parade|walk|hill|park|quay",
+     rf"{_NO},? (?:{_NAME} )+(?:{{words}})\b\.?"),
+    ("rue|avenue|boulevard|bd|place|allée|chemin|impasse|quai|cours|route|square|passage", rf"{_NO},? (?:{{words}}) (?:du |de la |de l['’]|des |de |d['’])?{_NAME}"),
+    ("calle|c/|avenida|avda.|avda|plaza|paseo|camino|carrer|rua|praça|travessa|via|viale|piazza|corso|largo|vicolo|strada|bulevardul|aleea",
+     rf"(?:{{words}}) ?(?:(?:del|de la|de los|de las|de|della|dei|do|da|dos|das|di) )?{_NAME}(?: (?:de |la |da |do )?{_NAME})*,? (?:n[ºo°.]+ ?|nr\.? ?)?\d{{{{1,5}}}}"),
+    ("straße|strasse|str.|weg|platz|gasse|allee|damm|ufer|ring|straat|laan|plein|gracht|kade|gatan|vägen|gränd|gata|gate|vej|veien|gade|katu|tie|kuja|polku|raitti",
+     rf"{_CAP}[\w-]*?(?:{{words}}) \d{{{{1,5}}}}(?: ?[a-zA-Z]\b)?(?: \d{{{{1,3}}}}\b)?"),
+    ("straße|str.|weg|platz|allee|tn|tänav|tee|pst|puiestee|mnt|maantee|utca|út|tér|caddesi|cad.|sokak|sok.|bulvarı", rf"{_NAME}(?: {_NAME})* (?:{{words}})\.? \d{{{{1,5}}}}(?:-\d{{{{1,4}}}}| ?[a-z]\b)?"),
+    ("ul.|ulica|al.|aleja|pl.|plac|os.|ulice|nám.|náměstí|trg", rf"(?:{{words}}) ?(?:{_NAME} )+\d{{{{1,5}}}}(?:[/ ]\d{{{{1,4}}}})?"),
+    ("ул.|улица|пр.|пр-т|проспект|пер.|переулок|наб.|набережная|шоссе|бульвар|площадь|вул.", rf"(?:{{words}}) ?{_NAME}(?:[ -]{_NAME})*,? (?:д(?:\.|ом)? ?)?\d{{{{1,5}}}}(?:,? ?кв\.? ?\d{{{{1,4}}}})?"),
 )
-_NAME_AT = re.compile(rf"(?:{_CAP}\.[ -]?)*(?:{_WORD})(?:[ ](?:(?:van der|van den|van|von|de|del|da|di|la|le) (?={_CAP})|{_CAP}\.(?= {_CAP})|{_WORD}))*|{_LOW}[\w'’-]*(?: (?:van der |von |de )?{_LOW}[\w'’.-]*)?")
-_BACK = re.compile(rf"(?:(?:{_WORD}|{_CAP}\.)(?:[ ](?:(?:van der|van den|van|von|de|del) )?|-))+\Z")
-_CUE_WORDS = ("ask for ", "signed for by ", "signed by ", "both of ", "chez ", "geht an ", "regards,", "user=", "de ")
-_AFTER_WORDS = (" confirmed", " moved", " isikukood", " born in", ", born in", ", votre num", ", osoite", ";mail=", " <", " (")
-_AFTER_NAME = re.compile(r"(?: confirmed\b| moved\b| isikukood|,? born in\b|, votre num|, osoite|;mail=| [<(][\w.+-]+ ?(?:@|%40|[(\[]))", re.I)
-#: Words with a capital that no name begins with or holds: cues, titles, labels of numbers.
-_NOT_NAME = {w.lower() for w in _LEFT} | set(
-    "the a an this that my your our his her their and or if when since between before after old new tel phone email mail pesel ssn passport isik id isikukood henkilötunnus passnummer tax personal identity social паспорт code "
-    "signed best kind regards contact courier driver note deliver home address adresse order receipt sms reminder thanks thank thankyou open guide report lesson room box lot server build session part icon package follow avda calle ul "
-    "ул пр улица tulbi january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday nr no ihr ihre die der das ein eine sehr wir zur zum für nächste "
-    "außerdem größere bitte le la les un une el los las su et en de il lo gli i o os um uma no na w z do od na po twoja twój pan mr mrs teie meie sinu on kui kas palun küsimuste hei uusi minä sinä tänään письмо адрес тел ваш мы до код срок enviamos unsubscribe "
-    "http https www json html price total points kr eur usd verified application".split()
-) - {"april", "may"}
-_STOP = set("in at on by near behind beside the a an is was has and or to from for of with confirmed moved signed your our votre osoite tel mail born isikukood und et de y en sur la le el".split())
+
+
+#: Grammars whose word stands right before the number.
+_BEFORE_NUMBER = {3, 4}
+
+
+def _street_patterns() -> list[tuple[list[str], re.Pattern]]:
+    out = []
+    for words, grammar in _STREETS:
+        listed = sorted(words.split("|"), key=len, reverse=True)
+        forms = "|".join(f"[{w[0].upper()}{w[0]}]{re.escape(w[1:])}" for w in listed)
+        out.append((listed, re.compile(r"(?<!\w)" + grammar.replace("{{words}}", "{words}").replace("{words}", forms).replace("{{", "{").replace("}}", "}"))))
+    return out
+
+
+#: Grammars that begin with capitalised words or a word before them: their matches from neighbouring starts run over the same words.
+_RUNNING = {2, 4, 5, 6}
+_RUN = re.compile(rf" ?(?:(?:del|de la|de los|de las|de|della|dei|do|da|dos|das|di) )?{_NAME}(?:[ -](?:de |la |da |do )?{_NAME})*+ ?")
+_PLAIN_RUN = re.compile(rf"{_NAME}(?: {_NAME})*+")
+
+
+def street_matches(t: str, n: int, pattern: re.Pattern) -> Iterator[re.Match]:
+    """Matches of a grammar.  Where a start fails, all starts in the same run of words would fail too, so each run is read once."""
+    if n not in _RUNNING:
+        yield from pattern.finditer(t)
+        return
+    at = 0
+    for begin in _street_starts(n).finditer(t):
+        if begin.start() < at:
+            continue
+        if m := pattern.match(t, begin.start()):
+            yield m
+            at = m.end()
+        else:
+            run = _PLAIN_RUN.match(t, begin.start()) if n == 4 else _RUN.match(t, begin.end())
+            at = run.end() if run else begin.end()
+
+
+@lru_cache(maxsize=None)
+def _street_starts(n: int) -> re.Pattern:
+    if n == 4:
+        return re.compile(rf"(?<!\w){_CAP}")
+    words = sorted(_STREETS[n][0].split("|"), key=len, reverse=True)
+    return re.compile(r"(?<!\w)(?:" + "|".join(f"[{w[0].upper()}{w[0]}]{re.escape(w[1:])}" for w in words) + ")")
 
 
 def _lower(t: str) -> str:
@@ -169,592 +254,716 @@ def _lower(t: str) -> str:
     return low if len(low) == len(t) else "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
 
 
-@dataclass
-class Candidate:
-    kind: str
-    start: int
-    end: int
-    shape: str
-    keys: tuple[str, ...] = ()
-    features: list[str] = field(default_factory=list)
-    source: str = ""
+def _sound(word: str) -> bool:
+    """Whether a word with letters outside ASCII is written as words are; text read with a wrong encoding isn't."""
+    return all(p.isalpha() and (p.istitle() or p.isupper() or p.islower()) for p in re.split("['’-]", word) if p)
+
+
+#: Signs outside ASCII that correct text has right beside a word.
+_BESIDE_WORDS = frozenset("’‘“”„«»‹›–—…¡¿\xa0\u200b\u2009\u202f•·。、，！？：；（）「」")
+
+
+def _alone(t: str, a: int, b: int) -> bool:
+    """Whether no strange sign stands right beside a word."""
+    before, behind = t[a - 1 : a] if a else "", t[b : b + 1]
+    return (before <= "\x7f" or before.isalpha() or before in _BESIDE_WORDS) and (behind <= "\x7f" or behind.isalpha() or behind in _BESIDE_WORDS)
+
+
+class Node:
+    """A token that may be an item: ``kind`` is word, number, email or address."""
+
+    __slots__ = ("kind", "start", "end", "odds")
+
+    def __init__(self, kind: str, start: int, end: int, odds: tuple[float, float]):
+        self.kind, self.start, self.end = kind, start, end
+        self.odds = odds  # of the two labels against outside
+
 
+LABELS = {"number": ("", "phone", "id_number"), "email": ("", "email"), "address": ("", "address"), "word": ("", "person", "person")}
+_JOINS = frozenset(("space", "comma", "dot", "particle", "hyphen"))
 
-class Finder:
-    """Candidates of a text, with their features."""
 
-    def __init__(self, lexicon: Iterable[tuple[str, str]]):
-        self.part: dict[str, set[str]] = defaultdict(set)
-        for name, part in lexicon:
-            if name:
-                self.part[name.lower()].add(part or "")
+@lru_cache(maxsize=20_000)
+def gap_class(gap: str) -> str:
+    """What stands between two tokens."""
+    if gap in _GAPS:
+        return _GAPS[gap]
+    if len(gap) > 24:
+        return "far"
+    if _PARTICLES.match(gap.lstrip(" ,")):
+        return "particle"
+    if any(c.isalnum() for c in gap):
+        return "words"
+    bare = gap.strip(" \t")
+    if re.fullmatch(r'\\?"\s*:\s*\\?"', bare):
+        return "key"
+    if "<" in gap or ">" in gap:
+        return "angle" if bare in ("<", ">") else "tag"
+    if "\n" in gap or "\r" in gap:
+        return "line"
+    if '"' in gap or "{" in gap or "[" in gap:
+        return "quote"
+    if "." in gap or "!" in gap or "?" in gap:
+        return "stop"
+    return {":": "colon", "=": "equals", "(": "open", ")": "close", ";": "semi", "/": "slash", "-": "dash", "–": "dash", "—": "dash", "": "space"}.get(bare, "sign")
+
+
+_GAPS = {"": "tight", " ": "space", "\xa0": "space", ", ": "comma", ",": "comma", ". ": "dot", ".": "dot", "-": "hyphen", ": ": "colon", "=": "equals", " (": "open", ") ": "close"}
+
+
+class Tokens:
+    """The nodes of texts, and the features of each."""
+
+    def __init__(self, lexicon: dict[str, str]):
+        """``lexicon``: name in small letters to its parts, g for given and f for family."""
+        self.part: dict[str, str] = dict(lexicon)
+        for name, part in lexicon.items():  # names of several words are known by their last
+            if " " in name:
+                self.part.setdefault(name.rsplit(" ", 1)[1], part)
+        self.streets = _street_patterns()
         tags: dict[str, list] = defaultdict(list)
-        for n in self.part:
-            tags[n].append(("name", n))
-        for n, (keys, _) in enumerate(_STREETS):
-            for k in keys:
-                tags[k.lower()].append(("street", n))
-        for cue in (x.lower() for x in _LEFT):
-            for sign in " ,:.=":
-                tags[cue + sign].append(("cue", ""))
-        for cue in _CUE_WORDS:
-            tags[cue].append(("cue", ""))
-        for key in _KEY_WORDS:
-            tags[f'"{key.lower()}"'].append(("key", ""))
-        for word in _AFTER_WORDS:
-            tags[word].append(("after", ""))
+        for name in self.part:
+            if " " not in name:
+                tags[name].append(("name", 0))
+        for n, (words, _) in enumerate(self.streets):
+            for w in words:
+                tags[w].append(("street", n))
+        self._tags = tags
+        self.watch({})
+
+    def watch(self, cues: dict[str, float]) -> None:
+        """Also looks for words that go before names in small letters."""
         self.words = ahocorasick.Automaton()
+        tags = {k: list(v) for k, v in self._tags.items()}
+        for cue in cues:
+            tags.setdefault(cue, []).append(("cue", 0))
         for word, of in tags.items():
             self.words.add_word(word, (len(word), tuple(of)))
         self.words.make_automaton()
 
-    def hits(self, t: str) -> dict[str, list[tuple[int, int, object]]]:
-        """(start, end, value) of names, street words, cues, keys and words after names, by kind: one pass over the text."""
-        out: dict[str, list] = defaultdict(list)
-        for end, (size, of) in self.words.iter(_lower(t)):
-            for kind, value in of:
-                out[kind].append((end + 1 - size, end + 1, value))
-        return out
+    def lexicon_of(self, word: str) -> str:
+        p = self.part.get(word, "")
+        if not p and "-" in word:
+            p = "".join(sorted({c for w in word.split("-") for c in self.part.get(w, "")}))
+        return p
 
-    def emails(self, t: str) -> Iterator[Candidate]:
+    @staticmethod
+    def _emails(t: str) -> Iterator[tuple[int, int, str, str]]:
+        last = 0
         for m in _AT.finditer(t):
-            left = _LOCAL.search(t, max(0, m.start() - 70), m.start())
+            end = m.start()
+            spaced = end > last and t[end - 1] == " "
+            begin = end = end - spaced
+            while begin > last and (t[begin - 1].isalnum() or t[begin - 1] in _LOCAL_SIGNS):  # each character once, as local parts don't overlap
+                begin -= 1
+            while begin < end and not t[begin].isalnum():
+                begin += 1
             right = _DOMAIN.match(t, m.end())
-            if not left or not right:
+            if begin >= end or not right:
+                last = m.end()
                 continue
-            start = left.start()
-            spaced = left[0].endswith(" ") or t[m.end() : m.end() + 1] == " "
-            sign = "@" if m[0] in "@＠" else "%40" if m[0] == "%40" else "word"
             if m[0].lower() == " at " and " dot " not in right[0].lower():
                 continue
-            top = right[2].lower()
-            c = Candidate("email", start, right.end(), f"{sign}{'_' if spaced else ''}")
-            if top in _FILES:
-                c.features.append("file")
-            if sum(ch.isdigit() for ch in right[1]) > sum(ch.isalpha() for ch in right[1]):
-                c.features.append("version")
-            yield c
+            sign = "@" if m[0] in "@＠" else "%40" if m[0] == "%40" else "word"
+            digits = sum(c.isdigit() for c in right[1])
+            shape = f"{sign}{'_' if spaced else ''}|{'file' if right[2].lower() in _FILES else 'version' if digits > len(right[1]) - digits - right[1].count('.') else 'host'}"
+            last = right.end()
+            yield begin, right.end(), "email", shape
 
     @staticmethod
-    def numbers(t: str) -> Iterator[Candidate]:
+    def _numbers(t: str) -> Iterator[tuple[int, int, str, str]]:
         at = 0
         for begin in _NUMBER_START.finditer(t):
             i = begin.start()
             if i < at or not (m := _NUMBER.match(t, i) or (t[i] in "+(" and _NUMBER.match(t, i + 1))):
                 continue
             at = m.end()
-            kind, _, shape = m.lastgroup.rpartition("_")
-            start = m.start(m.lastgroup)
-            digits = re.sub(r"\D", "", m[m.lastgroup])
+            start = m.start()
             while not t[start].isalnum():
                 start += 1
-            yield Candidate(kind, start, m.end(), shape, (f"#{digits[-7:]}",))
+            yield start, m.end(), "number", next(n for n, _ in _SHAPES if m[n] is not None)
 
-    @staticmethod
-    def addresses(t: str, hits: list[tuple[int, int, int]]) -> Iterator[Candidate]:
+    def _addresses(self, t: str, kinds: set[int]) -> Iterator[tuple[int, int, str, str]]:
+        found = sorted((m.start(), -m.end(), n) for n in kinds for m in street_matches(t, n, self.streets[n][1]))
         last = -1
-        found = []
-        for n in sorted({h[2] for h in hits}):
-            for a, b, _ in (h for h in hits if h[2] == n):
-                # an address has its street word within this reach
-                found += [Candidate("address", m.start(), m.end(), f"street{n}") for m in _STREETS[n][1].finditer(t, max(0, a - 70), min(len(t), b + 60))]
-        for c in sorted(found, key=lambda c: (c.start, -c.end)):
-            if c.start >= last:
-                last = c.end
-                yield c
-
-    def persons(self, t: str, taken: list[tuple[int, int]], emails: list[tuple[int, int]], hits: dict[str, list]) -> Iterator[Candidate]:
-        starts = [a for a, _ in taken]
-
-        def free(a: int, b: int) -> bool:
-            i = bisect_right(starts, a)
-            return not ((i and taken[i - 1][1] > a) or (i < len(taken) and taken[i][0] < b))
+        for a, b, n in found:
+            if a >= last:
+                last = -b
+                yield a, last, "address", str(n)
+
+    def spans(self, t: str) -> list[tuple[int, int, str, str]]:
+        """(start, end, kind, shape) of a text's tokens in order, without overlap."""
+        low = _lower(t)
+        lexicon, streets, cued = [], set(), []
+        for end, (size, of) in self.words.iter(low):
+            a, b = end + 1 - size, end + 1
+            for kind, n in of:
+                if kind == "street":
+                    if n not in streets and (low[b : b + 1] == " " and low[b + 1 : b + 2].isdigit() if n in _BEFORE_NUMBER else not (a and low[a - 1].isalnum())):
+                        streets.add(n)
+                elif (a and (low[a - 1].isalnum() or low[a - 1] in "_@")) or (b < len(low) and (low[b].isalnum() or low[b] in "_@")):
+                    continue
+                elif kind == "name":
+                    if not t[a].isupper():
+                        lexicon.append((a, b))
+                else:
+                    cued.append(b)
+        out = sorted([*self._emails(t), *self._numbers(t)])
+        if streets and (found := list(self._addresses(t, streets))):
+            # of a number and an address that overlap the longer one holds
+            starts = [c[0] for c in out]
+            near = lambda c: out[max(0, bisect_right(starts, c[0]) - 1) : bisect_right(starts, c[1])]
+            found = [c for c in found if not any(x[1] > c[0] and x[1] - x[0] > c[1] - c[0] for x in near(c))]
+            begins = [c[0] for c in found]
+            out = sorted([c for c in out if not ((i := bisect_right(begins, c[0])) and found[i - 1][1] > c[0])] + found)
+        words = {m.start(): m.end() for m in _CAPITAL.finditer(t) if (m[0].isascii() or _sound(m[0])) and _alone(t, m.start(), m.end())}
+        for a, b in lexicon:
+            if a not in words and (a == 0 or t[a - 1] not in "'’-/#") and t[b : b + 1] not in ("/", "="):
+                end = words[a] = _WORD.match(t, a).end() if t[b : b + 1] in ("-", "'", "’") else b
+                # small letters beside a lexicon word in small letters
+                if t[end : end + 1] == " " and (m := _BESIDE.match(t, end + 1)) and m[0].islower():
+                    words.setdefault(m.start(1), m.end(1))
+                if a and t[a - 1] == " " and (m := _BEFORE_IT.search(t, max(0, a - 40), a - 1)) and m[0].islower():
+                    words.setdefault(m.start(), m.end())
+        for b in cued:
+            if (m := _AFTER_CUE.match(t, b)) and m[1].islower():
+                words.setdefault(m.start(1), m.end(1))
+                if m[2] and m[2].islower():
+                    words.setdefault(m.start(2), m.end(2))
+        if not out:
+            every = [(a, words[a], "word", "") for a in sorted(words)]
+        else:
+            every, i = [], 0
+            for a in sorted(words):
+                while i < len(out) and out[i][1] <= a:
+                    i += 1
+                if i == len(out) or out[i][0] >= words[a]:
+                    every.append((a, words[a], "word", ""))
+            every = sorted(every + out)
+        clean, at = [], -1
+        for c in every:
+            if c[0] >= at:
+                clean.append(c)
+                at = c[1]
+        return clean
+
+    # features of a token, of the text just before it, and of the text just behind it
+
+    def word_class(self, word: str) -> str:
+        """A word's parts in the lexicon and its shape."""
+        shape = "i" if len(word) == 1 else "U" if word.isupper() else "l" if word.islower() else "T" if word[1:].islower() or "-" in word or "'" in word or "’" in word else "m"
+        return self.lexicon_of(word.lower()) + shape
+
+    def word_features(self, word: str) -> list[str]:
+        low, cls = word.lower(), self.word_class(word)
+        f = ["w", f"s={cls[-1]}", f"x={cls[:-1]}", f"id={low}", f"n={min(len(low), 9)}"]
+        if len(cls) == 1:  # an ending counts where training has it often (see ``train_chain``)
+            f.append(f"z={low[-3:]}")
+        return f
+
+    def around(self, left: str, own: str, right: str) -> list[str]:
+        """Features of what is around a token whose class or shape is ``own``."""
+        before = _CHUNK.findall(left)
+        gap = before.pop() if before and not before[-1][-1].isalnum() else ""
+        p1 = before.pop() if before else "^"
+        p2 = before[-2].lower() if len(before) >= 2 and len(before[-1]) <= 2 else ""
+        behind = _CHUNK.findall(right)
+        after = behind.pop(0) if behind and not behind[0][0].isalnum() else ""
+        n1 = behind[0] if behind else "$"
+        g, h = gap_class(gap), gap_class(after)
+        if g == "dot" and len(p1) > 3 or (g == "dot" and p1[0].islower()):
+            g = "stop"
+        if h == "dot" and own[-1:] != "i":
+            h = "stop"
+        near = self.word_class(p1) if len(gap) < 3 and p1[0].isalpha() else ""
+        near = near if near[-1:] in "TU" or len(near) > 1 else ""
+        next_ = self.word_class(n1) if len(after) < 3 and n1[0].isalpha() else ""
+        next_ = next_ if next_[-1:] in "TU" or len(next_) > 1 else ""
+        f = [f"k={w.lower()}" for w in _SUB.findall(p1)] if g in ("key", "equals") or "_" in gap or not (p1.islower() or p1[1:].islower()) else []
+        p1 = "0" if p1[0].isdigit() else p1.lower()
+        n1 = "0" if n1[0].isdigit() else n1.lower()
+        f += [f"g={g}", f"p={p1}", f"p={p1}|{g}", f"h={h}", f"q={n1}", f"q={n1}|{h}", f"o={own}|{g}", f"o={own}|{h}", f"o={own}|{g}|{h}", f"op={own}|{p1}", f"oq={own}|{n1}", f"ob={own}|{near}|{g}", f"on={own}|{next_}|{h}", f"obn={own}|{near}|{next_}"]
+        if p2:
+            f.append(f"pp={p2} {p1}")
+        return f
+
+    def features(self, kind: str, shape: str, left: str, word: str, right: str) -> list[str]:
+        if kind == "word":
+            return self.word_features(word) + self.around(left, self.word_class(word), right)
+        f = [f"o={shape}", *self.around(left, shape, right)]
+        if kind == "number":  # how its digits are parted, and what it begins with
+            sizes = _DIGITS.sub(lambda m: str(len(m[0])), word.partition("x")[0].partition("e")[0].strip(" ,"))
+            lead = "+" if left.endswith("+") else "(" if left.endswith("(") else ""
+            f += [f"d={lead}{sizes}", f"d={lead}{sizes}|{word[0]}", f"b={lead}{word[:2]}"]
+        return [f"{kind}:{x}" for x in f]
+
+
+#: Characters before and behind a token that its features are made of.
+LEFT, RIGHT = 28, 14
+_BESIDE = re.compile(r"(?:(?:van|der|von|de) )*([^\W\d_]" + _REST + ")")
+_BEFORE_IT = re.compile(r"(?<![\w'’-])[^\W\d_]++(?:['’-][^\W\d_]++)*+\Z")
+_AFTER_CUE = re.compile(r"(?:\"?[:=] ?\"?| |: ?|, |,\s+)([^\W\d_]" + _REST + r")(?: ([^\W\d_]" + _REST + r"))?")
 
-        spans: dict[int, tuple[int, str]] = {}
+# --- the field ---------------------------------------------------------------------------------------------------------------
 
-        def add(a: int, b: int, source: str) -> None:
-            b = self._trim(t, a, b)
-            if b > a and free(a, b) and (a not in spans or spans[a][0] < b):
-                spans[a] = (b, source)
 
-        for a, b, name in hits["name"]:
-            if (a and (t[a - 1].isalnum() or t[a - 1] in "_@")) or (b < len(t) and (t[b].isalnum() or t[b] in "_@")):
-                continue
-            if not t[a:b].islower():
-                add(*self._grow(t, a, b), "lexicon")
-            elif t[a - 1 : a] not in ("/", ".", "-", "#", "=", "'") and t[b : b + 1] not in ("/", "-", "=", "'", "(") and not (t[b : b + 1] == "." and t[b + 1 : b + 2].isalnum()):
-                before = re.compile(r"(?:^|[>\"\n:=(] ?)([^\W\d_][\w'’-]*) \Z").search(t, max(0, a - 24), a)
-                if before and before[1].islower() and before[1] not in _STOP and before[1] not in _NOT_NAME:
-                    add(before.start(1), self._grow_low(t, a), "lower")
-                add(a, self._grow_low(t, a), "lower")
-        for a, _, _ in hits["cue"]:
-            m = _CUE.match(t, a)
-            if m and (n := _NAME_AT.match(t, m.end(), m.end() + REACH)):
-                a, b = n.start(), n.end()
-                if t[a].isupper():
-                    add(*self._grow(t, a, b, back=False), "cue")
-                elif m[0].lower() in _SURE_PHRASES or m[0].endswith((": ", "=")) or m[0].startswith(("Dear", "Hi", "Guest", "Frau", "Recipient", "Tilaaja", "Saaja", "Keyholder", "Merci", "Tere", "Klient")):
-                    add(a, self._grow_low(t, a), "cue_low")
-        for _, end in emails:
-            if t.startswith(" de ", end) and (n := _NAME_AT.match(t, end + 4, end + 4 + REACH)) and n.end() > n.start():
-                add(*(self._grow(t, *n.span(), back=False) if t[n.start()].isupper() else (n.start(), self._grow_low(t, n.start()))), "cue")
-        for a, _, _ in hits["key"]:
-            if not (m := _KEYS.match(t, a)):
-                continue
-            if n := re.compile(r"[^\"\\\n]{2,60}(?=\")").match(t, m.end()):
-                if re.fullmatch(r"[^\W\d_][\w.'’-]*(?:,? [^\W\d_][\w.'’-]*){0,4}", n[0]) and (not m[0].startswith('"name"') or " " in n[0]):
-                    if free(n.start(), n.end()):
-                        spans[n.start()] = (n.end(), "key")
-        for at, _, _ in hits["after"]:
-            if not (m := _AFTER_NAME.match(t, at)):
-                continue
-            if b := _NAME_BEFORE.search(t, max(0, m.start() - 60), m.start()):
-                a = b.start()
-                while (w := re.compile(rf"{_WORD}[ ]").match(t, a)) and w[0].strip().lower() in _NOT_NAME and w.end() < m.start():
-                    a = w.end()
-                add(a, m.start(), "before")
+class Field:
+    """Weights of the potentials, their sums kept by a worker, and belief propagation."""
+
+    def __init__(self, weights: dict[str, tuple[float, float]], edges: dict[tuple[str, str, str], np.ndarray], skips: dict[str, tuple[float, float, float]], lexicon: dict[str, str]):
+        self.weights, self.edges, self.skips = weights, {k: [[math.exp(x) for x in row] for row in v.tolist()] for k, v in edges.items()}, skips
+        self.tokens = Tokens(lexicon)
+        self.kept: dict[tuple, tuple[float, float]] = {}
+        self.flat = {True: [[1.0, 1.0, 0.0]] * 3, False: [[1.0] * 3] * 3}  # where training had no such pair: a word is inside only behind one that is
+        # words that make a small-letter word behind them worth a look
+        small = self._sum(("w", "s=l", "x="))[0]
+        cues = {}
+        for f, (b, _) in weights.items():
+            if f.startswith("p=") and "|" not in f and len(f) > 3:
+                best = max(self._sum((f, f"{f}|{g}", f"g={g}", f"o=l|{g}", f"op=l|{f[2:]}"))[0] for g in ("space", "colon", "key", "equals", "comma"))
+                if small + best > CUE:
+                    cues[f[2:]] = best
+        self.tokens.watch(cues)
+
+    def _sum(self, features: Iterable[str]) -> tuple[float, float]:
+        a = b = 0.0
+        get = self.weights.get
+        for f in features:
+            if w := get(f):
+                a += w[0]
+                b += w[1]
+        return a, b
+
+    def nodes(self, t: str, spans: Iterable[tuple[int, int, str, str]]) -> list[Node]:
+        """The tokens that may be items, with the log odds of their own potentials.  Odds follow from a token and a little text around it; a worker keeps them."""
+        kept = self.kept
+        if len(kept) > KEPT:
+            kept.clear()
         out = []
-        last = -1
-        for a in sorted(spans):
-            b, source = spans[a]
-            if a < last:
+        for a, b, kind, shape in spans:
+            left, right = t[a - LEFT if a > LEFT else 0 : a] or "\n", t[b : b + RIGHT] or "\n"  # a text's ends are ends of lines
+            key = (left, t[a:b], right, shape)
+            if (odds := kept.get(key)) is None:
+                odds = kept[key] = self._sum(self.tokens.features(kind, shape, left, key[1], right))
+            # a word that can't begin a name may go on with one
+            if odds[0] >= HOPELESS or (odds[1] >= HOPELESS and (kind != "word" or (out and out[-1].end + 12 > a))):
+                out.append(Node(kind, a, b, odds))
+        return out
+
+    def edge(self, a: Node, b: Node, t: str) -> list[list[float]] | None:
+        """Potentials between two neighbours; None if they are too far apart to say anything of each other."""
+        if b.start - a.end > APART:
+            return None
+        return self.edges.get((a.kind, b.kind, gap_class(t[a.end : b.start])), self.flat[b.kind == "word"])
+
+    # Beliefs: for each node three numbers that sum to 1.
+
+    @staticmethod
+    def _chain(nodes: list[list[float]], edges: list[list[list[float]]]) -> list[list[float]]:
+        """Marginals of a chain, forward and backward."""
+        n = len(nodes)
+        if n == 1:
+            s = sum(nodes[0])
+            return [[x / s for x in nodes[0]]]
+        ahead = [nodes[0]]
+        for i in range(1, n):
+            p, e, u = ahead[-1], edges[i - 1], nodes[i]
+            x0 = (p[0] * e[0][0] + p[1] * e[1][0] + p[2] * e[2][0]) * u[0]
+            x1 = (p[0] * e[0][1] + p[1] * e[1][1] + p[2] * e[2][1]) * u[1]
+            x2 = (p[0] * e[0][2] + p[1] * e[1][2] + p[2] * e[2][2]) * u[2]
+            s = x0 + x1 + x2
+            ahead.append([x0 / s, x1 / s, x2 / s])
+        out = [ahead[-1]]
+        back = [1.0, 1.0, 1.0]
+        for i in range(n - 2, -1, -1):
+            e, u = edges[i], nodes[i + 1]
+            v0, v1, v2 = back[0] * u[0], back[1] * u[1], back[2] * u[2]
+            b0, b1, b2 = (e[k][0] * v0 + e[k][1] * v1 + e[k][2] * v2 for k in range(3))
+            s = b0 + b1 + b2
+            back = [b0 / s, b1 / s, b2 / s]
+            a = ahead[i]
+            y0, y1, y2 = a[0] * back[0], a[1] * back[1], a[2] * back[2]
+            s = y0 + y1 + y2
+            out.append([y0 / s, y1 / s, y2 / s])
+        out.reverse()
+        s = sum(out[-1])
+        out[-1] = [x / s for x in out[-1]]
+        return out
+
+    def infer(self, t: str, nodes: list[Node]) -> list[list[float]]:
+        """Marginals of the nodes' labels by loopy belief propagation."""
+        beliefs = [[1.0, 0.0, 0.0] for _ in nodes]
+        chains: list[tuple[list[int], list]] = []
+        for i, c in enumerate(nodes):
+            joined = None
+            if chains and chains[-1][0][-1] == i - 1:
+                joined = self.edge(nodes[i - 1], c, t)
+            if joined is None:
+                chains.append(([i], []))
+            else:
+                chains[-1][0].append(i)
+                chains[-1][1].append(joined)
+        own: dict[int, list[float]] = {}
+        for ids, _ in chains:
+            for n, i in enumerate(ids):
+                a, b = nodes[i].odds
+                words = nodes[i].kind == "word"
+                own[i] = [1.0, math.exp(min(a, 30.0)), 0.0 if (words and n == 0) or LABELS[nodes[i].kind][-1] == LABELS[nodes[i].kind][1] and not words else math.exp(min(b, 30.0))]
+        for ids, edges in chains:
+            for i, m in zip(ids, self._chain([own[i] for i in ids], edges)):
+                beliefs[i] = m
+        groups = self._groups(t, nodes, own, beliefs)
+        if not groups:
+            return beliefs
+        of_node: dict[int, list[int]] = defaultdict(list)
+        for g, (_, members) in enumerate(groups):
+            for i in members:
+                of_node[i].append(g)
+        touched = [(ids, edges) for ids, edges in chains if any(i in of_node for i in ids)]
+        sent = [{i: 0.0 for i in members} for _, members in groups]  # log odds from group to place
+        damp, n = 0.7, 0
+        while True:
+            moved = 0.0
+            for g, (weight, members) in enumerate(groups):
+                w1, w0, rare = math.exp(weight[0]), math.exp(weight[1]), weight[2]
+                votes = {}
+                for i in members:
+                    m = beliefs[i]
+                    odds = max(1e-12, 1 - m[0]) / max(1e-12, m[0]) * math.exp(-sent[g][i])
+                    # what a place says to the hidden state: item against none
+                    votes[i] = math.log((1 + odds * w1) / (w0 + odds))
+                total = sum(votes.values())
+                for i in members:
+                    x = math.exp(max(-30.0, min(30.0, total - votes[i] - rare)))
+                    new = math.log((1 + x * w1) / (w0 + x))
+                    step = damp * (new - sent[g][i])
+                    moved = max(moved, abs(new - sent[g][i]))
+                    sent[g][i] += step
+            for ids, edges in touched:
+                local = []
+                for i in ids:
+                    u = own[i]
+                    if i in of_node:
+                        r = math.exp(max(-30.0, min(30.0, sum(sent[g][i] for g in of_node[i]))))
+                        u = [u[0], u[1] * r, u[2] * r]
+                    local.append(u)
+                for i, m in zip(ids, self._chain(local, edges)):
+                    beliefs[i] = m
+            n += 1
+            if moved < SETTLED:
+                return beliefs
+            damp = 0.7 if n < 10 else 7.0 / n  # steps shrink, so that the field settles in any case
+            if damp * moved < SETTLED:
+                return beliefs
+
+    def _groups(self, t: str, nodes: list[Node], own: dict, beliefs: list[list[float]]) -> list[tuple[tuple[float, float, float], list[int]]]:
+        """((weight of both item, of both none, log odds against a name), places) of the words and numbers that a document has more than once."""
+        by: dict[tuple[str, str], list[int]] = defaultdict(list)
+        for i in own:
+            c = nodes[i]
+            if c.kind == "word":
+                low = t[c.start : c.end].lower()
+                if len(low) > 2:
+                    by[("same", low)].append(i)
+                    if len(low) > 5 and not self.tokens.part.get(low):
+                        by[("stem", low[: max(5, len(low) - 3)])].append(i)
+            elif c.kind == "number":
+                by[("number", re.sub(r"\D", "", t[c.start : c.end])[-7:])].append(i)
+        out = []
+        for (kind, key), members in by.items():
+            if len(members) < 2 or max(1 - beliefs[i][0] for i in members) < 0.02:
                 continue
-            m = re.compile(rf", (?={_CAP})({_WORD}(?: {_CAP}\.)?)").match(t, b)
-            if m and (" " not in t[a:b] or t.startswith(("van ", "Van "), a)) and m[1].lower() not in _NOT_NAME and free(m.start(1), m.end()):
-                second = m[1].split()[0].split("-")[0].lower()
-                if "given" in self.part.get(second, ()) or (source in ("cue", "key", "before") and "family" in self.part.get(t[a:b].lower(), ())):
-                    b = m.end()
-            last = b
-            out.append((a, b, source))
-        out = sorted(out + self._repeats(t, out, free))
-        for a, b, source in out:
-            ws = [w for w in re.split(r"[\s,]+|(?<=\w)-(?=\w)", t[a:b].lower()) if w]
-            yield Candidate("person", a, b, self._case(t[a:b]), tuple({w.strip(".") for w in ws if len(w) > 3}), [], source)
-
-    def _repeats(self, t: str, found: list[tuple[int, int, str]], free: Callable[[int, int], bool]) -> list[tuple[int, int, str]]:
-        """Further places, with a capital or as the whole name, of names outside the lexicon that cues, keys or words after them show."""
-        words: dict[str, bool] = {}  # whether in small letters too
-        for a, b, source in found:
-            if source not in ("cue", "cue_low", "key", "before"):
+            if kind == "stem" and len({t[nodes[i].start : nodes[i].end].lower() for i in members}) < 2:
                 continue
-            name = t[a:b].lower()
-            new = [w for w in (x.strip(".") for x in re.split(r"[\s,]+|(?<=\w)-(?=\w)", name)) if len(w) > 3 and w not in self.part and w not in _NOT_NAME]
-            if len(name) == b - a and new:
-                words |= {w: w in words and words[w] for w in new}
-                if " " in name:
-                    words[name] = True
+            if any(self.skips[kind]):
+                out.append((self.skips[kind], members))
+        return out
+
+    def items(self, t: str) -> list[tuple[str, int, int]]:
+        """(kind, start, end) of a text."""
+        spans = self.tokens.spans(t)
+        nodes = self.nodes(t, spans)
+        if not nodes:
+            return []
+        beliefs = self.infer(t, nodes)
+        if again := self._repeats(t, spans, nodes, beliefs):
+            nodes = self.nodes(t, sorted(spans + again))
+            beliefs = self.infer(t, nodes)
+        out: list[tuple[str, int, int]] = []
+        last = -1  # of a name that goes on
+        for i, (c, m) in enumerate(zip(nodes, beliefs)):
+            if m[0] >= OUTSIDE:
+                continue
+            kind = LABELS[c.kind][1 if m[1] >= m[2] else 2]
+            if c.kind == "word" and m[2] > m[1] and last == i - 1 and out and gap_class(t[nodes[i - 1].end : c.start]) in _JOINS:
+                out[-1] = ("person", out[-1][1], c.end)
+            else:
+                start = c.start
+                if c.kind == "word" and (p := _LEADING.search(t[max(0, start - 9) : start])):
+                    start -= len(p[0])
+                out.append((kind, start, c.end))
+            last = i if c.kind == "word" else -2
+        return [x for x in out if not (x[0] == "person" and x[2] - x[1] < 2)]
+
+    def _repeats(self, t: str, spans: list[tuple[int, int, str, str]], nodes: list[Node], beliefs: list[list[float]]) -> list[tuple[int, int, str, str]]:
+        """Small-letter places, so far no tokens, of words that the field takes for names outside the lexicon."""
+        words = {w for c, m in zip(nodes, beliefs) if c.kind == "word" and m[0] < 0.5 and len(w := t[c.start : c.end].lower()) > 3 and w not in self.tokens.part}
         if not words:
             return []
+        low = _lower(t)
+        starts = [c[0] for c in spans]
         automaton = ahocorasick.Automaton()
-        for w, small in words.items():
-            automaton.add_word(w, (len(w), small))
+        for w in words:
+            automaton.add_word(w, len(w))
         automaton.make_automaton()
-        starts = [a for a, _, _ in found]
-        spans: dict[int, int] = {}
-        for end, (size, small) in automaton.iter(_lower(t)):
+        out = []
+        for end, size in automaton.iter(low):
             a, b = end + 1 - size, end + 1
-            if (a and (t[a - 1].isalnum() or t[a - 1] in "_@")) or (b < len(t) and (t[b].isalnum() or t[b] in "_@")) or not (small or t[a].isupper()):
+            if not t[a:b].islower() or (a and (low[a - 1].isalnum() or low[a - 1] in "_@")) or (b < len(low) and (low[b].isalnum() or low[b] in "_@")):
                 continue
             i = bisect_right(starts, a)
-            if i and found[i - 1][1] > a:
-                continue
-            if t[a].isupper():
-                a, b = self._grow(t, a, b)
-                b = self._trim(t, a, b)
-            # what grew into a known candidate ends before it
-            i = bisect_right(starts, a)
-            if i and found[i - 1][1] > a:
-                a, b = end + 1 - size, max(b, end + 1)
-                i = bisect_right(starts, a)
-            if i < len(found) and found[i][0] < b:
-                b = max(end + 1, self._trim(t, a, found[i][0]))
-            if b > a and free(a, b) and not (i < len(found) and found[i][0] < b):
-                spans[a] = max(b, spans.get(a, 0))
-        out, last = [], -1
-        for a, b in sorted(spans.items()):
-            if a >= last:
-                last = b
-                out.append((a, b, "repeat"))
-        return out
-
-    def _name_words(self, name: str) -> list[str]:
-        """Words of a small-letter name; what the lexicon has as one (with hyphens, with particles) is one."""
-        out = []
-        for part in re.split(r"[,.]+ ?", name):
-            words = part.split()
-            while words:
-                n = next((n for n in range(len(words), 0, -1) if " ".join(words[:n]) in self.part), 0)
-                out += [" ".join(words[:n])] if n else words[0].split("-")
-                words = words[max(n, 1) :]
-        return [w for w in out if w]
-
-    @staticmethod
-    def _case(s: str) -> str:
-        letters = [c for c in s if c.isalpha()]
-        return "upper" if len(letters) > 2 and all(c.isupper() for c in letters) else "lower" if all(c.islower() for c in letters) else "title"
-
-    def _trim(self, t: str, a: int, b: int) -> int:
-        """End of a name without closing words that aren't of it."""
-        while b > a:
-            m = re.search(r"[\s-]*([\w.'’]+)\Z", t[a:b])
-            if m and m[1].lower().strip(".") in _NOT_NAME and m[1].lower() not in self.part:
-                b = a + m.start()
-            else:
-                break
-        while b > a and t[b - 1] in " -,;:":
-            b -= 1
-        return b
-
-    def _grow(self, t: str, a: int, b: int, back: bool = True) -> tuple[int, int]:
-        """A name's words around a seed: capitals, initials and particles before and behind."""
-        upper = t[a:b].isupper() and b - a > 1
-        if back and (m := _BACK.search(t, max(0, a - 50), a)):
-            s = m.start()
-            # a cap word counts back to the first that is no name word
-            ws = list(re.finditer(rf"(?:van der|van den|van|von|de|del)(?= )|{_CAP}\.|{_WORD}", t[s:a]))
-            for w in reversed(ws):
-                x = w[0]
-                if x.lower() in _NOT_NAME and x.lower() not in self.part:
-                    break
-                if x.isupper() and len(x) > 2 and not upper:
-                    break
-                a = s + w.start()
-            while t[a].islower():  # a particle can't begin a name here
-                a = t.index(" ", a) + 1
-        if t.startswith(("M. ", "Mme "), a) and t.endswith(("chez ", "Chez "), 0, a):
-            a = t.index(" ", a) + 1
-        m = _NAME_AT.match(t, a, max(b, a) + REACH)
-        if m and m.end() > b:
-            first = t[a] >= "Ѐ"
-            b = next((w.start() for w in re.finditer(r"(?<= )\w", m[0]) if (w[0] >= "Ѐ") != first and a + w.start() > b), None)
-            b = m.end() if b is None else a + b
-        return a, b
-
-    def _grow_low(self, t: str, b: int) -> int:
-        start = b
-        first = re.compile(r"[\w'’-]+").match(t, b)
-        if first and (b == 0 or not t[b - 1].isalnum()):
-            b = first.end()
-        for _ in range(3):
-            m = re.compile(r" ((?:van der |van |von |de )?[^\W\d_][\w'’-]*\.?)").match(t, b)
-            if not m:
-                break
-            w = m[1].split()[-1].lower()
-            if w in _STOP or (w not in self.part and w.split("-")[0] not in self.part and "van der" not in m[1] and b - start > 25):
-                break
-            if w not in self.part and w.split("-")[0] not in self.part and not m[1].startswith("van ") and not re.compile(r"[,.;<(\"\n]| [<(]|\Z| (?:in|at|on|by|near|behind|beside|confirmed|moved) ").match(t, m.end()):
-                break
-            b = m.end()
-        return b
-
-    def candidates(self, t: str) -> list[Candidate]:
-        hits = self.hits(t)
-        out = list(self.emails(t))
-        out += self.numbers(t)
-        spans = sorted((c.start, c.end) for c in out)
-        kept = [c for c in self.addresses(t, hits["street"]) if not any(a < c.end and c.start < b and (b - a) > (c.end - c.start) for a, b in spans)]
-        inside = [(c.start, c.end) for c in kept]
-        out = [c for c in out if not any(a <= c.start < b for a, b in inside)] + kept
-        taken = sorted((c.start, c.end) for c in out)
-        out += self.persons(t, taken, [(c.start, c.end) for c in out if c.kind == "email"], hits)
-        out.sort(key=lambda c: c.start)
-        for c in out:
-            self._features(t, c)
+            if not ((i and spans[i - 1][1] > a) or (i < len(spans) and spans[i][0] < b)) and (not out or out[-1][1] <= a):
+                out.append((a, b, "word", ""))
         return out
 
-    def _features(self, t: str, c: Candidate) -> None:
-        left, right = t[max(0, c.start - 42) : c.start], t[c.end : c.end + 24]
-        lw = ["0" if w.isdigit() else w for w in re.findall(r"[^\W\d_]+|\d+|[^\w\s]", left.lower())[-3:]]  # any number is one word
-        rw = ["0" if w.isdigit() else w for w in re.findall(r"[^\W\d_]+|\d+|[^\w\s]", right.lower())[:2]]
-        k = c.kind
-        f = c.features = [f"{k}|{x}" for x in c.features]
-        f += [f"{k}", f"{k}|shape={c.shape}"]
-        if k == "email":
-            return
-        words = [w for w in lw if w[0].isalpha()]
-        f += [f"{k}|l={words[-1] if words else '^'}", f"{k}|l2={' '.join(words[-2:])}", f"{k}|lp={lw[-1] if lw and not lw[-1].isalnum() else ''}", f"{k}|r={rw[0] if rw else '$'}", f"{k}|r2={' '.join(rw)}"]
-        if k in ("phone", "id_number"):
-            f.append(f"{k}|shape={c.shape}|l={words[-1] if words else '^'}")
-            f.append(f"{k}|l3={' '.join(words[-3:])}")
-        if k == "person":
-            ws = self._name_words(t[c.start : c.end].lower())
-            parts = ["".join(sorted(x[0] for x in self.part.get(w, ()))) or ("i" if len(w) == 1 else "p" if w in ("van", "der", "von", "de", "del") else "u") for w in ws]
-            f += [f"person|n={min(len(ws), 4)}", f"person|parts={'-'.join(parts[:4])}", f"person|src={c.source}", f"person|parts={'-'.join(parts[:4])}|src={c.source}", f"person|known={any('g' in p or 'f' in p for p in parts)}|n={min(len(ws), 3)}|{c.shape}"]
-            f.append(f"person|src={c.source}|r={rw[0] if rw else '$'}")
-        if c.source == "repeat":  # with weights of their own
-            c.features = [x.replace("person", "repeat", 1) for x in f]
-
-
-_NAME_BEFORE = re.compile(rf"(?<![\w'’.-])(?:(?:{_CAP}\.|{_WORD})(?:,? (?:van der )?|-))*(?:{_WORD})\Z")
-
-# --- the field ---------------------------------------------------------------------------------------------------------------
-
-
-def edges(cs: list[Candidate]) -> list[tuple[int, int, str]]:
-    """Chain edges between neighbours, skip edges between candidates that share a word or digits.
-
-    A group larger than CLIQUE hangs on its first node, so edges grow with the nodes, not their pairs.  Repeats have no edges here.
-    """
-    own = [i for i, c in enumerate(cs) if c.source != "repeat"]
-    out = [(i, j, f"chain|{cs[i].kind}|{cs[j].kind}") for i, j in zip(own, own[1:]) if cs[j].start - cs[i].end < 60]
-    groups: dict[tuple[str, str], list[int]] = defaultdict(list)
-    for i in own:
-        c = cs[i]
-        for key in c.keys:
-            groups[c.kind, key].append(i)
-    for (kind, _), ids in groups.items():
-        pairs = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :]] if len(ids) <= CLIQUE else [(ids[0], b) for b in ids[1:]]
-        out += [(a, b, f"skip|{kind}") for a, b in pairs]
-    return out
-
-
-def marginals(weights: dict[str, float], cs: list[Candidate]) -> list[float]:
-    """Probability of each candidate to be an item, by loopy belief propagation.
-
-    Potentials of an edge: its weight where both labels are item; for skips also, less, where both are none.  A repeat takes one
-    message, from the clearest candidate that shares a word with it, and sends none: it takes no name away elsewhere.
-    """
-    total = _totals(weights, cs)
-    clear: dict[str, float] = {}
-    for x, c in zip(total, cs):
-        if c.source != "repeat":
-            clear |= {k: max(x, clear.get(k, x)) for k in c.keys}
-    w, w0 = weights.get("skip|repeat", 0.0), weights.get("skip|repeat|0", 0.0)
-    for i, c in enumerate(cs):
-        if c.source == "repeat" and (near := [clear[k] for k in c.keys if k in clear]):
-            x = max(-30.0, min(30.0, max(near)))
-            total[i] += math.log1p(math.exp(x + w)) - math.log(math.exp(w0) + math.exp(x))
-    return [1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) for x in total]
-
-
-def _totals(weights: dict[str, float], cs: list[Candidate]) -> list[float]:
-    """Log odds of each candidate; of repeats before their message."""
-    own = [sum(weights.get(f, 0.0) for f in c.features) for c in cs]
-    es = edges(cs)
-    if not es:
-        return own
-    near: dict[int, list[int]] = defaultdict(list)
-    for e, (a, b, _) in enumerate(es):
-        near[a].append(2 * e)  # 2e: message b -> a, 2e + 1: a -> b
-        near[b].append(2 * e + 1)
-    msg = [0.0] * (2 * len(es))
-    total = [x for x in own]
-    for _ in range(ROUNDS):
-        change = 0.0
-        for e, (a, b, name) in enumerate(es):
-            w = weights.get(name, 0.0)
-            w0 = weights.get(name + "|0", 0.0)
-            for target, source, slot, back in ((a, b, 2 * e, 2 * e + 1), (b, a, 2 * e + 1, 2 * e)):
-                x = max(-30.0, min(30.0, total[source] - msg[back]))
-                # log of (1 + e^(x + w)) / (e^w0 + e^x): target is item against none
-                new = math.log1p(math.exp(x + w)) - math.log(math.exp(w0) + math.exp(x))
-                new = 0.5 * msg[slot] + 0.5 * new
-                change = max(change, abs(new - msg[slot]))
-                total[target] += new - msg[slot]
-                msg[slot] = new
-        if change < 1e-3:
-            break
-    return total
-
 
 # --- training ----------------------------------------------------------------------------------------------------------------
 
-# What training sentences are made of.  {P} person, {G} given name, {F} family name, {E} email, {T} phone, {I} id with label,
-# {J} id alone, {A} address; the rest is ordinary text, partly such as could be mistaken.
-_MADE = """
-Hi {G}!|Tere, {G}!|Hello {G}, your parcel is ready.|Dear {P}, your invoice was approved.|Merci {G}, votre numéro {T} est confirmé.|Sehr geehrte Frau {F}, rufen Sie uns unter {T} nicht mehr an.|Sehr geehrter Herr {F}, danke.
-Получатель: {P}, тел. {T}|Saaja {P} isikukood {J}|Guest {P} ({E})|{P} <{E}>|Driver note: ring {T}, ask for {G}|Driver note: ring {T}, ask for {P}|Enviamos el código al correo {E} de {P}.|user={P};mail={E};tel={T}
-Klient: {P}, {I}|Odbiorca: {P} ({I}), tel {T}|Co-borrower: {P}, born in Brenholm, {I}|Signed for by {P} at the campus desk.|Signed for by {P} on the second floor.|Signed for by {P}|Old number {T}, new number {T}, both of {P}.
-Recipient {P}, {A}, Villamora, phone {T}|Tilaaja {P}, osoite {A}, 12345 Brenholm.|Livraison chez M. {F}, {A}, Wierzbin.|Livraison chez M. {F}, {A}.|Ihr Paket geht an {P}, {A}, Nordlauch.|Keyholder {P} moved from {A}.|{P} confirmed the receipt with {I}.
-SMS to {T} failed, email {E} used instead.|Contact on file: {E} / {T}|Courier will call {T} before arrival.|Soitamme numeroon {T} huomenna.|Sinu kood saadeti numbrile {T}.|Verified identity {I}|Verified identity {J}|Application lists {I}.|Application lists {J}.|We linked the subscription with {I}.
-Best regards,⏎{P}|Kind regards,⏎{P}|Deliver to {A}, Villamora|Home address changed to {A}, Wierzbin; code 685-52-T.|Adresse : {A}, Quarryford|Письмо отправлено на {E}, адрес {A}.|mailto:{E}|Unsubscribe https://tlnk.example/u?m={E}|Receipt was sent to {E} on 12/1.|Die Rechnung haben wir an {E} geschickt.
-{"customer":{"fullName":"{P}","email":"{E}","phone":"{T}"}}|"shipping": {"street": "{A}", "zip": "75312", "to": "{P}"}|"kyc":{"documentNumber":"{J}","verified":false}|"contacts":["{E}","{T}"]|Names: {P}, {P} and {P}.|{P} called about {F}.|Recipient {P}⏎{A}
-The Winter Rose bouquet costs 7 EUR.|Mark all as read by April 6.|Mark the box in April.|Read by April 12.|valid until May 3, 2024|since April 2024|due on March 9 or April 10|The rose garden opens in May.|Grace period ends on April 3.|Field 7 is required.|A frank answer to the mark on the field.|Open the Field Guide.|In April the price falls.|Rose water, 3 EUR|Check the Mark column.
-Tracking number 005450298615 is active.|Order 08695807122 was split.|Order 05599658250 was split.|Build 2024011.9456 at 1713799713402.|Lot 41582/3641 from 12:93 to 14:97|Session 86149074-0609-3491-a200 closed.|Part no. 204-57-02 fits.|Part no. 204-57-2040 fits.|Part no. 312-555-0142 fits.|Serial 204-57-2041 works.
-Barcode 4006381333931 scanned 2 times.|Server 10.21.4.21 answered in 21 ms.|"traceId": "870428502"|"traceId": "87042850211"|Box 59.4372, 24.7536|Version 2.10.3-114 and 0491-570-97211|Invoice 977270077 is open.|Ref 977270077|Code VP695348 opens the box.|Parcel RK6953481 left.|Barcode 977270078 was scanned.|SKU 870428502
-Icon logo@2x.png and banner@3x.webp were cached.|Package tools@28.2.1 needs core@1.28.0.|Follow @parcelnews for updates, tickets at night.|points are added at night.|Our team sorted 12 items at 12.30|Room 12 at the airport stand is open again.|Take bus 14 Central Way today.|Tracking 0123456789 and 0123456788.
-Weekly Offers for Your Bill|Meter Portal|Club Points and Pick-up Details|Hello and welcome!|Hi there!|Dear customer, thank you.|Dear Customer, thank you.|Tere, klient!|to the Village Shop|Signed for by the night shift|Guest Wifi is open.|Keyholder moved the box.|Klient: none|Merci pour tout, votre numéro est là.
-Reminder: the Ticket Shop opens.|Since 12.05.2024 the Loan Calculator is ready.|Out of Mark range|Visit Grace Field station|April, May and June|MARK AS PAID|A ROSE FOR YOU|"name": "Club points"|"name": "voucher"|"to": "2024-05-01"|"title":"Weekly offers"|from Old Depot to North Hall
-""".strip().replace("\n", "|").split("|")
-
-# Sentences whose words say nothing of a name, {X}, and what may stand there that is none.
-_VAGUE = """
-{X} will collect it.|We left it with {X} on Monday.|The parcel of {X} waits.|The bill of {X} is settled.|The box waits; {X} may open it.|Later {X} came again.|"note": "left with {X} on Monday"|"text": "{X} was here"|Thanks to {X} all is well.|This is for {X} only.|We wrote to {X}, and then {X} answered.|{X}
-Nothing is open for {X} today.|Then {X} is next.|Page of {X}|{X} has 3 parcels.|See {X} for more.|{X} and the depot|{X}: 3 items|Did {X} get it?|If {X} is away, call again.|About {X}
-""".strip().replace("\n", "|").split("|")
-_NO_NAMES = "Weekly Offers|Club Points|Village Shop|Meter Portal|Ticket Shop|Loan Calculator|Parcel Locker|Wifi|Newsletter|Premium Member|Bonus Week|Delivery Notice|Account Centre|Savings Plan|Night Depot|Travel Card".split("|")
-_CUED = "Dear {X}, your parcel is here.|Hello {X}, welcome.|Signed for by {X} at the desk.|Recipient {X}|Guest {X} is here.|Klient: {X}|Kind regards,\n{X}|\"fullName\": \"{X}\"|Odbiorca: {X}|Sehr geehrte Frau {X}, danke.|Keyholder {X} moved.|user={X}".split("|")
-_CUED_NOT = "Hello {X}!|Hello {X}, new today|Hi {X}|Guest {X} is open.|Customer {X}|Client {X}|Name: {X}|Kunde {X}|Welcome to {X}|\"name\": \"{X}\"".split("|")
-
-
-class Maker:
-    """Training sentences with their items."""
-
-    def __init__(self, lexicon: list[tuple[str, str]], seed: int):
-        self.r = random.Random(seed)
-        self.given = [n for n, p in lexicon if p == "given"] or ["Anna"]
-        self.family = [n for n, p in lexicon if p == "family"] or ["Field"]
-
-    def _invented(self) -> str:
-        r = self.r
-        if r.random() < 0.2:
-            return "".join(r.choice(["ла", "ре", "ми", "ко", "вен", "дра", "ост", "зар", "лу"]) for _ in range(r.randint(2, 3))).capitalize()
-        s = "".join(r.choice(["ar", "vel", "im", "ro", "ken", "ost", "hal", "dra", "bri", "sha", "fen", "ja", "mi", "tor", "lun", "quo"]) for _ in range(r.randint(2, 3))).capitalize()
-        return f"O'{s}" if r.random() < 0.05 else s
-
-    def given_name(self) -> str:
-        return self.r.choice(self.given) if self.r.random() < 0.7 else self._invented()
-
-    def family_name(self) -> str:
-        r = self.r
-        n = r.choice(self.family) if r.random() < 0.65 else self._invented()
-        return f"van der {n}" if r.random() < 0.03 else f"{n}-{self._invented()}" if r.random() < 0.06 else n
-
-    def person(self) -> str:
-        r, g, f = self.r, self.given_name(), self.family_name()
-        x = r.random()
-        s = f"{g} {f}" if x < 0.66 else f"{g[0]}. {f}" if x < 0.74 else f"{f}, {g}" if x < 0.82 else f"{g} {r.choice('ABDKMT')}. {f}" if x < 0.87 else f"{g}-{self.given_name()} {f}" if x < 0.94 else g if x < 0.97 else f
-        y = r.random()
-        return s.upper() if y < 0.09 else s.lower() if y < 0.28 and "," not in s else s
-
-    def digits(self, shape: str) -> str:
-        return re.sub("9", lambda _: str(self.r.randint(0, 9)), shape)
-
-    def phone(self) -> str:
-        s = self.digits(self.r.choice(["+1702555 0199".replace(" ", ""), "01 99 00 99 99", "01.99.00.99.99", "(312) 555-0199", "617.555.0199", "904-555-0199", "07700 900999", "+44 (0)7700 900 999", "030 23125 999", "020 7946 0999", "+61 491 570 999", "0491-570-999", "00999-559-999-99", "+999 5599 9999", "+1 617 555 0199"]))
-        return s + self.digits(self.r.choice([" x999", " ext. 99"])) if self.r.random() < 0.06 else s
-
-    def number(self) -> str:
-        s = self.r.choice(["999-99-9999", "909999999", "49909999999", "69909999999", "89919999999", "999999A999X", "999999-999V", "KX9999999", "PA9999999", "ZZ9999999"])
-        return self.digits(s)
-
-    def labelled(self) -> tuple[str, str]:
-        label = self.r.choice("SSN |SSN: |social security number: |social security no |nr PESEL: |PESEL |personal code |isikukood |Isik: |identity number |ID code |ID |henkilötunnus |passport no. |passport |Passnummer |паспорт |Tax file |national ID |(".split("|"))
-        return label, self.number()
-
-    def email(self) -> str:
-        r = self.r
-        local = r.choice([f"{self.given_name()}.{self.family_name()}", f"{self._invented()}{r.randint(1, 99)}", f"{self.family_name()}.{r.choice('abc')}"]).lower().replace(" ", "").replace("'", "")
-        local = re.sub(r"[^a-z0-9._-]", "", local.encode("ascii", "ignore").decode()) or "box"
-        at, dot = r.choice([("@", ".")] * 6 + [("%40", "."), (" (at) ", " [dot] "), (" [at] ", " (dot) "), (" @ ", "."), (" at ", " dot ")])
-        return f"{local}{at}{self._invented().lower() if r.random() < 0.9 else 'müllerfeld'}{dot}{r.choice(['example', 'test', 'invalid'])}"
-
-    def address(self) -> str:
-        r, n = self.r, self._invented()
-        no = r.randint(1, 180)
-        return r.choice([
-            f"{no} {n} {r.choice(['Street', 'Rd', 'Avenue', 'Lane', 'Terrace', 'Close', 'St.'])}", f"{no}b {n} Cross Road", f"{no}, rue des {n}", f"{no} bis, avenue de {n}", f"Avda. del {n}, {no}", f"C/ del {n}, {no}", f"calle {n} {n} {no}", f"Calle del {n} {no}", f"{n}straße {no}", f"{n}str. {no}", f"{n}weg {no}",
-            f"{n}nkatu {no} A 4", f"{n} tn {no}-4", f"{n} tee {no}", f"{n} tänav {no}-{no}", f"ul. {n} {no}/2", f"ul. {n} {n} {no}", f"ул. Верх{r.choice(['ний', 'няя'])}, д. {no}, кв. 3", f"пр. Кленовская, д. {no}"])
-
-    def sentence(self) -> tuple[str, set[tuple[str, int]]]:
-        """A text of one to four parts, and (kind, start) of its items."""
-        r = self.r
-        out, gold = "", set()
-        repeated = {k: None for k in "PF"}
-        for part in r.choices(_MADE, k=r.randint(1, 4)):
-            part = part.replace("⏎", "\n")
-            for piece in re.split(r"(\{[A-Z]\})", part):
-                if not re.fullmatch(r"\{[PGFETIJA]\}", piece):
-                    out += piece
-                    continue
-                k = piece[1]
-                if k == "I":
-                    label, value = self.labelled()
-                    out += label
-                    gold.add(("id_number", len(out)))
-                    out += value + (")" if label == "(" else " on record" if label == "Tax file " else "")
-                    continue
-                kind = {"P": "person", "G": "person", "F": "person", "E": "email", "T": "phone", "J": "id_number", "A": "address"}[k]
-                value = {"P": self.person, "G": self.given_name, "F": self.family_name, "E": self.email, "T": self.phone, "J": self.number, "A": self.address}[k]()
-                if k in repeated and r.random() < 0.2 and repeated[k]:
-                    value = repeated[k]
-                repeated[k] = value if k in repeated else None
-                gold.add((kind, len(out) + next(i for i, c in enumerate(value) if c.isalnum())))
-                out += value
-            out += r.choice(["\n", " ", "</p><p>", '", "', "\r\n", "</li>\n<li>"])
-        return out, gold
-
-    def again(self) -> tuple[str, set[tuple[str, int]]]:
-        """A text that has a name outside the lexicon, or words that are none, behind a cue and once more without, and (kind, start) of its items."""
-        r = self.r
-        name = r.random() < 0.6
-        whole = f"{self._invented() if r.random() < 0.7 else self.given_name()} {self._invented()}" if name else r.choice(_NO_NAMES)
-        parts = [r.choice(_CUED if name else _CUED_NOT).replace("{X}", whole)]
-        for part in r.choices(_VAGUE, k=r.randint(1, 4)):
-            y = r.random()
-            parts.append(part.replace("{X}", whole if y < 0.6 else whole.split()[-1] if y < 0.8 else whole.split()[0] if y < 0.9 else whole.upper()))
-        r.shuffle(parts)
-        text = r.choice(["\n", " ", "</p><p>", " Your order is here. "]).join(parts)
-        words = "|".join(map(re.escape, whole.split()))
-        return text, {("person", m.start()) for m in re.finditer(rf"(?i)(?<!\w)(?:{words})(?: (?:{words}))*(?!\w)", text)} if name else set()
-
-
-def _fit(examples: list[tuple[list[str], list[str], bool]], passes: int, seed: int) -> dict[str, float]:
-    weights: dict[str, float] = defaultdict(float)
-    square: dict[str, float] = defaultdict(lambda: 1e-6)
-    order = random.Random(seed)
-    for _ in range(passes):
-        order.shuffle(examples)
-        for fs, es, label in examples:
-            x = sum(weights[f] for f in fs) + sum(-weights[e[1:]] if e[0] == "-" else weights[e] for e in es)
-            g = (1.0 if label else 0.0) - 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
-            if abs(g) < 0.01:
-                continue
-            for f in (*fs, *es):
-                sign = -1.0 if f[0] == "-" else 1.0
-                f = f.lstrip("-")
-                square[f] += g * g
-                weights[f] += 0.25 * (sign * g - 0.002 * weights[f]) / math.sqrt(square[f])
-    # skips only ever speak for agreement
-    return {f: max(0.0, w) if f.startswith("skip") else w for f, w in weights.items() if abs(w) > 1e-3}
 
-
-def train(lexicon: list[tuple[str, str]], sentences: int = TRAIN_SENTENCES, passes: int = PASSES, seed: int = SEED) -> dict[str, float]:
-    """Weights by pseudo-likelihood: each node given its neighbours' true labels, with adaptive gradient steps.
-
-    Repeats learn apart, on texts of their own, so that they change no weight of the others.
+def _training_chains(texts: int, seed: int) -> list:
+    """Chains of tokens of made texts with features and true labels.  Every word is a token here."""
+    maker, tokens = Maker(seed), Tokens({})
+    chains = []
+    for _ in range(texts):
+        maker.known = {}
+        text, gold = maker.text()
+        tokens.part = dict(maker.known) | {w.lower(): "g" for w in maker.r.sample(BOTH, 20)}
+        chains += _labelled(text, gold, tokens)
+    return chains
+
+
+def _labelled(text: str, gold: set[tuple[str, int, int]], tokens: Tokens) -> list:
+    """Chains (kinds, features, labels, gaps) of a text with its items."""
+    others = [c for c in tokens.spans(text) if c[2] != "word"]
+    starts = [c[0] for c in others]
+    spans = list(others)
+    for m in _WORD.finditer(text):
+        i = bisect_right(starts, m.start())
+        if not ((i and others[i - 1][1] > m.start()) or (i < len(others) and others[i][0] < m.end())) and not text[max(0, m.start() - 1) : m.start()].isalnum():
+            spans.append((m.start(), m.end(), "word", ""))
+    spans.sort()
+    items = {(k, a) for k, a, _ in gold}
+    people = sorted((a, b) for k, a, b in gold if k == "person")
+    begins = [a for a, _ in people]
+    chains, last, inside = [], None, None
+    for a, b, kind, shape in spans:
+        word = text[a:b]
+        if kind == "word":
+            i = bisect_right(begins, a)
+            of = i - 1 if i and people[i - 1][1] > a else None
+            if of is not None and word in _PARTICLE_WORDS:
+                continue
+            y = 0 if of is None else 2 if inside == of else 1
+            inside = of
+        else:
+            y, inside = next((n for n, k in enumerate(LABELS[kind]) if n and (k, a) in items), 0), None
+        long = chains and len(chains[-1][0]) >= CUT and not y and not chains[-1][2][-1]
+        if last is None or a - last[1] > APART or long:
+            chains.append(([], [], [], []))
+            y = 1 if y == 2 and kind == "word" else y
+        else:
+            chains[-1][3].append((last[2], kind, gap_class(text[last[1] : a])))
+        chains[-1][0].append(kind)
+        chains[-1][1].append(tokens.features(kind, shape, text[max(0, a - LEFT) : a], word, text[b : b + RIGHT]))
+        chains[-1][2].append(y)
+        last = (a, b, kind)
+    return chains
+
+
+def _gradient(W, E, hard, n, rows, cols, y, mask, e):
+    """Gradient of the negative log likelihood of chains of ``n`` tokens, by forward and backward passes over all of them at once."""
+    size = len(y)
+    u = np.zeros((3, size * n))
+    for k in (0, 1):
+        u[k + 1] = np.bincount(rows, W[k][cols], size * n)
+    u = u.T.reshape(size, n, 3) + mask
+    p = np.exp(u - u.max(2, keepdims=True))
+    f, scale = np.empty((size, n, 3)), np.empty((size, n))
+    T = np.exp(np.clip(E[e], -30, 30)) * hard[e] if n > 1 else None
+    for i in range(n):
+        v = p[:, i] if i == 0 else (f[:, i - 1, :, None] * T[:, i - 1]).sum(1) * p[:, i]
+        scale[:, i] = v.sum(1)
+        f[:, i] = v / scale[:, i, None]
+    back = np.ones((size, n, 3))
+    for i in range(n - 2, -1, -1):
+        back[:, i] = (T[:, i] * (p[:, i + 1] * back[:, i + 1])[:, None, :]).sum(2) / scale[:, i + 1, None]
+    d = f * back
+    at = np.arange(size)[:, None]
+    d[at, np.arange(n)[None, :], y] -= 1
+    flat = d.reshape(size * n, 3)
+    gW = np.stack([np.bincount(cols, flat[rows, k + 1], W.shape[1]) for k in (0, 1)])
+    gE = np.zeros_like(E)
+    if n > 1:
+        q = f[:, :-1, :, None] * T * (p[:, 1:] * back[:, 1:])[:, :, None, :] / scale[:, 1:, None, None]
+        q[at, np.arange(n - 1)[None, :], y[:, :-1], y[:, 1:]] -= 1
+        for i in range(3):
+            for j in range(3):
+                if i or j:
+                    gE[:, i, j] = np.bincount(e.ravel(), q[:, :, i, j].ravel(), len(E))
+    return gW, gE
+
+
+def train_chain(chains: list, epochs: int = EPOCHS, penalty: float = PENALTY, seed: int = SEED):
+    """Maximum likelihood of chains by adaptive gradient steps: (weights of features, weights of edges).
+
+    Chains of one length are worked out together, in blocks.
     """
-    finder, maker = Finder(lexicon), Maker(lexicon, seed)
-    examples = []
-    for _ in range(sentences):
-        text, gold = maker.sentence()
-        cs = [c for c in finder.candidates(text) if c.source != "repeat"]
-        y = [(c.kind, c.start) in gold for c in cs]
-        beside: list[list[str]] = [[] for _ in cs]
-        for a, b, name in edges(cs):
-            for i, j in ((a, b), (b, a)):
-                if y[j]:
-                    beside[i].append(name)
-                elif name.startswith("skip"):
-                    beside[i].append("-" + name + "|0")
-        examples += [(c.features, e, label) for c, e, label in zip(cs, beside, y)]
-    maker, repeats = Maker(lexicon, seed + 1), []
-    for _ in range(sentences // 4):
-        text, gold = maker.again()
-        cs = finder.candidates(text)
-        for c in cs:
-            if c.source == "repeat":
-                near = [("person", o.start) in gold for o in cs if o.source != "repeat" and set(o.keys) & set(c.keys)]
-                repeats.append((c.features, ["skip|repeat" if any(near) else "-skip|repeat|0"] if near else [], ("person", c.start) in gold))
-    return _fit(examples, passes, seed) | _fit(repeats, passes, seed)
+    count: dict[str, int] = defaultdict(int)
+    for _, feats, _, _ in chains:
+        for fs in feats:
+            for f in fs:
+                count[f] += 1
+    names = [f for f, n in count.items() if n > (ENDINGS if f[:2] == "z=" else 1)]
+    index = {f: i for i, f in enumerate(names)}
+    pairs = sorted({e for c in chains for e in c[3]})
+    pair_index = {e: i for i, e in enumerate(pairs)}
+    allowed = np.zeros((len(pairs), 3, 3))
+    for (a, b, g), i in pair_index.items():
+        if b == "word":
+            allowed[i, 0, 2] = -1e9
+            if a != "word" or g not in _JOINS:
+                allowed[i, :, 2] = -1e9
+    blocks = []
+    by_length: dict[int, list] = defaultdict(list)
+    for c in chains:
+        by_length[len(c[0])].append(c)
+    parts = [(n, cs[i : i + BLOCK]) for n, cs in sorted(by_length.items()) for i in range(0, len(cs), BLOCK)]
+    for n, cs in parts:
+        rows = np.repeat(np.arange(len(cs) * n), [sum(f in index for f in fs) for c in cs for fs in c[1]])
+        cols = np.array([index[f] for c in cs for fs in c[1] for f in fs if f in index], np.int64)
+        y = np.array([c[2] for c in cs])
+        mask = np.zeros((len(cs), n, 3))
+        for k, c in enumerate(cs):
+            for i, kind in enumerate(c[0]):
+                if kind in ("email", "address") or (kind == "word" and i == 0):
+                    mask[k, i, 2] = -1e9
+        y[mask[np.arange(len(cs))[:, None], np.arange(n)[None, :], y] < 0] = 1
+        e = np.array([[pair_index[x] for x in c[3]] for c in cs], np.int64).reshape(len(cs), n - 1)
+        if n > 1:  # a chain begins anew where its first word is inside
+            bad = allowed[e, y[:, :-1], y[:, 1:]] < 0
+            y[:, 1:][bad] = 1
+        blocks.append((n, rows, cols, y, mask, e))
+    hard = np.exp(allowed)
+    W, E = np.zeros((2, len(names))), np.zeros((len(pairs), 3, 3))
+    sW, sE = np.full_like(W, 1e-8), np.full_like(E, 1e-8)
+    share = penalty / len(blocks)
+    order = np.random.default_rng(seed)
+    for turn in range(epochs):
+        rate = RATE * (1 - turn / epochs)
+        for block in order.permutation(len(blocks)):
+            n, rows, cols, y, mask, e = blocks[block]
+            gW, gE = _gradient(W, E, hard, n, rows, cols, y, mask, e)
+            gW += share * W
+            gE += share * E
+            sW += gW * gW
+            sE += gE * gE
+            W -= rate * gW / np.sqrt(sW)
+            E -= rate * gE / np.sqrt(sE)
+    W = W.T
+    weights = {f: (float(a), float(b)) for f, (a, b) in zip(names, W) if abs(a) + abs(b) > 0.02}
+    for f, rarer in (("w", RARER), ("x=", UNKNOWN)):
+        weights[f] = (weights[f][0] - rarer, weights[f][1])
+    for n in range(len(_STREETS)):
+        f = f"address:o={n}"
+        weights[f] = (weights.get(f, (0.0, 0.0))[0] + STREET, 0.0)
+    return weights, {k: E[i] + allowed[i] for k, i in pair_index.items()}
+
+
+def digest() -> str:
+    """Of all that the weights follow from: the made texts, the tokens and their features, the training and its parameters."""
+    from tracewell.llm import personal_text
+
+    own = "".join(map(inspect.getsource, (Tokens.lexicon_of, Tokens._emails, Tokens._numbers, Tokens._addresses, Tokens.word_class, Tokens.word_features, Tokens.around, Tokens.features, gap_class, _gradient, train_chain, train_skips, _labelled)))
+    rest = [TRAIN_TEXTS, SKIP_TEXTS, SEED, EPOCHS, BLOCK, RATE, PENALTY, RARER, UNKNOWN, STREET, NAMES, ENDINGS, CUT, APART, LEFT, RIGHT, _SHAPES, _STREETS, _CAPITAL.pattern, _GAPS]
+    return hashlib.sha256((own + repr(rest) + inspect.getsource(personal_text)).encode()).hexdigest()
+
+
+def fit() -> tuple:
+    """(weights, edges, skips): the training, some minutes."""
+    weights, edges = train_chain(_training_chains(TRAIN_TEXTS, SEED))
+    weights = {f: (round(a, 3), round(b, 3)) for f, (a, b) in weights.items()}
+    return weights, edges, train_skips(weights, edges, SEED + 1)
+
+
+@lru_cache(maxsize=1)
+def trained() -> tuple:
+    """(weights, edges, skips): read from the file that ``python -m tracewell.llm.personal`` wrote, if it is of this code; else trained."""
+    if os.path.exists(WEIGHTS):
+        with gzip.open(WEIGHTS, "rt", encoding="utf-8") as f:
+            kept = json.load(f)
+        if kept["digest"] == digest():
+            weights = {k: (a, b) for k, a, b in kept["weights"]}
+            return weights, {tuple(k): np.array(v) for k, v in kept["edges"]}, {k: tuple(v) for k, v in kept["skips"].items()}
+    return fit()
+
+
+def save() -> None:
+    weights, edges, skips = fit()
+    with open(WEIGHTS, "wb") as raw, gzip.GzipFile("", "wb", mtime=0, fileobj=raw) as f:
+        kept = {"digest": digest(), "weights": [(k, *v) for k, v in weights.items()], "edges": [(k, v.round(3).tolist()) for k, v in edges.items()], "skips": skips}
+        f.write(json.dumps(kept, ensure_ascii=False, separators=(",", ":")).encode())
+
+
+def train_skips(weights, edges, seed: int, texts: int = SKIP_TEXTS) -> dict[str, tuple[float, float, float]]:
+    """Weights of the skips, by likelihood of the words of made texts whose names come again, each of a grid of pairs tried."""
+    maker = Maker(seed)
+    cases = []
+    while len(cases) < texts:
+        maker.known = {}
+        parts = maker.again(maker.r.randint(1, 4), NAMES) + [maker.piece() for _ in range(maker.r.randint(0, 2))]
+        maker.r.shuffle(parts)
+        cases.append(unmark("\n".join(parts)))
+    best, chosen = -1e18, (0.0, 0.0, 0.0)
+    field = Field(weights, edges, {k: (0.0, 0.0, 0.0) for k in ("same", "stem", "number")}, {})
+    prepared = []
+    for text, gold in cases:
+        nodes = field.nodes(text, field.tokens.spans(text))
+        people = [(a, b) for k, a, b in gold if k == "person"]
+        prepared.append((text, nodes, [any(a <= c.start < b for a, b in people) for c in nodes]))
+    for w1, w0, rare in product((2.0, 3.0, 4.0, 5.0, 6.0), (0.5, 1.0, 2.0), (0.0, 1.0, 2.0, 3.0)):
+        field.skips["same"] = (w1, w0, rare)
+        fit = 0.0
+        for text, nodes, true in prepared:
+            for c, m, y in zip(nodes, field.infer(text, nodes), true):
+                if c.kind == "word":
+                    fit += math.log(max(1e-9, 1 - m[0] if y else m[0]))
+        if fit > best:
+            best, chosen = fit, (w1, w0, rare)
+    return {"same": chosen, "stem": (chosen[0] / 2, chosen[1] / 2, chosen[2]), "number": (chosen[0], chosen[1], 0.0)}
 
 
 # --- the operator ------------------------------------------------------------------------------------------------------------
 
-_MAY = re.compile(r"@|%40|＠|&#64;|&commat;|u0040|[\[({] ?at ?[\])}]|\d[\d ().-]{6}")
+
+def lexicon_of(rows: Iterable[tuple[str | None, str | None]]) -> dict[str, str]:
+    """Names in small letters with their parts, of (name, name_part) rows."""
+    parts: dict[str, set[str]] = defaultdict(set)
+    for name, part in rows:
+        if name:
+            parts[name.lower()].add((part or "g")[0])
+    return {n: "".join(sorted(p)) for n, p in parts.items()}
 
 
 class Redactor:
-    def __init__(self, lexicon: list[tuple[str, str]], weights: dict[str, float], placeholders: dict[str, str]):
-        self.finder, self.weights, self.placeholders = Finder(lexicon), weights, placeholders
+    """Items of bodies, and bodies with placeholders in their place."""
+
+    def __init__(self, lexicon: dict[str, str], model: tuple, placeholders: dict[str, str]):
+        self.field, self.placeholders = Field(*model, lexicon), placeholders
 
     def items(self, body: str) -> list[tuple[str, int, int]]:
         """(kind, start, end) of the items, in places of the body as it stands."""
         t = Text(body)
-        cs = self.finder.candidates(t.text)
-        if not cs:
-            return []
-        return [(c.kind, t.place(c.start), t.place(c.end)) for c, p in zip(cs, marginals(self.weights, cs)) if p > 0.5]
+        return [(kind, t.place(a), t.place(b)) for kind, a, b in self.field.items(t.text)]
 
     def redact(self, body: str) -> str:
         out, at = [], 0
@@ -773,15 +982,14 @@ def personal_items(df: DataFrame, key: str, text: str, encoding: str, mimetype:
 
     ``lexicon`` (name, name_part) and ``kinds`` (kind, placeholder) are small fixed tables; they and the weights go to the tasks as
     constants.  Null, empty and blank bodies have no items.  Images and fonts have none either and stay as they are.  Repeated rows
-    are read row by row; a lexicon without rows leaves cues and shapes to decide.
+    are read row by row; a lexicon without rows leaves letters, shape and context to decide.
     """
-    names = [(r[0], r[1]) for r in lexicon.select("name", "name_part").distinct().collect()]
-    names.sort(key=lambda x: (x[0] or "", x[1] or ""))
+    names = lexicon_of((r[0], r[1]) for r in lexicon.select("name", "name_part").distinct().collect())
     places = {r[0]: r[1] for r in kinds.select("kind", "placeholder").collect()}
-    weights = train(names)
+    model = trained()
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tool = Redactor(names, weights, places)
+        tool = Redactor(names, model, places)
         for batch in batches:
             rows = []
             for k, t, e, m, media in batch.itertuples(index=False, name=None):
@@ -797,3 +1005,7 @@ def personal_items(df: DataFrame, key: str, text: str, encoding: str, mimetype:
     if not redacted:
         rows = rows.filter((F.col(text) != "") & ~F.col("_media"))
     return rows.mapInPandas(run, f"`{key}` {kind}, " + (f"`{redacted}` string" if redacted else "kind string, start_pos int"))
+
+
+if __name__ == "__main__":
+    save()

@@ -12,9 +12,6 @@ from tracewell.llm import encoding, garbled, lookalikes, packing, personal, resi
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Texts may be long: batches for Python of fewer rows than Spark's default.
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return table(spark, sf_dir, name)
 
 
@@ -87,12 +84,17 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.lookalike_pairs(_read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, class_id, n_texts, n_links): documents with a look-alike, one row each."""
+    return lookalikes.lookalike_classes(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, form): the consistent form of every document."""
     return lookalikes.normalise(_read(spark, sf_dir, "documents"), "doc_id", "text", "form")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_repaired, p3_found, p3_redacted, p4_found, p4_kept, p5_found, p5_pieces, p6_ids, p7_containers, p8_found, p8_forms)
+    f.__name__: f for f in (p1_found, p1_repaired, p3_found, p3_redacted, p4_found, p4_kept, p5_found, p5_pieces, p6_ids, p7_containers, p8_found, p8_classes, p8_forms)
 }
 ORACLE: dict[str, str] = {}
