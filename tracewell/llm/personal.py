@@ -64,6 +64,8 @@ ENDINGS = 150
 NAMES = 0.08
 #: Tokens from which on a chain in training is cut where two are outside.
 CUT = 6
+#: The most, in log odds, that the potential of two neighbours adds where a name goes on.
+JOINED = 4.0
 #: Neighbours further apart than this many characters share no potential: their labels say nothing of each other.
 APART = 60
 #: Trained weights.
@@ -534,19 +536,27 @@ class Field:
                 b += w[1]
         return a, b
 
-    def nodes(self, t: str, spans: Iterable[tuple[int, int, str, str]]) -> list[Node]:
+    def nodes(self, t: str, spans: list[tuple[int, int, str, str]]) -> list[Node]:
         """The tokens that may be items, with the log odds of their own potentials.  Odds follow from a token and a little text around it; a worker keeps them."""
         kept = self.kept
         if len(kept) > KEPT:
             kept.clear()
-        out = []
+        every = []
         for a, b, kind, shape in spans:
             left, right = t[a - LEFT if a > LEFT else 0 : a] or "\n", t[b : b + RIGHT] or "\n"  # a text's ends are ends of lines
             key = (left, t[a:b], right, shape)
             if (odds := kept.get(key)) is None:
                 odds = kept[key] = self._sum(self.tokens.features(kind, shape, left, key[1], right))
-            # a word that can't begin a name may go on with one
-            if odds[0] >= HOPELESS or (odds[1] >= HOPELESS and (kind != "word" or (out and out[-1].end + 12 > a))):
+            every.append(odds)
+        # the most that a name can have which begins at a word, and which goes on with it
+        out, begin, on, after = [], [0.0] * len(every), 0.0, -1
+        for i in range(len(every) - 1, -1, -1):
+            a, b, kind, _ = spans[i]
+            more = max(0.0, JOINED + on) if kind == "word" and 0 <= after - b < 14 else 0.0
+            begin[i] = max(every[i]) if kind != "word" else every[i][0] + more
+            on, after = (every[i][1] + more, a) if kind == "word" else (0.0, -1)
+        for (a, b, kind, _), odds, most in zip(spans, every, begin):
+            if most >= HOPELESS or (kind == "word" and odds[1] >= HOPELESS and out and out[-1].kind == "word" and a - out[-1].end < 14):
                 out.append(Node(kind, a, b, odds))
         return out
 
@@ -710,19 +720,14 @@ class Field:
         words = {w for c, m in zip(nodes, beliefs) if c.kind == "word" and m[0] < 0.5 and len(w := t[c.start : c.end].lower()) > 3 and w not in self.tokens.part}
         if not words:
             return []
-        low = _lower(t)
         starts = [c[0] for c in spans]
-        automaton = ahocorasick.Automaton()
-        for w in words:
-            automaton.add_word(w, len(w))
-        automaton.make_automaton()
         out = []
-        for end, size in automaton.iter(low):
-            a, b = end + 1 - size, end + 1
-            if not t[a:b].islower() or (a and (low[a - 1].isalnum() or low[a - 1] in "_@")) or (b < len(low) and (low[b].isalnum() or low[b] in "_@")):
+        for m in _WORD.finditer(t):
+            a, b = m.span()
+            if m[0] not in words or (a and (t[a - 1].isalnum() or t[a - 1] in "_@-")) or t[b : b + 1] in ("_", "@"):
                 continue
             i = bisect_right(starts, a)
-            if not ((i and spans[i - 1][1] > a) or (i < len(spans) and spans[i][0] < b)) and (not out or out[-1][1] <= a):
+            if not ((i and spans[i - 1][1] > a) or (i < len(spans) and spans[i][0] < b)):
                 out.append((a, b, "word", ""))
         return out
 
