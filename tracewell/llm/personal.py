@@ -206,10 +206,6 @@ _STREETS = (
 )
 
 
-#: Grammars whose word stands right before the number.
-_BEFORE_NUMBER = {3, 4}
-
-
 def _street_patterns() -> list[tuple[list[str], re.Pattern]]:
     out = []
     for words, grammar in _STREETS:
@@ -329,7 +325,7 @@ class Tokens:
                 tags[name].append(("name", 0))
         for n, (words, _) in enumerate(self.streets):
             for w in words:
-                tags[w].append(("street", n))
+                tags[(" " if n in (0, 1, 4) else "") + w + (" " if n in (1, 3) or (n in (2, 5, 6) and w[-1].isalpha()) else "")].append(("street", n))
         self._tags = tags
         self.watch({})
 
@@ -401,7 +397,9 @@ class Tokens:
             a, b = end + 1 - size, end + 1
             for kind, n in of:
                 if kind == "street":
-                    if n not in streets and (low[b : b + 1] == " " and low[b + 1 : b + 2].isdigit() if n in _BEFORE_NUMBER else not (a and low[a - 1].isalnum())):
+                    if n not in streets and (
+                        not low[b : b + 1].isalnum() if n == 0 else low[b : b + 1].isdigit() if n == 3 else low[b : b + 3].lstrip(". ")[:1].isdigit() if n == 4 else n == 1 or not (a and low[a - 1].isalnum())
+                    ):
                         streets.add(n)
                 elif (a and (low[a - 1].isalnum() or low[a - 1] in "_@")) or (b < len(low) and (low[b].isalnum() or low[b] in "_@")):
                     continue
@@ -463,15 +461,19 @@ class Tokens:
             f.append(f"z={low[-3:]}")
         return f
 
-    def around(self, left: str, own: str, right: str) -> list[str]:
-        """Features of what is around a token whose class or shape is ``own``."""
+    @staticmethod
+    def parts(left: str, right: str) -> tuple[str, str, str, str, str]:
+        """Word before last, last word and gap before a token; gap and word behind it."""
         before = _CHUNK.findall(left)
         gap = before.pop() if before and not before[-1][-1].isalnum() else ""
         p1 = before.pop() if before else "^"
         p2 = before[-2].lower() if len(before) >= 2 and len(before[-1]) <= 2 else ""
         behind = _CHUNK.findall(right)
         after = behind.pop(0) if behind and not behind[0][0].isalnum() else ""
-        n1 = behind[0] if behind else "$"
+        return p2, p1, gap, after, behind[0] if behind else "$"
+
+    def around(self, own: str, p2: str, p1: str, gap: str, after: str, n1: str) -> list[str]:
+        """Features of the ``parts`` around a token whose class or shape is ``own``."""
         g, h = gap_class(gap), gap_class(after)
         if g == "dot" and len(p1) > 3 or (g == "dot" and p1[0].islower()):
             g = "stop"
@@ -491,8 +493,8 @@ class Tokens:
 
     def features(self, kind: str, shape: str, left: str, word: str, right: str) -> list[str]:
         if kind == "word":
-            return self.word_features(word) + self.around(left, self.word_class(word), right)
-        f = [f"o={shape}", *self.around(left, shape, right)]
+            return self.word_features(word) + self.around(self.word_class(word), *self.parts(left, right))
+        f = [f"o={shape}", *self.around(shape, *self.parts(left, right))]
         if kind == "number":  # how its digits are parted, and what it begins with
             sizes = _DIGITS.sub(lambda m: str(len(m[0])), word.partition("x")[0].partition("e")[0].strip(" ,"))
             lead = "+" if left.endswith("+") else "(" if left.endswith("(") else ""
@@ -515,7 +517,7 @@ class Field:
     def __init__(self, weights: dict[str, tuple[float, float]], edges: dict[tuple[str, str, str], np.ndarray], skips: dict[str, tuple[float, float, float]], lexicon: dict[str, str]):
         self.weights, self.edges, self.skips = weights, {k: [[math.exp(x) for x in row] for row in v.tolist()] for k, v in edges.items()}, skips
         self.tokens = Tokens(lexicon)
-        self.kept: dict[tuple, tuple[float, float]] = {}
+        self.kept: dict[tuple | str, tuple] = {}
         self.flat = {True: [[1.0, 1.0, 0.0]] * 3, False: [[1.0] * 3] * 3}  # where training had no such pair: a word is inside only behind one that is
         # words that make a small-letter word behind them worth a look
         small = self._sum(("w", "s=l", "x="))[0]
@@ -536,6 +538,16 @@ class Field:
                 b += w[1]
         return a, b
 
+    def _word(self, word: str, left: str, right: str) -> tuple[float, float]:
+        """Log odds of a word: of itself, and of what is around it; the sums of both are kept too."""
+        kept, tokens = self.kept, self.tokens
+        if (own := kept.get(word)) is None:
+            own = kept[word] = (*self._sum(tokens.word_features(word)), tokens.word_class(word))
+        parts = tokens.parts(left, right)
+        if (more := kept.get((own[2], *parts))) is None:
+            more = kept[(own[2], *parts)] = self._sum(tokens.around(own[2], *parts))
+        return own[0] + more[0], own[1] + more[1]
+
     def nodes(self, t: str, spans: list[tuple[int, int, str, str]]) -> list[Node]:
         """The tokens that may be items, with the log odds of their own potentials.  Odds follow from a token and a little text around it; a worker keeps them."""
         kept = self.kept
@@ -546,7 +558,7 @@ class Field:
             left, right = t[a - LEFT if a > LEFT else 0 : a] or "\n", t[b : b + RIGHT] or "\n"  # a text's ends are ends of lines
             key = (left, t[a:b], right, shape)
             if (odds := kept.get(key)) is None:
-                odds = kept[key] = self._sum(self.tokens.features(kind, shape, left, key[1], right))
+                odds = kept[key] = self._word(key[1], left, right) if kind == "word" else self._sum(self.tokens.features(kind, shape, left, key[1], right))
             every.append(odds)
         # the most that a name can have which begins at a word, and which goes on with it
         out, begin, on, after = [], [0.0] * len(every), 0.0, -1
@@ -888,7 +900,7 @@ def digest() -> str:
     """Of all that the weights follow from: the made texts, the tokens and their features, the training and its parameters."""
     from tracewell.llm import personal_text
 
-    own = "".join(map(inspect.getsource, (Tokens.lexicon_of, Tokens._emails, Tokens._numbers, Tokens._addresses, Tokens.word_class, Tokens.word_features, Tokens.around, Tokens.features, gap_class, _gradient, train_chain, train_skips, _labelled)))
+    own = "".join(map(inspect.getsource, (Tokens.lexicon_of, Tokens._emails, Tokens._numbers, Tokens._addresses, Tokens.word_class, Tokens.word_features, Tokens.parts, Tokens.around, Tokens.features, gap_class, _gradient, train_chain, train_skips, _labelled)))
     rest = [TRAIN_TEXTS, SKIP_TEXTS, SEED, EPOCHS, BLOCK, RATE, PENALTY, RARER, UNKNOWN, STREET, NAMES, ENDINGS, CUT, APART, LEFT, RIGHT, _SHAPES, _STREETS, _CAPITAL.pattern, _GAPS]
     return hashlib.sha256((own + repr(rest) + inspect.getsource(personal_text)).encode()).hexdigest()
 
