@@ -22,12 +22,18 @@ def _responses(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "har_responses")
 
 
-@query("ref_p15_headers")
+@query("ref_p15_headers", """WITH v AS (SELECT capture_id, CAST(har AS JSON) AS j FROM har_captures WHERE json_valid(har) AND trim(har) <> ''),
+ e AS (SELECT capture_id, unnest(range(CAST(json_array_length(j, '$.log.entries') AS BIGINT))) AS i, j FROM v WHERE json_type(j, '$.log.entries') = 'ARRAY'),
+ c AS (SELECT capture_id, CAST(i + 1 AS INTEGER) AS entry_no, json_extract(j, '$.log.entries[' || i || '].response.headers') AS h FROM e),
+ l AS (SELECT capture_id, entry_no, k, json_extract(h, '$[' || k || ']') AS x FROM (SELECT *, unnest(range(CAST(json_array_length(h) AS BIGINT))) AS k FROM c WHERE json_type(h) = 'ARRAY')),
+ n AS (SELECT capture_id, entry_no, k, json_extract_string(x, '$.name') AS name, json_extract_string(x, '$.value') AS value FROM l
+ UNION ALL SELECT capture_id, entry_no, k, name, json_extract_string(h, '$."' || name || '"') FROM (SELECT *, unnest(range(len(json_keys(h)))) AS k, unnest(json_keys(h)) AS name FROM c WHERE json_type(h) = 'OBJECT'))
+ SELECT capture_id, entry_no, lower(name) AS header, arg_max(coalesce(value, ''), k) AS value FROM n WHERE name <> '' GROUP BY 1, 2, 3""")
 def p15(spark, d):
     """Header map of each captured entry that has headers."""
     rows = HarTables(table(spark, d, "har_captures")).headers().filter("name <> ''")
     lists = rows.groupBy("capture_id", "entry_no").agg(F.array_sort(F.collect_list(F.struct("header_no", "name", "value"))).alias("h"))
-    return lists.select("capture_id", "entry_no", F.to_json(webjson.header_map(F.col("h"))).alias("headers"))
+    return lists.select("capture_id", "entry_no", F.explode(webjson.header_map(F.col("h"))).alias("header", "value"))
 
 
 @query("ref_p16_ctype", "SELECT entry_id, lower(coalesce(nullif(mimetype, ''), '')) AS ctype FROM har_responses")
@@ -245,6 +251,9 @@ def c8(spark, d):
     return out.select("image_name", "extracted_text", F.array_join("langs", ",").alias("langs"))
 
 
-@query("o5_audit_head")
+@query("o5_audit_head", f"""SELECT image_name, CAST(pos AS INTEGER) AS pos, lang, round(score, 9) AS score, CASE WHEN length(text) > 160 THEN left(text, 160) || '...' ELSE text END AS preview
+ FROM (SELECT *, row_number() OVER (PARTITION BY image_name ORDER BY {LANG_ORD}) - 1 AS pos FROM ({LANG_TEXT})) WHERE pos < 8""")
 def o5(spark, d):
-    return ocr.audit(_language_texts(spark, d)).select("image_name", F.to_json("audit").alias("audit"))
+    """The first languages tried for each image."""
+    rows = ocr.audit(_language_texts(spark, d)).select("image_name", F.posexplode("audit").alias("pos", "a"))
+    return rows.select("image_name", "pos", "a.lang", F.round("a.score", 9).alias("score"), "a.preview")
