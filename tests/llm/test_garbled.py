@@ -103,3 +103,19 @@ def test_letters_with_horn(tool):
 @pytest.mark.parametrize("text", ["été…» «voilà…»", "лінії мрії НІМІ СІМІ", "шагход хлебцен радуга сокровище", "ĄĘŚĆ ęśąż", "안녕하세요 여러분"])
 def test_correct_text_without_patterns_stays(tool, text):
     assert not tool.is_garbled(text)
+
+
+#: Correct words of twelve languages.
+CORRECT = """Diyarbakır kırmızı Kadıköy ışık Sınıf yıldız çağrı Şırnak Iğdır|qızıl Azərbaycan Gəncə şəhər|õun jõgi Õpetaja mõte täiendav|þetta Ísland hús ðað næst|æska smørrebrød Ærø blåbær|cœur façade Noël naïf été|Ångström näkemiin yö älyä|größer Übung Straße|mañana ocasión Última señal|São coração não atenção|zażółć gęślą jaźń ćma|příliš žluťoučký kůň|дождь съёмка ещё йод|Kőszeg tűzoltó árvíztűrő""".replace("|", " ").split()
+
+
+@pytest.mark.parametrize("word", CORRECT)
+def test_correct_words_stay(tool, word):
+    assert not tool.is_garbled(word) and tool.repair(word) == word
+
+
+def test_garbled_again_and_again(tool):
+    text = "größer"
+    for _ in range(6):
+        text = garbled._sloppy(text.encode(), "latin-1")
+    assert tool.repair(text) == "größer"

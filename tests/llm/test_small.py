@@ -163,3 +163,41 @@ def test_pairs_like_brute_force(spark):
     assert lookalikes.lookalike_pairs(df.limit(0), "doc_id", "text").count() == 0
     forms = {x.doc_id: x.form for x in lookalikes.normalise(df, "doc_id", "text", "form").collect()}
     assert all(forms[i] == lookalikes.skeleton(t) for i, t, _ in rows)
+
+
+def test_every_look_alike_has_its_prototype():
+    table = lookalikes.look_alikes()
+    assert len(table) > 150
+    for ch, prototype in table.items():
+        assert len(ch) == len(prototype) == 1 and lookalikes.skeleton(ch) == unicodedata.normalize("NFD", prototype), (ch, prototype)
+    for pair in ("ӀI", "ՕO", "ϜF", "ⲞO", "ⲟo", "ꓮA", "ꮯc", "ıi", "−-", "‚,", "ꞌ'"):
+        assert lookalikes.skeleton(pair[0]) == pair[1], pair
+
+
+def test_classes_like_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lookalikes, "PER_TASK", 7)  # hot texts in parts
+    base = ["total 12", "t\u043etal 12", "total\xa012", "other", "", None, "x"]
+    rows = [(i, base[0] if i % 3 == 0 else base[i % 7]) for i in range(210)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    groups = {}
+    for i, t in rows:
+        if t:
+            groups.setdefault(lookalikes.skeleton(t), {}).setdefault(t, []).append(i)
+    want = {}
+    for texts in groups.values():
+        if len(texts) > 1:
+            ids = [i for x in texts.values() for i in x]
+            want |= {i: (min(ids), len(texts), len(ids) - len(x)) for x in texts.values() for i in x}
+    got = {r.doc_id: (r.class_id, r.n_texts, r.n_links) for r in lookalikes.lookalike_classes(df, "doc_id", "text").collect()}
+    assert got == want and want
+    pairs = {tuple(r) for r in lookalikes.lookalike_pairs(df, "doc_id", "text").collect()}
+    assert len(pairs) == sum(n for _, _, n in want.values()) // 2
+    assert lookalikes.lookalike_classes(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_elder_words_are_kept(monkeypatch):
+    texts = [f"word{i} the cat" for i in range(40)]
+    monkeypatch.setattr(encoding, "KEPT", 10)
+    tool = encoding.MergeReplay(f"{encoding.TOKENIZERS}/{encoding.MODEL}")
+    assert [tool.encode([t])[0] for t in texts] == library(texts)
+    assert " the" in tool.known or " the" in tool.elder
