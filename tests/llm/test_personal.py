@@ -89,7 +89,7 @@ def test_many_places_cost_little(tool):
     assert time.time() - began < 30
 
 
-#: Written without a look at the data: names in capitals marked with [].
+#: Not taken from the data: names in capitals marked with [].
 PLAIN_SENTENCES = """My name is [John Smith] and I live in Leeds.|Yours sincerely, [Thomas Miller]|The patient [Robert Jones] was seen on Friday.|[Elena Petrova] wrote to us last week.|Sent by [Mohammed Al-Rashid]|Dear Mr [Baker], thank you for your letter.|Hello [Sophie], your booking is confirmed.|Contact person: [Julia Wagner]|Signed, [Maria Gonzalez]|Tenant: [Peter Novak]|Bonjour [Claire Dubois], votre colis est là.|Sehr geehrter Herr [Schneider], vielen Dank.|Cliente: [Marco Rossi]|Titular: [Carmen Martinez]|Estimada [Lucía Fernández], su pedido está listo.
 "firstName": "[Oliver]"|"recipient": "[Anna Kowalska]"|"author": "[David Cohen]"|"customerName":"[Priya Sharma]"|Best regards,\n[Emma Wilson]|Kind regards,\n[Daniel Garcia]|Mit freundlichen Grüßen\n[Hans Becker]|Cordialement,\n[Antoine Moreau]|Passenger: [Yuki Tanaka]|Guest: [Ingrid Larsen]|Driver: [Jan de Vries]|Ordered by [Linda Johnson] on Monday|Received by [Omar Khan] at noon|Please ask for [Helen Murphy] at the desk.|Thank you [Karl], we got it.|Frau [Hoffmann] hat angerufen.|Mme [Lefebvre] a signé.|Получатель: [Иван Петров]|Уважаемая [Ольга Сидорова], ваш заказ готов.|Odbiorca: [Piotr Nowak]|Dzień dobry, Pan [Kowalski] dzwonił.|Vastaanottaja: [Mikko Virtanen]|Terve [Aino]!|Tere [Jaan]!|Klient: [Liis Tamm]|Hej [Astrid]!|Contact [Sarah Brown] for details.|Account holder: [George Papadopoulos]|Name: [William Taylor]|Insured: [Barbara Davis]|Landlord: [Kenneth Young]|Witness: [Patricia Hill]|Attn: [Michael Green]|c/o [Susan White]|[James O'Brien] <james@mail.example>|[Fatima Diallo] (fatima@mail.example)|Written by [Rachel Levy].|Assigned to: [Rahul Gupta]|Paid by [Luca Bianchi]|Beneficiary: [Ana Silva]|Mrs [Thompson] called back.|Dr. [Nguyen] will see you.|Collected by [Noah Jensen]|Handed to [Freja Nielsen]|Sender: [Wei Zhang]|Applicant: [Amina Okafor]|"owner": "[Mehmet Yilmaz]"|"shipTo": "[Beatriz Costa]"|Member [Dimitris Georgiou] has 20 points.|Hi [Zeynep], welcome back!|Prepared by: [Eszter Nagy]|Employee: [Jakub Svoboda]|Subscriber [Ioana Popescu] confirmed.|Authorised by [Charlotte King]|Booked by [Liam Kelly]|Left with [Amelia Clark]|Student: [Arjun Patel]|Manager: [Jennifer Lee]|Mr. [Robinson] moved out.|Checked in by [Sven Andersson]|Recipient [Nora Lindholm]|Reported by [Ahmed Hassan]|Lieber [Jonas], danke!|Ciao [Giulia]!|Olá [Tiago], tudo pronto.|Gentile [Laura Ferrari], grazie.|Hola [Pablo]!|Señora [Ruiz] confirmó.|Kunde: [Lena Krause]|Empfänger: [Felix Braun]|Destinataire : [Camille Laurent]|Destinatario: [Javier Ortega]|Mottagare: [Elsa Nyström]|Ontvanger: [Bram Visser]|Name und Vorname: [Katja Lorenz]|Imię i nazwisko: [Ewa Zielińska]|ФИО: [Анна Смирнова]|Tilaaja: [Juhani Laine]|Saatja: [Mart Kask]|Jméno: [Petra Dvořáková]|Alıcı: [Elif Demir]|Címzett: [Zoltán Kovács]|Signature: [Olivia Martin]|Delivered to [Henry Walker], thank you.|Dear [Isabella], hello.|Author: [Samuel Adams]""".replace("\n\"", "|\"").split("|")
 
