@@ -1,4 +1,7 @@
+import itertools
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +117,28 @@ def test_mining_equals_brute_force(spark, batch):
     assert len(out) == len(lines) and {x.template: x.mined for x in out} == expected and any(" * " in x for x in expected.values())
 
 
+def test_long_lines_are_mined_in_linear_time(spark):
+    """Lines of 20,000 words; with a masked copy for each place these would be 400 million words a line."""
+    words = " ".join("".join(w) for w in itertools.islice(itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=4), 20_000))
+    rows = [(residue.template_id(x), x, 1, 1) for x in (f"{words} {w} end" for w in "abcd")]
+    df = spark.createDataFrame(rows, "id bigint, template string, n bigint, alone bigint")
+    start = time.monotonic()
+    assert {r.mined for r in residue.mined(df).collect()} == {f"{words} * end"}
+    assert time.monotonic() - start < 60
+
+
+def test_fast_forms_equal_plain_ones():
+    """Masks token by token, sentences cut behind their ends and signs looked for first give what plain expressions give."""
+    r = random.Random(4)
+    signs = [*"aB1.!?…。！？\t\n\"'»)]<{%[@*_", " ", "\x1c", "\u3000", "{{x}}", "%%n%%", "[[x]]", "@@u@@", "*|C|*", "__a__", "${n}", "#{n}", "<%= n %>", "<first_name>", "[INSERT x]", "%NAME%", "http://x", "www.", "#1", "ab-12", "№7", "x" * 40 + "1"]
+    for _ in range(5_000):
+        x = "".join(r.choices(signs, k=r.randint(1, 30)))
+        assert residue.mask(x) == " ".join(residue._WILD.sub("*", x.lower()).split())
+        assert [y for y in residue._split(x) if y] == [y for y in re.split(r"(?<=[.!?…])[\"'»”’)\]]*\s+|(?<=[。！？])", x) if y]
+        assert residue._TAG.split(x) == re.split(r"(?<!<)<(?:/?[a-zA-Z][\w:-]*(?:\s[^<>]*)?/?|![^<>]*)>", x)
+        assert residue._SLOT_SIGN.search(x) or not residue._SLOT.search(x)
+
+
 def test_operator(spark):
     rows = [(1, "Page not found", None, "text/html", "x"), (2, None, None, None, "x"), (3, "UGFnZSBub3QgZm91bmQ=", "base64", None, "x"), (4, "Page not found", None, "image/png", "x"), (1, "Page not found", None, None, "x"), (5, "Your parcel is ready at the counter. Page not found", None, None, "x")]
     df = spark.createDataFrame(rows, "entry_id bigint, text string, encoding string, mimetype string, status string")

@@ -22,7 +22,7 @@ import json
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -52,7 +52,7 @@ KEPT = 100_000
 _HIDDEN = re.compile(r"<(script|style|template|noscript|title|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", re.I | re.S)
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
 _NOSCRIPT = re.compile(r"<noscript\b[^>]*>(.*?)</noscript\s*>", re.I | re.S)
-_TAG = re.compile(r"(?<!<)<(?:/?[a-zA-Z][\w:-]*(?:\s[^<>]*)?/?|![^<>]*)>")
+_TAG = re.compile(r"<(?<!<<)(?:/?[a-zA-Z][\w:-]*(?:\s[^<>]*)?/?|![^<>]*)>")
 _INLINE = re.compile(r"</?(?:b|i|u|em|strong|span|a|font|small|sup|sub|mark|abbr|code|wbr)\b[^<>]*>", re.I)
 _STRING = re.compile(r'"((?:[^"\\]|\\.)*+)"(\s*:)?')
 _JSON = re.compile(r"\s*(?:[a-zA-Z_$][\w.$]*\s*\(\s*)?[{\[]")
@@ -69,7 +69,10 @@ _SLOT = re.compile(
     r"|(?<![\w])__" + _NAME + r"__(?![\w])|(?<![\w%])%(?:" + SLOT_WORDS.upper() + r")%|(?<![\w{$#])\{(?:" + _NAME + r")\}(?!\})|\[(?:(?:" + SLOT_WORDS.upper() + r")(?:[ _.](?:" + SLOT_WORDS.upper() + r"))?)\]"
     r"|<(?:" + SLOT_WORDS + r"|voucherCode|FIRSTNAME|LASTNAME|NAME|[a-z]+[_.][a-z]+)>"
 )
-_MAY_HAVE_SLOT = re.compile(r"&#(?:60|123|37|91|64|36|35|42|x3c|x7b);|\{\{|\{%|[$#]\{|<%|&lt;|\\u003c|\[\[|%%|@@|\*\||<<|\[(?:INSERT|ENTER|YOUR|ADD|[A-Z]{4})|__[A-Za-z]|%[A-Z]{3}|\{[A-Za-z]|<(?:[a-z]+[_.][a-z]+|" + SLOT_WORDS + "|voucherCode|FIRSTNAME|LASTNAME|NAME)>")
+#: Each alternative begins with a fixed sign, so that others are passed over quickly; likewise in ``_TAG``.
+_MAY_HAVE_SLOT = re.compile(r"&#(?:60|123|37|91|64|36|35|42|x3c|x7b);|\{\{|\{%|\$\{|#\{|<%|&lt;|\\u003c|\[\[|%%|@@|\*\||<<|\[(?:INSERT|ENTER|YOUR|ADD|[A-Z]{4})|__[A-Za-z]|%[A-Z]{3}|\{[A-Za-z]|<(?:[a-z]+[_.][a-z]+|" + SLOT_WORDS + "|voucherCode|FIRSTNAME|LASTNAME|NAME)>")
+#: A sign that each way of writing a slot has.
+_SLOT_SIGN = re.compile(r"[{<\[%@*_]")
 #: A sentence that speaks of slots.
 _ABOUT = re.compile(r"\b(?:such as|for example|e\.g\.|mail merge|placeholder|is swapped|is replaced|are replaced|syntax|template (?:language|engine)|a field|the field|field (?:named|called)|means that)\b", re.I)
 
@@ -77,14 +80,35 @@ _WILD = re.compile(r"https?://\S+|www\.\S+|[#№]?(?:[A-Za-z]{1,3}[/-]?)?\d[A-Za
 _END = re.compile(r"[.!?…。！？]\W*$")
 _CJK = re.compile("[぀-ヿ一-鿿]")
 
-_SENTENCE = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+|(?<=[。！？])")
+_SENTENCE_END = re.compile(r"[.!?…。！？](?:(?<=[。！？])|[\"'»”’)\]]*\s+)")
 _LETTER = re.compile(r"[^\W\d_]")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\*|\d+")
 
 
+class _Known(dict):
+    """What ``of`` gives for a short token, kept for the next time."""
+
+    #: Tokens that are kept, and how long they are at most.
+    MOST, LONG = 1 << 16, 32
+
+    def __init__(self, of: Callable[[str], object]):
+        self.of = of
+
+    def __missing__(self, token: str) -> object:
+        out = self.of(token)
+        if len(token) <= self.LONG:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[token] = out
+        return out
+
+
+_masked_token = _Known(lambda token: _WILD.sub("*", token)).__getitem__
+
+
 def mask(sentence: str) -> str:
-    """A sentence's template: small letters, single spaces, numbers, codes and links as wildcards."""
-    return " ".join(_WILD.sub("*", sentence.lower()).split())
+    """A sentence's template: small letters, single spaces, numbers, codes and links as wildcards, none of which has a space."""
+    return " ".join(map(_masked_token, sentence.lower().split()))
 
 
 def template_id(template: str) -> int:
@@ -220,6 +244,8 @@ def has_slot(body: str, mimetype: str | None, shown: list[str] | None = None) ->
         return False
     titles = (html.unescape(m[1]) for m in _TITLE.finditer(body)) if "<title" in body else ()
     for s in (*(segments(body, mimetype) if shown is None else shown), *titles):
+        if not _SLOT_SIGN.search(s):
+            continue
         for m in _SLOT.finditer(s):
             start = max((s.rfind(c, 0, m.start()) for c in ".!?"), default=-1) + 1
             end = min((k for c in ".!?" if (k := s.find(c, m.end())) >= 0), default=len(s))
@@ -228,17 +254,25 @@ def has_slot(body: str, mimetype: str | None, shown: list[str] | None = None) ->
     return False
 
 
+def _split(segment: str) -> Iterator[str]:
+    """The sentences of a segment, without what closes and parts them."""
+    start = 0
+    for m in _SENTENCE_END.finditer(segment):
+        yield segment[start : m.start() + 1]
+        start = m.end()
+    yield segment[start:]
+
 
 def sentences(body: str, mimetype: str | None, shown: list[str] | None = None) -> list[str]:
     """What a reader sees of a body, sentence by sentence."""
-    return [x for s in (segments(body, mimetype) if shown is None else shown) for x in _SENTENCE.split(s) if x and not x.isspace()]
+    return [x for s in (segments(body, mimetype) if shown is None else shown) for x in _split(s) if x and not x.isspace()]
 
 
 def hidden_sentences(body: str) -> list[str]:
     """What ``noscript`` shows, which counts where a page has no content."""
     if "<noscript" not in body.lower():
         return []
-    return [x for m in _NOSCRIPT.finditer(body) for s in _html_segments(m[1]) for x in _SENTENCE.split(s) if x and not x.isspace()]
+    return [x for m in _NOSCRIPT.finditer(body) for s in _html_segments(m[1]) for x in _split(s) if x and not x.isspace()]
 
 
 def templates_of(texts: Iterable[str]) -> list[str]:
@@ -256,12 +290,12 @@ def _taken_apart(df: DataFrame, key: str, text: str, encoding: str, mimetype: st
     """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[int, list] = {}
+        counts: dict[str, list] = {}
 
         def counted() -> pd.DataFrame:
-            rows = [(t, x[0], x[1], x[2]) for t, x in counts.items()]
+            rows = [(x, *c) for x, c in counts.items()]
             counts.clear()
-            out = pd.DataFrame(rows, columns=["id", "template", "n", "alone"])
+            out = pd.DataFrame(rows, columns=["template", "id", "n", "alone"])
             return out.assign(**{key: None, "slot": None, "ids": None, "hidden": None})[columns]
 
         for batch in batches:
@@ -280,9 +314,9 @@ def _taken_apart(df: DataFrame, key: str, text: str, encoding: str, mimetype: st
                 ids = []
                 for many, into in ((seen, ids), (behind, hidden := [])):
                     for x in many:
-                        into.append(t := template_id(x))
-                        if (c := counts.get(t)) is None:
-                            c = counts[t] = [x, 0, 0]
+                        if (c := counts.get(x)) is None:
+                            c = counts[x] = [template_id(x), 0, 0]
+                        into.append(c[0])
                         c[1] += 1
                         c[2] += len(many) <= FEW
                 rows.append((k, False, ids, hidden))
@@ -306,9 +340,7 @@ def counted(templates: DataFrame) -> DataFrame:
     return templates.groupBy("id", "template").agg(F.sum("n").alias("n"), F.sum("alone").alias("alone"))
 
 
-@lru_cache(maxsize=1 << 16)
-def _token_hash(token: str) -> int:
-    return xxhash.xxh64_intdigest(token.encode("utf-8", "replace"))
+_token_hash = _Known(lambda token: xxhash.xxh64_intdigest(token.encode("utf-8", "replace"))).__getitem__
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
