@@ -90,6 +90,8 @@ def test_sure_words_count_in_mining(spark):
     df = spark.createDataFrame(rows, "entry_id bigint, text string, encoding string, mimetype string")
     found = lambda d: [r.entry_id for r in residue.residue_bodies(d, "entry_id", "text", "encoding", "mimetype").collect()]
     assert found(df.filter("entry_id = 1")) == [1] and found(df) == []
+    slots = df.withColumn("text", F.when(F.col("entry_id") == 1, F.col("text")).otherwise(F.concat("text", F.lit(" Hello {{name}}."))))
+    assert sorted(found(slots)) == [2, 3, 4]  # bodies with a slot are found without a verdict; their templates count for others
 
 
 @pytest.mark.parametrize("batch", [3, 10_000])

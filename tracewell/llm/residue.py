@@ -286,7 +286,7 @@ def templates_of(texts: Iterable[str]) -> list[str]:
 def _taken_apart(df: DataFrame, key: str, text: str, encoding: str, mimetype: str) -> DataFrame:
     """Rows of two kinds: of records (key, slot, ids, hidden), and of templates (id, template, in how many bodies, alone in how many).
 
-    Templates are counted in the task before they are handed on.
+    Templates are counted in the task before they are handed on, those of bodies with a slot too, whose records need no ids.
     """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -305,11 +305,9 @@ def _taken_apart(df: DataFrame, key: str, text: str, encoding: str, mimetype: st
                 if not body:
                     continue
                 shown = list(segments(body, m))  # taken apart once
-                if has_slot(body, m, shown):
-                    rows.append((k, True, [], []))
-                    continue
+                slot = has_slot(body, m, shown)
                 seen, behind = templates_of(sentences(body, m, shown)), templates_of(hidden_sentences(body))
-                if not seen and not behind:
+                if not seen and not behind and not slot:
                     continue
                 ids = []
                 for many, into in ((seen, ids), (behind, hidden := [])):
@@ -319,7 +317,7 @@ def _taken_apart(df: DataFrame, key: str, text: str, encoding: str, mimetype: st
                         into.append(c[0])
                         c[1] += 1
                         c[2] += len(many) <= FEW
-                rows.append((k, False, ids, hidden))
+                rows.append((k, True, [], []) if slot else (k, False, ids, hidden))
             yield pd.DataFrame(rows, columns=[key, "slot", "ids", "hidden"]).assign(id=None, template=None, n=None, alone=None)[columns]
             if len(counts) > KEPT:
                 yield counted()
